@@ -12,3 +12,79 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
 FROM bits"""
+
+_WORD = "[^\\x20\\x09-\\x0D]+"
+
+SQL["op5_window_dedup"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT r, i + k AS p FROM rep, range(0, 35) t(k)),
+wd AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM wd ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+_POS = """SELECT doc_id, text, '{k}' AS kind, {i} AS ord, m, start, start + length(m) AS stop, substr(text, greatest(start + 1 - 40, 1), least(start, 40)) || ' ' || substr(text, start + length(m) + 1, 20) AS near
+FROM (SELECT doc_id, text, m[i] AS m, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+      FROM (SELECT doc_id, text, m, string_split_regex(text, '{p}') AS g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, '{p}') AS m FROM t)))"""
+_LUHN = "list_sum(list_transform(range(1, length(n) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(n)[i] AS INT) WHEN CAST(reverse(n)[i] AS INT) > 4 THEN CAST(reverse(n)[i] AS INT) * 2 - 9 ELSE CAST(reverse(n)[i] AS INT) * 2 END)) % 10 = 0"
+_MOD97 = "list_reduce(list_prepend(0, list_transform(string_split(substr(b, 5) || substr(b, 1, 4), ''), lambda c: CASE WHEN c < 'A' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: (CASE WHEN v < 10 THEN a * 10 + v ELSE a * 100 + v END) % 97) = 1"
+
+
+def _pii() -> str:
+    from codelode.llm.pii import CONTEXT, PATTERNS, SCORES, THRESHOLD
+
+    every = " UNION ALL ".join(_POS.format(k=k, i=i, p=p) for i, (k, p) in enumerate(PATTERNS.items()))
+    score = " ".join(f"WHEN kind = '{k}' THEN CASE WHEN regexp_matches(near, '{CONTEXT[k]}') THEN {b} ELSE {a} END" for k, (a, b) in SCORES.items())
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), every AS ({every}),
+f AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS n, replace(m, ' ', '') AS b, CASE {score} END AS score FROM every),
+ok AS (SELECT doc_id, kind, ord, start, kind || ':' || start || ':' || stop AS s FROM f WHERE CASE kind
+  WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(nullif(ltrim(p, '0'), '') AS INT), 0) > 255)) = 0
+  WHEN 'card' THEN length(n) BETWEEN 16 AND 19 AND {_LUHN}
+  WHEN 'phone' THEN length(n) BETWEEN 8 AND 15
+  WHEN 'iban' THEN {_MOD97} WHEN 'secret' THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') ELSE true END
+  AND (ord < 4 OR score >= {THRESHOLD}))
+SELECT t.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(s, ',' ORDER BY ord, start) FILTER (ord < 4), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY ord, start), '') AS spans
+FROM t LEFT JOIN ok USING (doc_id) GROUP BY t.doc_id"""
+
+
+SQL["op9_pii_spans"] = _pii()
+
+
+def _rules() -> str:
+    from codelode.llm.quality_rules import FENCE, LEAST, METRICS
+
+    m = {k: f"({scale} * {top} // greatest({bottom}, 1))" for k, (top, bottom, scale, _, _) in METRICS.items()}
+    lows = {k: f"q1 - {FENCE} * greatest(q3 - q1, {floor})" if both else "-1" for k, (_, _, _, floor, both) in METRICS.items()}
+    highs = {k: f"q3 + {FENCE} * greatest(q3 - q1, {floor})" for k, (_, _, _, floor, _) in METRICS.items()}
+    rows = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, {x} AS v FROM f WHERE NOT base_failed" for k, x in m.items())
+    case = lambda d: "CASE metric " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in d.items()) + " END"
+    levels = [("own", "lang, source"), ("lang", "lang"), ("every", "")]
+    fence = ", ".join(
+        f"""{n} AS (SELECT *, {case(lows)} AS low, {case(highs)} AS high FROM (SELECT {k + ',' if k else ''} metric, max(total) AS n, min(b) FILTER (upto * 4 >= total) AS q1, min(b) FILTER (upto * 4 >= total * 3) AS q3
+        FROM (SELECT {k + ',' if k else ''} metric, b, sum(n) OVER (PARTITION BY {k + ',' if k else ''} metric ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {k + ',' if k else ''} metric) AS total
+              FROM (SELECT {k + ',' if k else ''} metric, b, count(*) AS n FROM v GROUP BY ALL)) GROUP BY {k + ',' if k else ''} metric){f' WHERE n >= {LEAST}' if k else ''})"""
+        for n, k in levels
+    )
+    out = " OR ".join(f"(g.metric = '{k}' AND ({x} > g.high OR {x} < g.low))" for k, x in m.items())
+    return f"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+win AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM win), range(0, 3) t(k) WHERE n > 1 GROUP BY r),
+ln AS (SELECT r, count(*) AS n, count(DISTINCT x) AS u FROM (SELECT r, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{_WORD}') GROUP BY r),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (
+  SELECT r, doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(ln.n, 0) AS n_lines, coalesce(ln.n - ln.u, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (r) LEFT JOIN ln USING (r))),
+v AS (SELECT lang, source, metric, CAST(v // (1 << greatest(length(bin(v)) - 6, 0)) * (1 << greatest(length(bin(v)) - 6, 0)) AS BIGINT) AS b FROM ({rows})),
+{fence},
+g AS (SELECT f.*, m.metric, coalesce(own.low, lang.low, every.low) AS low, coalesce(own.high, lang.high, every.high) AS high FROM f CROSS JOIN (SELECT unnest({list(m)}) AS metric) m
+  LEFT JOIN own ON own.metric = m.metric AND own.lang IS NOT DISTINCT FROM f.lang AND own.source IS NOT DISTINCT FROM f.source
+  LEFT JOIN lang ON lang.metric = m.metric AND lang.lang IS NOT DISTINCT FROM f.lang LEFT JOIN every ON every.metric = m.metric),
+bad AS (SELECT DISTINCT r FROM g WHERE {out})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.r IS NULL AS kept FROM f LEFT JOIN bad USING (r)"""
+
+
+SQL["op4_adaptive_rules"] = _rules()

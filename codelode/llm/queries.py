@@ -15,6 +15,18 @@ def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelode.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def op5_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelode.llm.substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,6 +35,18 @@ def op8_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelode.llm.pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelode.llm.langid import predict
+
+    return predict(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

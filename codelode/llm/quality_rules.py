@@ -29,7 +29,7 @@ LEAST, FENCE = 50, 3
 METRICS = {
     "word_length": ("word_chars", "n_words", 100, 60, True),
     "symbols": ("n_symbols", "n_words", 1000, 60, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 100, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 200, False),
     "repeats": ("n_repeat_words", "n_words", 1000, 120, False),
 }
 _SYMBOL = np.zeros(256, bool)

@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from codelode.llm._common import table
 
 
+def op1_crf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelode.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codelode.llm.warc import archive
 

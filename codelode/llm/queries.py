@@ -33,6 +33,12 @@ def op5_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op6_hamming_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelode.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

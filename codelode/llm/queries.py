@@ -39,6 +39,12 @@ def op6_hamming_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelode.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -21,6 +21,12 @@ def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelode.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codelode.llm.quality_rules import judge
 

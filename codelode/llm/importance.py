@@ -1,6 +1,7 @@
 """Quality selection by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
-The target is the labelled good documents (quality 1, not toxic); raw is every document. Both are generative bags of hashed
+The target is a sample of about TARGET_DOCS labelled good documents (quality 1, not toxic), chosen by a hash of the id; raw is
+every document, and every document is weighed. Both are generative bags of hashed
 n-grams: words and word pairs, and the same over word shapes (runs of lower case, capitals, digits and each other sign; pairs
 also tell whether the two words are the same), each counted once a document. A document's log weight is the sum over its n-grams
 of log((target + A) / (expected + A)), where expected is the raw count times the target's share of documents. Buckets whose
@@ -22,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm._common import slabs, written
-from codelode.llm._tokens import mix, powers, windows, words
+from codelode.llm._tokens import distinct, mix, powers, windows, words
 
 BUCKETS, PRIOR, ERRORS, SEED = 1 << 18, 1.0, 3.0, 11
-LOSS = 0.01
+LOSS, TARGET_DOCS = 0.01, 20_000
 _CLASS = np.arange(256, dtype=np.uint64) + np.uint64(5)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 1
 _SALT = [np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -56,25 +57,27 @@ def features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.nd
     same = (h[at] == h[at + 1]).astype(np.uint64)
     code = [mix(x ^ _SALT[i]) for i, x in enumerate((h, h2, s, s2 + same))]
     doc = np.concatenate([w.doc, w.doc[at], w.doc, w.doc[at]])
-    both = np.unique(doc * buckets + (np.concatenate(code) % np.uint64(buckets)).astype(np.int64))
+    both = distinct(doc * buckets + (np.concatenate(code) % np.uint64(buckets)).astype(np.int64))
     return both // buckets, both % buckets
 
 
-def ratios(docs: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, errors: float = ERRORS) -> np.ndarray:
-    """Log ratio of each bucket, from docs (text, good: boolean, null where unlabelled). Counts are over all documents."""
+def ratios(docs: DataFrame, target: np.ndarray, buckets: int = BUCKETS, prior: float = PRIOR, errors: float = ERRORS) -> np.ndarray:
+    """Log ratio of each bucket, from docs (doc_id, text) and the ids of target documents. Raw counts are over all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(target))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good, n = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), [0, 0]
         for slab in slabs(batches, "text"):
             doc, b = features(slab.column("text"), buckets)
-            is_good = slab.column("good").fill_null(False).to_numpy(zero_copy_only=False)
+            ids = slab.column("doc_id")
+            is_good = np.isin(ids.fill_null(0).to_numpy(), shared.value) & ids.is_valid().to_numpy(zero_copy_only=False)
             raw += np.bincount(b, minlength=buckets)
             good += np.bincount(b[is_good[doc]], minlength=buckets)
             n = [n[0] + len(slab), n[1] + int(is_good.sum())]
         at = np.flatnonzero(raw)
         yield pa.record_batch([pa.array([-1, *at], pa.int64()), pa.array([n[0], *raw[at]], pa.int64()), pa.array([n[1], *good[at]], pa.int64())], names=["bucket", "raw", "good"])
 
-    sums = docs.select("text", "good").mapInArrow(f, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
+    sums = docs.select("doc_id", "text").mapInArrow(f, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
     bucket, raw, good = (sums.column(c).to_numpy() for c in ("bucket", "raw", "good"))
     out = np.zeros(buckets, np.float32)
     if len(bucket) and (total := raw[bucket == -1].sum()):
@@ -87,7 +90,7 @@ def ratios(docs: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, errors
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """docs (doc_id, text, good) to doc_id, good, n_features and log_weight."""
+    """docs (doc_id, text) to doc_id, n_features and log_weight."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,9 +99,9 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             doc, b = features(slab.column("text"), len(r))
             n = np.bincount(doc, minlength=len(slab)).astype(np.int64)
             w = np.bincount(doc, r[b].astype(np.float64), minlength=len(slab))
-            yield pa.record_batch([slab.column("doc_id"), slab.column("good"), pa.array(n), pa.array(w)], names=["doc_id", "good", "n_features", "log_weight"])
+            yield pa.record_batch([slab.column("doc_id"), pa.array(n), pa.array(w)], names=["doc_id", "n_features", "log_weight"])
 
-    return docs.select("doc_id", "good", "text").mapInArrow(f, "doc_id long, good boolean, n_features long, log_weight double")
+    return docs.select("doc_id", "text").mapInArrow(f, "doc_id long, n_features long, log_weight double")
 
 
 def gumbel(seed: int = SEED) -> Column:
@@ -151,10 +154,13 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     """
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), good.alias("good")).where("good is not null and doc_id is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, "doc_id", "left")
-    weighed = written(weigh(base, ratios(base)))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    good_ids = marks.where("good").select("doc_id")
+    share = min(1.0, TARGET_DOCS / max(1, good_ids.count()))
+    target = good_ids.where(F.pmod(F.xxhash64("doc_id", F.lit("target")), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1)).toArrow()
+    weighed = written(weigh(base, ratios(base, target.column("doc_id").to_numpy().astype(np.int64))))
     if k is None:
-        k = weighed.where(F.col("log_weight") >= cut(weighed)).count()
+        k = weighed.where(F.col("log_weight") >= cut(weighed.join(marks, "doc_id"))).count()
     keyed = weighed.withColumn("gumbel_key", F.col("log_weight") + gumbel(seed))
     at = kth_largest(keyed.select(sortable(F.col("gumbel_key")).alias("key")), "key", k)
     kept = F.lit(k > 0) if at is None else sortable(F.col("gumbel_key")) >= at

@@ -10,8 +10,9 @@ position differs with a chance of 0.15, so more than T = 23 of 64 differ in some
 Links are then confirmed on full sets. To keep the work down without losing a link:
 - nodes that share a key are first compared with the least node of that key (a star, one pair a row);
 - then keys whose nodes are still in different components are searched for further pairs across components. Groups are dealt in
-  tiles of TILE x TILE nodes, so no key is gathered in one task. Of the pairs between two components a tile reports the KEEP
-  closest; if it left out any, the search runs again with more, until none is left out;
+  tiles of TILE x TILE nodes, so no key is gathered in one task. A pair is reported under the first key that its nodes share,
+  and of the pairs between two components a batch reports KEEP; if any was left out, the search runs again with 16 times as
+  many, until none is left out;
 - a pair needs a signature distance within T, and parity sketches that allow it: each element of the symmetric difference flips
   one of 2048 bits, so the sketches' distance never exceeds the size of the difference.
 Components come from rounds of large-star and small-star, each written to the shared folder.
@@ -77,7 +78,7 @@ def parity(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """The keys of each signature, one for each position left out of its chunk."""
+    """The keys of each signature, one for each position left out of its chunk; the low six bits say which."""
     out = np.empty((len(sig), POSITIONS), np.uint64)
     wide = sig.astype(np.uint64) + np.uint64(1)
     for chunk in np.array_split(np.arange(POSITIONS), CHUNKS):
@@ -86,10 +87,19 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
             for x in chunk:
                 if x != j:
                     h = mix(h ^ wide[:, x])
-            out[:, j] = h
+            out[:, j] = h & ~np.uint64(POSITIONS - 1) | np.uint64(j)
     return out
 
 
+def first_shared(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    """The first position under whose key two signatures meet, for each pair of rows; POSITIONS if they never do."""
+    differ = s1 != s2
+    chunk = np.repeat(np.arange(CHUNKS), [len(c) for c in np.array_split(np.arange(POSITIONS), CHUNKS)])
+    count = np.stack([differ[:, chunk == c].sum(1) for c in range(CHUNKS)], axis=1)
+    meet = count[:, chunk] == differ
+    return np.where(meet.any(1), meet.argmax(1), POSITIONS)
+
+
 def _rows(sig: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sig), np.uint16).reshape(-1, POSITIONS)
 
@@ -214,6 +224,7 @@ def _across(shared: DataFrame, nodes: DataFrame, comps: DataFrame, similarity: f
                 i, j = np.concatenate(i_all), np.concatenate(j_all)
                 i_all, j_all, todo = [], [], 0
                 at = _near(n[i], n[j], sig[i], sig[j], odd[i], odd[j], similarity)
+                at = at[first_shared(sig[i[at]], sig[j[at]]) == key[i[at]] & (POSITIONS - 1)]  # each pair under one key
                 for a, b in zip(i[at].tolist(), j[at].tolist()):
                     own = (min(comp[a], comp[b]), max(comp[a], comp[b]))
                     pair = (min(node[a], node[b]), max(node[a], node[b]))
@@ -278,14 +289,12 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id of the document's component) and kept (doc_id = component_id).
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
-    Defined cases: a null or empty text has an empty set and is a component of its own; rows that repeat a doc_id with other
-    texts are documents of their own, with the same id; a null doc_id is not taken for a component's least, and is kept only if
-    its component has no id at all; an empty table gives an empty result; extra columns are ignored.
-    """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+def _graph(base: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of sketch(base), and every node with comp, its component, and the doc_id and rid of its least document."""
     rows = written(sketch(base, shingle))
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "n", "sig", "odd")).alias("x")
     nodes = written(rows.where("n > 0").groupBy("node").agg(pick).select("node", "x.doc_id", "x.rid", "x.n", "x.sig", "x.odd"))
@@ -305,8 +314,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not left_out:
             break
         keep *= 16
-    of_node = nodes.select("node", F.col("doc_id").alias("least")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = of_node.groupBy("comp").agg(F.min("least").alias("component_id"))
-    known = of_node.join(least, "comp").select("node", "component_id")
+    return rows, nodes.select("node", "doc_id", "rid").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id of the document's component) and kept (doc_id = component_id).
+
+    Defined cases: a null or empty text has an empty set and is a component of its own; rows that repeat a doc_id with other
+    texts are documents of their own, with the same id; a null doc_id is not taken for a component's least, and is kept only if
+    its component has no id at all; an empty table gives an empty result; extra columns are ignored.
+    """
+    rows, nodes = _graph(_base(docs, id_col, text_col), similarity, shingle)
+    least = nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    known = nodes.join(least, "comp").select("node", "component_id")
     out = rows.select("doc_id", "n", "node").join(known, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """docs with one document of each component, the one with the least doc_id; documents without words all stay.
+
+    Rows that repeat both doc_id and text count as one document.
+    """
+    rid = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows, nodes = _graph(_base(docs, "doc_id", "text"), similarity, shingle)
+    first = nodes.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("x")).select(F.col("x.rid").alias("__keep"))
+    stay = first.unionByName(rows.where("n = 0").select(F.col("rid").alias("__keep"))).distinct()
+    return docs.withColumn("__rid", rid).join(stay, F.col("__rid") == F.col("__keep"), "left_semi").dropDuplicates(["__rid"]).drop("__rid")

@@ -56,7 +56,7 @@ def resolve_imports(imports: DataFrame, paths: DataFrame, go_module: str = "") -
     rows = rows.withColumn("__found", found)
     target = F.when(F.col("__found").isNotNull(), F.col("__found")).otherwise(F.col("target_file_path"))
     kind = F.when(outside & F.col("__found").isNotNull(), "INTERNAL").otherwise(F.col("import_type"))
-    return rows.withColumn("target_file_path", target).withColumn("import_type", kind).select(*columns)
+    return rows.withColumns({"target_file_path": target, "import_type": kind}).select(*columns)
 
 
 def enclosing_symbol(points: DataFrame, symbols: DataFrame, file: str = "file", line: str = "line", key: str = "ref_id") -> DataFrame:

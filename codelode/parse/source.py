@@ -52,10 +52,16 @@ class Source:
 
     def block_end(self, at: int, stop: str = ";") -> int:
         """Where the braces that open at or after a position close; without any before `stop` or a blank line, the statement's end."""
-        depth, i, code = 0, at, self.code
-        for m in re.compile(rf"[{{}}{re.escape(stop)}]|\n[ \t]*\n").finditer(code, at):
+        depth, inside, i, code = 0, 0, at, self.code
+        for m in re.compile(rf"[{{}}()\[\]{re.escape(stop)}]|\n[ \t]*\n").finditer(code, at):
             i = m.end()
-            if m[0] == "{":
+            if m[0] in "([":
+                inside += 1
+            elif m[0] in ")]":
+                inside = max(inside - 1, 0)
+            elif inside:  # braces of parameters, arguments and nested literals
+                continue
+            elif m[0] == "{":
                 depth += 1
             elif m[0] == "}":
                 depth -= 1

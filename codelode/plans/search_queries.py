@@ -11,9 +11,9 @@ from codelode.plans.registry import query
 _MATCH = "(length(lower({c})) - length(replace(lower({c}), '{q}', ''))) // {n}"
 
 
-@query(f"SELECT doc_id, lang, source, {_MATCH.format(c='text', q='nation', n=6)} AS match_count FROM documents WHERE text ILIKE '%nation%' ORDER BY doc_id LIMIT 20")
+@query(f"SELECT doc_id, lang, source, {_MATCH.format(c='text', q='tion of', n=7)} AS match_count FROM documents WHERE text ILIKE '%tion of%' ORDER BY doc_id LIMIT 20")
 def search_insensitive(t):
-    return search_content(t("documents"), "Nation").page().select("doc_id", "lang", "source", "match_count")
+    return search_content(t("documents"), "Tion OF").page().select("doc_id", "lang", "source", "match_count")
 
 
 @query("SELECT doc_id, (length(text) - length(replace(text, 'The', ''))) // 3 AS match_count FROM documents WHERE text LIKE '%The%'")

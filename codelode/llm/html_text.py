@@ -131,21 +131,19 @@ def _place_features(stack: tuple) -> tuple[str, ...]:
         for w in re.findall(r"[a-z]+|[A-Z][a-z]*", words):
             out.add(f"word={w.lower()}")
     out.add(f"own={stack[-1][0] if stack else '-'}")
+    named = next((words for _, words in reversed(stack) if words), "")  # of the nearest ancestor with a name
+    out.update(f"near={w.lower()}" for w in re.findall(r"[a-z]+|[A-Z][a-z]*", named))
     if not inside:
         out.add("outside")
     return tuple(sorted(out))
 
 
-def text_features(b: Block, i: int, n: int) -> list[str]:
-    """Features of a block's text and place in the page."""
+def text_features(b: Block) -> list[str]:
+    """Features of a block's text."""
     n_words = b.text.count(" ") + 1
     out = [f"len={min(6, int(math.log2(n_words)))}", "link=" + ("all" if b.linked > 0.8 * len(b.text) else "some" if b.linked else "none"), "end=" + ("dot" if b.text[-1] in ".!?…\"'”»" else "other")]
     if "©" in b.text:
         out.append("copyright")
-    if i == 0:
-        out.append("first")
-    if i == n - 1:
-        out.append("last")
     return out
 
 
@@ -158,8 +156,8 @@ class CRF:
         self._places: dict[tuple, tuple[float, float]] = {}
 
     def scores(self, page: list[Block]) -> list[tuple[float, float]]:
-        out, n, w = [], len(page), self.emission
-        for i, b in enumerate(page):
+        out, w = [], self.emission
+        for b in page:
             at = self._places.get(b.stack)
             if at is None:
                 own = [w[f] for f in _place_features(b.stack) if f in w]
@@ -167,7 +165,7 @@ class CRF:
                     self._places.clear()
                 at = self._places[b.stack] = sum(x[0] for x in own), sum(x[1] for x in own)
             s0, s1 = at
-            for f in text_features(b, i, n):
+            for f in text_features(b):
                 if (x := w.get(f)) is not None:
                     s0 += x[0]
                     s1 += x[1]
@@ -195,7 +193,7 @@ class CRF:
     def step(self, page: list[Block], gold: list[int], rate: float, decay: float) -> None:
         """A gradient step on the page's conditional log likelihood."""
         n = len(page)
-        feats = [[*_place_features(b.stack), *text_features(b, i, n)] for i, b in enumerate(page)]
+        feats = [[*_place_features(b.stack), *text_features(b)] for b in page]
         e = np.array([np.sum([self.emission.setdefault(f, [0.0, 0.0]) for f in own], axis=0) for own in feats])
         la, lb = np.zeros((n, 2)), np.zeros((n, 2))
         la[0] = e[0] + self.begin
@@ -218,7 +216,7 @@ class CRF:
         self.begin += rate * (np.eye(2)[gold[0]] - node[0] - decay * self.begin)
 
 
-def train(pages: Iterable[tuple[str, list[int]]], epochs: int = 6, rate: float = 0.1, decay: float = 0.01) -> CRF:
+def train(pages: Iterable[tuple[str, list[int]]], epochs: int = 8, rate: float = 0.1, decay: float = 0.0005) -> CRF:
     """A CRF from labelled pages, (html, label of each leaf block: 1 for main text)."""
     model, ready = CRF(), [(blocks(p), y) for p, y in pages]
     for t in range(epochs):
@@ -229,7 +227,7 @@ def train(pages: Iterable[tuple[str, list[int]]], epochs: int = 6, rate: float =
     return model
 
 
-def sample_pages(n: int = 400, seed: int = 7) -> Iterator[tuple[str, list[int]]]:
+def sample_pages(n: int = 800, seed: int = 7) -> Iterator[tuple[str, list[int]]]:
     """Varied labelled pages of invented words."""
     r = random.Random(seed)
     made = ["".join(r.choice("bcdfglmnprstvz") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(600)]
@@ -286,7 +284,7 @@ def sample_pages(n: int = 400, seed: int = 7) -> Iterator[tuple[str, list[int]]]
             for _ in range(r.choice([1, 2, 3, 5, 8, 12])):
                 kind = r.random()
                 if kind < 0.62:
-                    out += f"<p>{put(1, say(*r.choice([(1, 4), (8, 40), (40, 120)])))}</p>"
+                    out += f"<p>{put(1, say(*r.choice([(1, 4), (8, 40), (40, 120), (60, 300)]), r.random() < 0.85))}</p>"
                 elif kind < 0.74:
                     out += f"<p><b>{put(1, say(3, 60))}<br>"
                 elif kind < 0.79:
@@ -307,6 +305,9 @@ def sample_pages(n: int = 400, seed: int = 7) -> Iterator[tuple[str, list[int]]]
                 out += comments()
             return box(["article", "article", "article", "main", 'div class="content"', 'div id="content"', 'div class="post entry-content"', 'section class="story"', 'div class="article-body"', 'div class="page"', 'article class="post"', 'div role="main"'], out)
 
+        if r.random() < 0.12:  # nothing around the article
+            yield r.choice(["{}", "<body>{}</body>", "<div>{}</div>"]).format(article()), gold
+            continue
         body = ""
         for make, p in ((head, 0.4), (menu, 0.75), (notice, 0.25), (advert, 0.5), (side, 0.15), (form, 0.15)):
             body += make() if r.random() < p else ""

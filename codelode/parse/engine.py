@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.operators.layout import spread
 from codelode.parse import artifacts, chunks, imports, symbols
 from codelode.parse.languages import CONFIG_NAMES, EXPORTS, JS_LIKE, LANGUAGES, detect
 from codelode.parse.source import Source
@@ -167,6 +168,7 @@ def parse(files: DataFrame, path: str = "file_path", content: str = "content", l
     from pyspark.sql.pandas.types import to_arrow_schema
 
     rows = files.select(F.col(path).cast("string").alias("p"), F.col(content).cast("string").alias("c"), (F.col(language).cast("string") if language else F.lit(None).cast("string")).alias("l"))
+    rows = spread(rows)
     target = to_arrow_schema(files.sparkSession.createDataFrame([], RESULT).schema)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm._common import slabs
+from codelode.operators.layout import spread
 
 #: Tags that end a block of text, tags whose content is no text, tags without content, elements that end others.
 BLOCK = frozenset(
@@ -340,6 +341,7 @@ def extract(pages: DataFrame, model: CRF | None = None) -> DataFrame:
     are ignored.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    base = spread(base)
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from codelode.llm._common import slabs, written
 from codelode.llm._tokens import distinct, mix, powers, windows, words
+from codelode.operators.layout import spread
 
 BUCKETS, PRIOR, ERRORS, SEED = 1 << 18, 1.0, 3.0, 11
 LOSS, TARGET_DOCS = 0.01, 20_000
@@ -155,6 +156,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), good.alias("good")).where("good is not null and doc_id is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = spread(base)
     good_ids = marks.where("good").select("doc_id")
     share = min(1.0, TARGET_DOCS / max(1, good_ids.count()))
     target = good_ids.where(F.pmod(F.xxhash64("doc_id", F.lit("target")), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1)).toArrow()

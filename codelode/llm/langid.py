@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from codelode.llm._common import slabs
 from codelode.llm._tokens import buffer
+from codelode.operators.layout import spread
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 2000
@@ -197,5 +198,5 @@ def predict(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Data
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = train(base.where(remainder() != 2), docs_per_language=docs_per_language)
-    ready = base.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "text")
+    ready = spread(base).select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "text")
     return identify(ready, counts, keep=["doc_id", "held_out"])

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from codelode.llm._common import slabs, written
 from codelode.llm._tokens import mix, windows, words
+from codelode.operators.layout import spread
 
 SHINGLE, SIMILARITY = 5, 0.85
 POSITIONS, WITHIN, CHUNKS = 64, 23, 12
@@ -129,7 +130,7 @@ def sketch(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             cols += [pa.array([next(x).tobytes() if len(s) else None for s in sets], pa.binary()) for x in (sig, odd)]
             yield pa.record_batch([slab.column("doc_id"), slab.column("rid"), *cols], names=["doc_id", "rid", "n", "node", "sig", "odd"])
 
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text").mapInArrow(f, "doc_id long, rid long, n long, node long, sig binary, odd binary")
+    return spread(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")).mapInArrow(f, "doc_id long, rid long, n long, node long, sig binary, odd binary")
 
 
 def _keys(nodes: DataFrame) -> DataFrame:

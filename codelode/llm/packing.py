@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm._common import slabs, written
+from codelode.operators.layout import spread
 
 LENGTH, OPEN, FAN_IN = 1024, 16, 64
 #: Sequence ids: partition-phase ids count up from partition * 2^SHIFT; merged ones have MERGED added.
@@ -162,6 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     schema = f"{_PIECE}, {_LEFT}"
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = spread(base)
     out = written(base.mapInArrow(first, schema))
     done, level = out.where("part is null"), 0
     left = out.where("part is not null")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelode.operators.layout import spread
+
 #: Kinds in order, the plain pattern of each, and the same for linear-time search.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -119,7 +121,7 @@ def joined(spans: Column) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256, spans (all of them, as kind:start:end joined by commas) and scores."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    found = find(base).drop("text")
+    found = find(spread(base)).drop("text")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     own = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

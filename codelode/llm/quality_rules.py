@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from codelode.llm._common import slabs, written
 from codelode.llm._tokens import SPACE, windows, words
+from codelode.operators.layout import spread
 
 LEAST, FENCE = 50, 3
 #: Metrics as whole numbers: numerator, denominator, scale, floor of the spread, and whether low values fail too.
@@ -73,7 +74,7 @@ def features(docs: DataFrame) -> DataFrame:
             c = count_slab(slab.column("text"))
             yield pa.record_batch([slab.column("doc_id"), slab.column("lang"), slab.column("source"), *[pa.array(c[k]) for k in COUNTS]], names=["doc_id", "lang", "source", *COUNTS])
 
-    return base.mapInArrow(f, "doc_id long, lang string, source string, " + ", ".join(f"{k} long" for k in COUNTS))
+    return spread(base).mapInArrow(f, "doc_id long, lang string, source string, " + ", ".join(f"{k} long" for k in COUNTS))
 
 
 def bucket(v: Column) -> Column:

@@ -148,16 +148,17 @@ def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary")).alias("payload"))
     base = base.withColumn("key", F.sha2("payload", 256))
     groups = base.where(F.octet_length("payload") >= min_bytes).groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("key", "last")
-    return base.join(groups, "key", "left").select("page_id", "url", "payload", F.when(F.col("last") != F.coalesce(F.col("page_id"), F.col("last") - 1), F.col("last")).alias("refers_to"))
+    return base.join(groups, "key", "left").select("page_id", "url", "payload", "key", F.when(F.col("last") != F.coalesce(F.col("page_id"), F.col("last") - 1), F.col("last")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write pages as archives below folder and return a row per archive: archive, records.
 
-    folder is a URI that all executors reach (file:// on a shared mount, hdfs://, s3://). An archive is written under a name
-    of its task attempt and then renamed to a name of its partition, so repeated attempts leave one archive each.
+    folder is a URI that all executors reach (file:// on a shared mount, hdfs://, s3://). A partition's rows are sorted, so another
+    attempt at it makes the same archives; each is written aside and renamed, so attempts replace one another's archives by
+    equal ones and never leave half of one or a record twice.
     """
-    rows = decide(pages, min_bytes)
+    rows = decide(pages, min_bytes).sortWithinPartitions("page_id", "url", "key")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -170,7 +171,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes
         def close():
             nonlocal out, k, size, n
             out.close()
-            store.move(f"{root}/.tmp-{part:06d}-{k:04d}-{attempt}", name := f"{root}/part-{part:06d}-{k:04d}.warc.gz")
+            name = f"{root}/part-{part:06d}-{k:04d}.warc.gz"
+            if store.get_file_info(name).type != fs.FileType.NotFound:  # of an earlier attempt; renaming does not replace everywhere
+                store.delete_file(name)
+            store.move(f"{root}/.tmp-{part:06d}-{k:04d}-{attempt}", name)
             done.append((name.rpartition("/")[2], n))
             out, k, size, n = None, k + 1, 0, 0
 

@@ -191,12 +191,15 @@ def raw_chunks(files: DataFrame, key: str, content: str) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 500):
-                part, rows = batch.slice(at, 500), []
-                for k, text in zip(part.column("k").to_pylist(), part.column("c").to_pylist()):
+                part, rows, of = batch.slice(at, 500), [], []
+                for i, text in enumerate(part.column("c").to_pylist()):
                     n = text.count("\n") + (text != "" and not text.endswith("\n"))
-                    rows += [(k, i, c["content"], c["chunk_hash"], c["start_line"], c["end_line"]) for i, c in enumerate(chunks.raw_chunks("", text, n))]
-                cols = list(zip(*rows)) or [()] * 6
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()))], names=["key", "seq", "content", "chunk_hash", "start_line", "end_line"])
-
-    rows = files.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(content).cast("string"), F.lit("")).alias("c"))
-    return rows.mapInArrow(f, "key long, seq int, content string, chunk_hash string, start_line int, end_line int")
+                    found = chunks.raw_chunks("", text, n)
+                    of += [i] * len(found)
+                    rows += [(k, c["content"], c["chunk_hash"], c["start_line"], c["end_line"]) for k, c in enumerate(found)]
+                cols = list(zip(*rows)) or [()] * 5
+                rest = [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()))]
+                yield pa.record_batch([part.column("key").take(pa.array(of, pa.int64())), *rest], names=["key", "seq", "content", "chunk_hash", "start_line", "end_line"])
+
+    rows = files.select(F.col(key).alias("key"), F.coalesce(F.col(content).cast("string"), F.lit("")).alias("c"))
+    return rows.mapInArrow(f, f"key {rows.dtypes[0][1]}, seq int, content string, chunk_hash string, start_line int, end_line int")

@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +30,50 @@ def top_k(vectors: DataFrame, query: list[float], k: int, vector: str = "embeddi
     return rows.withColumn("score", F.round(cosine(F.col(vector), q), 6)).orderBy(F.desc_nulls_last("score"), key).limit(k)
 
 
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", block: int = 2000) -> DataFrame:
+    """query_id, key, score and rank: the k vectors most similar to each of a stated set of queries (query_id, vector).
+
+    Exact: every vector is compared with every query by matrix products. Queries go to the driver in blocks of at most `block`,
+    whose size bounds what is broadcast; each Arrow batch of vectors gives at most k rows a query, which are then merged. Ties go
+    to the lower key. Vectors of another length than the queries, or of length zero, are no candidates.
+    """
+    spark = vectors.sparkSession
+    asked = queries.select(F.col("query_id").cast("long"), F.col(vector)).where(F.col(vector).isNotNull())
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col(vector).isNotNull())
+
+    def search(part: list) -> DataFrame:
+        ids = np.array([r["query_id"] for r in part], np.int64)
+        q = np.array([r[vector] for r in part], np.float64)
+        shared = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
+
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for batch in batches:
+                fit = batch.filter(pa.compute.equal(pa.compute.list_value_length(batch.column("v")), q.shape[1]))
+                if not len(fit):
+                    continue
+                x = fit.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1]).astype(np.float64)
+                norm, own = np.linalg.norm(x, axis=1), fit.column("id").to_numpy()
+                score = np.where(norm > 0, np.round(q @ x.T / np.maximum(norm, 1e-300), 6), -2)
+                best = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
+                at = np.take_along_axis(score, best, 1)
+                ok = at.ravel() > -2
+                yield pa.record_batch([pa.array(np.repeat(ids, best.shape[1])[ok]), pa.array(own[best.ravel()][ok]), pa.array(at.ravel()[ok])], names=["query_id", "id", "score"])
+
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        return rows.mapInArrow(f, "query_id long, id long, score double").withColumn("rank", place).where(F.col("rank") <= k)
+
+    out, part = None, []
+    for r in asked.toLocalIterator():
+        part.append(r)
+        if len(part) == block:
+            out, part = search(part) if out is None else out.unionByName(search(part)), []
+    if part or out is None:
+        last = search(part) if part else spark.createDataFrame([], "query_id long, id long, score double, rank int")
+        out = last if out is None else out.unionByName(last)
+    return out.withColumnRenamed("id", key)
+
+
 def wrong_dims(vectors: DataFrame, dims: int, vector: str = "embedding") -> DataFrame:
     """Vectors that do not have dims entries."""
     return vectors.where(F.coalesce(F.size(vector), F.lit(-1)) != dims)

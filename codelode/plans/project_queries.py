@@ -214,3 +214,16 @@ def reap_dead_jobs(t):
     beats = t("events").select(F.col("user_id").alias("worker_id"), (F.col("ts") + offset + G.expr("INTERVAL 7 DAYS - INTERVAL 30 SECONDS")).alias("ts"))
     jobs = _jobs(t).withColumn("worker_id", F.col("project_id"))
     return health.reap(jobs, beats, _as_of()).select("job_id", "status")
+
+
+@query("SELECT event_type, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total, count(*) AS n FROM events GROUP BY event_type")
+def event_properties(t):
+    k = F.from_json("props", "k long")["k"]
+    return t("events").groupBy("event_type").agg(F.sum(k).alias("total"), F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) INTERSECT SELECT doc_id FROM documents WHERE lang <> 'fr'")
+def changed_on_disk(t):
+    d = t("documents").select("doc_id", "lang")
+    changed = d.where("doc_id % 3 = 0").select("doc_id").join(t("labels").where("quality = 0").select("doc_id"), "doc_id", "left_anti")
+    return changed.intersect(d.where("lang <> 'fr'").select("doc_id"))

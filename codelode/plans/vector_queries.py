@@ -24,6 +24,13 @@ def vector_topk_filtered(t):
     return vectors.top_k(t("embeddings"), _query(t), 10, where=F.col("label").isin(2, 3) & (F.col("vec_id") % 2 == 0)).select("vec_id", "label", "score")
 
 
+@query("""SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank
+FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q QUALIFY rank <= 10""")
+def vector_topk_batch(t):
+    queries = t("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.top_k_batch(t("embeddings"), queries, 10)
+
+
 @query("SELECT count(*) AS wrong FROM embeddings WHERE len(embedding) <> 64")
 def vector_dims_check(t):
     return vectors.wrong_dims(t("embeddings"), 64).agg(F.count("*").alias("wrong"))

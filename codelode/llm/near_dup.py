@@ -10,7 +10,8 @@ position differs with a chance of 0.15, so more than T = 23 of 64 differ in some
 Links are then confirmed on full sets. To keep the work down without losing a link:
 - nodes that share a key are first compared with the least node of that key (a star, one pair a row);
 - then keys whose nodes are still in different components are searched for further pairs across components. Groups are dealt in
-  tiles of TILE x TILE nodes, so no key is gathered in one task. A pair is reported under the first key that its nodes share,
+  tiles of TILE x TILE nodes, so no key is gathered in one task, and the nodes of a key's largest component meet only those outside
+  it. A pair is reported under the first key that its nodes share,
   and of the pairs between two components a batch reports KEEP; if any was left out, the search runs again with 16 times as
   many, until none is left out;
 - a pair needs a signature distance within T, and parity sketches that allow it: each element of the symmetric difference flips
@@ -198,11 +199,14 @@ def _stars(shared: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
 def _across(shared: DataFrame, nodes: DataFrame, comps: DataFrame, similarity: float, keep: int) -> DataFrame:
     """Pairs of nodes under one key in different components, as far as sketches allow a link: u, v, and more (pairs were left out)."""
     own = shared.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = own.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 != c2").select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    # a key's largest component and the rest are dealt apart: pairs within the largest need no look, however large it is
+    parts = own.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("major"))
+    mixed = parts.where("comps > 1").select("key", "major", F.ceil((F.col("size") - F.col("most")) / TILE).cast("int").alias("rest"), F.ceil(F.col("most") / TILE).cast("int").alias("large"))
     rows = own.join(mixed, "key").join(nodes.select("node", "n", "sig", "odd"), "node")
-    place = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    tiles = rows.withColumn("tile", place).select("*", other.alias("other")).withColumns({"x": F.least("tile", "other"), "y": F.greatest("tile", "other")})
+    is_major, salt = F.col("comp") == F.col("major"), F.xxhash64("node", F.lit(1))
+    place = F.when(is_major, F.col("rest") + F.pmod(salt, F.col("large"))).otherwise(F.pmod(salt, F.col("rest"))).cast("int")
+    meets = F.when(is_major, F.col("rest") - 1).otherwise(F.col("rest") + F.col("large") - 1)
+    tiles = rows.withColumn("tile", place).select("*", F.explode(F.sequence(F.lit(0), meets)).alias("other")).withColumns({"x": F.least("tile", "other"), "y": F.greatest("tile", "other")})
     dealt = tiles.select("key", "x", "y", "tile", "node", "comp", "n", "sig", "odd").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "tile")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

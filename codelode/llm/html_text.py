@@ -263,7 +263,7 @@ def sample_pages(n: int = 800, seed: int = 7) -> Iterator[tuple[str, list[int]]]
             inner = ""
             for _ in range(r.randint(1, 3)):
                 inner += f"<h3>{put(0, say(1, 4, False))}</h3>" + (f"<p>{put(0, say(5, 40))}</p>" if r.random() < 0.5 else "<ul>" + "".join(f"<li><a href=#>{put(0, say(2, 8, False))}</a></li>" for _ in range(3)) + "</ul>")
-            return box(["aside", 'div class="sidebar"', 'div id="sidebar"', 'aside class="related"', 'section class="related-posts"', 'div class="widget"', 'div class="share social"'], inner)
+            return box(["aside", f'aside class="{r.choice(made)}"', f'aside id="{r.choice(made)}"', 'div class="sidebar"', 'div id="sidebar"', 'aside class="related"', 'section class="related-posts"', 'div class="widget"', 'div class="share social"'], inner)
 
         def form() -> str:
             return f"<form action=#><label>{put(0, say(1, 3, False))}</label><input name=q>" + (f"<p>{put(0, say(3, 15))}</p>" if r.random() < 0.4 else "") + f"<select><option>{put(0, say(1, 2, False))}<option>{put(0, say(1, 2, False))}</select><button>{put(0, say(1, 2, False))}</button></form>"
@@ -304,7 +304,9 @@ def sample_pages(n: int = 800, seed: int = 7) -> Iterator[tuple[str, list[int]]]
                     out += r.choice([advert, form, side, notice])()
             if r.random() < 0.1:
                 out += comments()
-            return box(["article", "article", "article", "main", 'div class="content"', 'div id="content"', 'div class="post entry-content"', 'section class="story"', 'div class="article-body"', 'div class="page"', 'article class="post"', 'div role="main"'], out)
+            if r.random() < 0.12:  # right in the body
+                return out
+            return box(["article", "article", "article", "main", 'div class="post"', 'div class="entry"', 'div id="main"', 'td class="body"', 'div class="content"', 'div id="content"', 'div class="post entry-content"', 'section class="story"', 'div class="article-body"', 'div class="page"', 'article class="post"', 'div role="main"'], out)
 
         if r.random() < 0.12:  # nothing around the article
             yield r.choice(["{}", "<body>{}</body>", "<div>{}</div>"]).format(article()), gold
@@ -319,6 +321,8 @@ def sample_pages(n: int = 800, seed: int = 7) -> Iterator[tuple[str, list[int]]]
             body += f"<main>{inner}</main>" if r.random() < 0.2 else f"<div>{inner}</div>" if r.random() < 0.15 else inner
         for make, p in ((comments, 0.35), (advert, 0.2), (side, 0.3), (form, 0.2), (notice, 0.1), (menu, 0.1), (foot, 0.8)):
             body += make() if r.random() < p else ""
+        if r.random() < 0.2:
+            body = box(['div class="wrapper"', 'div id="wrapper"', 'div class="container"', 'div id="page"', 'div class="site"', "div"], body)
         yield f"<!DOCTYPE html><html><head><title>{say(2, 5)}</title></head><body>{body}</body></html>", gold
 
 

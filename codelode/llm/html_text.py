@@ -263,7 +263,7 @@ def sample_pages(n: int = 800, seed: int = 7) -> Iterator[tuple[str, list[int]]]
             inner = ""
             for _ in range(r.randint(1, 3)):
                 inner += f"<h3>{put(0, say(1, 4, False))}</h3>" + (f"<p>{put(0, say(5, 40))}</p>" if r.random() < 0.5 else "<ul>" + "".join(f"<li><a href=#>{put(0, say(2, 8, False))}</a></li>" for _ in range(3)) + "</ul>")
-            return box(["aside", f'aside class="{r.choice(made)}"', f'aside id="{r.choice(made)}"', 'div class="sidebar"', 'div id="sidebar"', 'aside class="related"', 'section class="related-posts"', 'div class="widget"', 'div class="share social"'], inner)
+            return box(["aside", f'aside class="{r.choice(made)}"', 'div class="sidebar"', 'div id="sidebar"', 'aside class="related"', 'section class="related-posts"', 'div class="widget"', 'div class="share social"'], inner)
 
         def form() -> str:
             return f"<form action=#><label>{put(0, say(1, 3, False))}</label><input name=q>" + (f"<p>{put(0, say(3, 15))}</p>" if r.random() < 0.4 else "") + f"<select><option>{put(0, say(1, 2, False))}<option>{put(0, say(1, 2, False))}</select><button>{put(0, say(1, 2, False))}</button></form>"
@@ -280,7 +280,7 @@ def sample_pages(n: int = 800, seed: int = 7) -> Iterator[tuple[str, list[int]]]
         def foot() -> str:
             return box(["footer", 'div id="footer"', 'div class="footer"', 'footer class="site-footer"'], put(0, "&copy; " + say(1, 12)) if r.random() < 0.6 else f"<p>{put(0, say(2, 12))}</p>")
 
-        def article() -> str:
+        def article(bare: float = 0.12) -> str:
             out = (f"<header><h1>{put(1, say(2, 12, False))}</h1></header>" if r.random() < 0.15 else f"<h1>{put(1, say(2, 12, False))}</h1>") if r.random() < 0.85 else ""
             for _ in range(r.choice([1, 2, 3, 5, 8, 12])):
                 kind = r.random()
@@ -304,12 +304,12 @@ def sample_pages(n: int = 800, seed: int = 7) -> Iterator[tuple[str, list[int]]]
                     out += r.choice([advert, form, side, notice])()
             if r.random() < 0.1:
                 out += comments()
-            if r.random() < 0.12:  # right in the body
+            if r.random() < bare:  # right in the body
                 return out
             return box(["article", "article", "article", "main", 'div class="post"', 'div class="entry"', 'div id="main"', 'td class="body"', 'div class="content"', 'div id="content"', 'div class="post entry-content"', 'section class="story"', 'div class="article-body"', 'div class="page"', 'article class="post"', 'div role="main"'], out)
 
-        if r.random() < 0.12:  # nothing around the article
-            yield r.choice(["{}", "<body>{}</body>", "<div>{}</div>"]).format(article()), gold
+        if r.random() < 0.15:  # nothing around the article
+            yield r.choice(["{}", "<body>{}</body>", "<div>{}</div>"]).format(article(0.6)), gold
             continue
         body = ""
         for make, p in ((head, 0.4), (menu, 0.75), (notice, 0.25), (advert, 0.5), (side, 0.15), (form, 0.15)):

@@ -47,6 +47,21 @@ def test_viterbi_is_the_best_labelling():
         assert abs(value(best) - value(tuple(model.viterbi(own)))) < 1e-9
 
 
+_P = "<p>Thinre onea ther and the onher tion of. Ered the an.</p>"
+LAYOUTS = {
+    f"<html><body>{_P}{_P}</body></html>": "11", f"<body><div id='header'>Site</div><div id='main'><h1>T</h1>{_P}<p class='notice'>Accept our terms.</p>{_P}<div class='ad'>Buy.</div></div><div id='sidebar'>{_P}</div></body>": "0110100",
+    f"<body><nav>Home</nav><article><h1>T</h1>{_P}</article><ul class='comments'><li>{_P}</li><li>Nice.</li></ul><footer>{_P}</footer></body>": "011000", f"<body><div class='wrapper'><div class='top-menu'><a>A</a></div><div class='post'>{_P}<div class='related'>See</div></div></div></body>": "010",
+    f"<body><div class='cookie'>We use cookies.</div><article>{_P}<form><p>Sign up</p><button>Go</button></form>{_P}</article><aside>{_P}</aside><div class='comment'>{_P}</div></body>": "0100100",
+    f"<body><div role='navigation'>Menu</div><div role='main'>{_P}</div><div role='complementary'>{_P}</div></body>": "010", f"<body><header>Brand</header><article><header><h1>Title</h1></header>{_P}</article></body>": "011",
+    f"<body><section class='notice'>{_P}</section><article>{_P}</article><section class='comments'><article>{_P}</article></section></body>": "010", f"<table><tr><td class='menu'><a>Home</a></td><td>{_P}{_P}</td></tr></table>": "011",
+}
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_layouts(page):
+    assert "".join(map(str, html_text.default_model().viterbi(html_text.blocks(page)))) == LAYOUTS[page]
+
+
 def test_extract(spark):
     article = "<article><h1>Title</h1><p>First paragraph of the text, long enough.</p><p>Second&nbsp;one.</p></article>"
     page = f"<body><header>Site</header><nav><ul><li><a>Home</a></li></ul></nav><div class='ad'>Buy now.</div>{article}<aside><h3>Related</h3></aside><section id='comments'><div class='comment'><p>Nice read, thank you.</p></div></section><footer>&copy; me</footer></body>"

@@ -251,19 +251,19 @@ def sample_pages(n: int = 800, seed: int = 7) -> Iterator[tuple[str, list[int]]]
             if r.random() < 0.7:
                 items = "".join(f"<li><a href=#>{put(0, say(1, 2, False))}</a></li>" for _ in range(r.randint(2, 8)))
                 return box(["nav", "nav id=nav", 'div class="menu"', 'div class="navbar main-nav"', 'ul class="navigation"', 'div class="breadcrumb"', "menu"], f"<ul>{items}</ul>")
-            return box(["nav", 'div class="menu"', 'div id="topnav"', 'div class="breadcrumbs"'], put(0, " | ".join(f"<a href=#>{say(1, 2, False)}</a>" for _ in range(4))))
+            return box(["nav", 'div class="menu"', 'td class="menu"', "div role=navigation", 'div id="topnav"', 'div class="breadcrumbs"'], put(0, " | ".join(f"<a href=#>{say(1, 2, False)}</a>" for _ in range(4))))
 
         def notice() -> str:
-            return box(['div class="notice"', 'div class="cookie-notice"', 'div id="cookie-banner"', 'div role="alert"', 'div class="alert"', 'div class="consent popup"', 'section class="newsletter"', "dialog"], f"<p>{put(0, say(4, 30))}</p>" if r.random() < 0.5 else put(0, say(4, 30)))
+            return box(['div class="notice"', 'div class="cookie-notice"', 'div id="cookie-banner"', 'div role="alert"', 'div class="alert"', 'div class="consent popup"', 'section class="newsletter"', "dialog", 'div class="warning"', 'div class="disclaimer"'], f"<p>{put(0, say(4, 30))}</p>") if r.random() < 0.5 else box(['p class="notice"', 'p class="alert"', 'div class="notice"', 'div class="cookies"', 'div id="cookie-consent"'], put(0, say(4, 30)))
 
         def advert() -> str:
-            return box(['div class="ad"', 'div class="ads"', 'div class="advert"', 'div class="advertisement"', 'div class="sponsored"', 'div class="promo"', 'aside class="ad"', 'div id="ad-top"', 'section class="banner ad-slot"'], f"<p>{put(0, say(3, 40))}</p>" if r.random() < 0.4 else put(0, say(3, 40)))
+            return box(['div class="ad"', 'div class="ads"', 'div class="advert"', 'div class="advertisement"', 'div class="sponsored"', 'div class="promo"', 'aside class="ad"', 'div id="ad-top"', 'section class="banner ad-slot"', 'div class="ad banner"'], f"<p>{put(0, say(3, 40))}</p>" if r.random() < 0.4 else put(0, say(3, 40)))
 
         def side() -> str:
             inner = ""
             for _ in range(r.randint(1, 3)):
                 inner += f"<h3>{put(0, say(1, 4, False))}</h3>" + (f"<p>{put(0, say(5, 40))}</p>" if r.random() < 0.5 else "<ul>" + "".join(f"<li><a href=#>{put(0, say(2, 8, False))}</a></li>" for _ in range(3)) + "</ul>")
-            return box(["aside", f'aside class="{r.choice(made)}"', 'div class="sidebar"', 'div id="sidebar"', 'aside class="related"', 'section class="related-posts"', 'div class="widget"', 'div class="share social"'], inner)
+            return box(["aside", f'aside class="{r.choice(made)}"', "div role=complementary", 'td class="side"', 'div class="sidebar"', 'div id="sidebar"', 'aside class="related"', 'section class="related-posts"', 'div class="widget"', 'div class="share social"'], inner)
 
         def form() -> str:
             return f"<form action=#><label>{put(0, say(1, 3, False))}</label><input name=q>" + (f"<p>{put(0, say(3, 15))}</p>" if r.random() < 0.4 else "") + f"<select><option>{put(0, say(1, 2, False))}<option>{put(0, say(1, 2, False))}</select><button>{put(0, say(1, 2, False))}</button></form>"
@@ -275,30 +275,30 @@ def sample_pages(n: int = 800, seed: int = 7) -> Iterator[tuple[str, list[int]]]
             return box(['section id="comments"', 'div class="comments"', 'div id="comments"', 'ol class="comment-list"', 'section class="comments responses"', 'div id="disqus" class="comments"'], inner)
 
         def head() -> str:
-            return box(["header", 'div id="header"', 'div class="header"', 'header class="site-header"', 'div class="masthead"'], (f"<h1>{put(0, say(1, 4, False))}</h1>" if r.random() < 0.3 else put(0, say(1, 5, False))) + (f"<p>{put(0, say(2, 8))}</p>" if r.random() < 0.4 else "") + (menu() if r.random() < 0.4 else ""))
+            return box(["header", "div role=banner", 'div id="header"', 'div class="header"', 'header class="site-header"', 'div class="masthead"'], (f"<h1>{put(0, say(1, 4, False))}</h1>" if r.random() < 0.3 else put(0, say(1, 5, False))) + (f"<p>{put(0, say(2, 8))}</p>" if r.random() < 0.4 else "") + (menu() if r.random() < 0.4 else ""))
 
         def foot() -> str:
-            return box(["footer", 'div id="footer"', 'div class="footer"', 'footer class="site-footer"'], put(0, "&copy; " + say(1, 12)) if r.random() < 0.6 else f"<p>{put(0, say(2, 12))}</p>")
+            return box(["footer", "div role=contentinfo", 'div id="footer"', 'div class="footer"', 'footer class="site-footer"'], put(0, "&copy; " + say(1, 12)) if r.random() < 0.6 else f"<p>{put(0, say(2, 12))}</p>")
 
         def article(bare: float = 0.12) -> str:
             out = (f"<header><h1>{put(1, say(2, 12, False))}</h1></header>" if r.random() < 0.15 else f"<h1>{put(1, say(2, 12, False))}</h1>") if r.random() < 0.85 else ""
             for _ in range(r.choice([1, 2, 3, 5, 8, 12])):
                 kind = r.random()
-                if kind < 0.62:
+                if kind < 0.57:
                     out += f"<p>{put(1, say(*r.choice([(1, 4), (8, 40), (40, 120), (60, 300)]), r.random() < 0.85))}</p>"
-                elif kind < 0.74:
+                elif kind < 0.69:
                     out += f"<p><b>{put(1, say(3, 60))}<br>"
-                elif kind < 0.79:
+                elif kind < 0.74:
                     out += f"<h2>{put(1, say(1, 8, False))}</h2>"
-                elif kind < 0.85:
+                elif kind < 0.8:
                     out += "<ul>" + "".join(f"<li>{put(1, say(1, 14, r.random() < 0.5))}</li>" for _ in range(r.randint(1, 4))) + "</ul>"
-                elif kind < 0.88:
+                elif kind < 0.83:
                     out += f"<blockquote><p>{put(1, say(5, 40))}</p></blockquote>"
-                elif kind < 0.9:
+                elif kind < 0.85:
                     out += f"<pre>{put(1, say(3, 20, False))}</pre>"
-                elif kind < 0.92:
+                elif kind < 0.87:
                     out += "<table>" + "".join(f"<tr><td>{put(1, say(1, 4, False))}</td><td>{put(1, say(1, 4, False))}</td></tr>" for _ in range(2)) + "</table>"
-                elif kind < 0.95:
+                elif kind < 0.9:
                     out += f"<p>{put(1, say(3, 20))} <a href=#>{say(1, 4, False)}</a> {say(1, 9)}</p>"
                 else:
                     out += r.choice([advert, form, side, notice])()

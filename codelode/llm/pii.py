@@ -86,8 +86,8 @@ def _match(kind: str, text: Column) -> Column:
     return F.when(F.contains(text, F.lit(NEEDS[kind])), found).otherwise(F.array().cast("array<string>")) if kind in NEEDS else found
 
 
-def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with `spans`, an array of (kind, start, end, score) in code points, end exclusive, by kind in order and start.
+def find(docs: DataFrame, text_col: str = "text", name: str = "spans") -> DataFrame:
+    """docs with a column `name`, an array of (kind, start, end, score) in code points, end exclusive, by kind in order and start.
 
     Columns whose names start with __pii are used on the way. Matches that fail their check are dropped, not tried again at
     another place. Spans of different kinds may overlap. A null or empty text has none. Start positions are sums of the lengths
@@ -110,7 +110,7 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
         keep = lambda s: s["ok"] if kind in BASE else s["ok"] & (s["score"] >= THRESHOLD)
         return F.when(F.size(m) > 0, F.transform(F.filter(F.transform(m, one), keep), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
 
-    out = out.withColumn("spans", F.concat(*[spans(k) for k in PATTERNS]))
+    out = out.withColumn(name, F.concat(*[spans(k) for k in PATTERNS]))
     return out.drop(*[f"__pii_{k}" for k in PATTERNS], *[f"__pii_gap_{k}" for k in PATTERNS])
 
 
@@ -133,8 +133,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     A null text stays null; texts without spans stay as they are.
     """
     text = F.col(text_col)
-    found = find(docs, text_col)
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    found = find(docs, text_col, "__pii")
+    ordered = F.array_sort(F.transform("__pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -142,4 +142,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(F.greatest(a["at"], -s["back"]).alias("at"), F.when(s["start"] >= a["at"], more).otherwise(a["out"]).alias("out"))
 
     done = F.aggregate(ordered, first, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, done).otherwise(text)).select(*docs.columns)
+    return found.withColumn(text_col, F.when(F.size("__pii") > 0, done).otherwise(text)).select(*docs.columns)

@@ -285,7 +285,7 @@ def test_pii(spark):
 
 
 def test_redaction(spark):
-    docs = spark.createDataFrame([(1, "write to a@b.cd or call +1 (555) 123-4567.", 3), (2, None, 4), (3, "clean", 5), (4, "x +1 555 123 4567@h.io y", 6)], "doc_id long, text string, n int")
+    docs = spark.createDataFrame([(1, "write to a@b.cd or call +1 (555) 123-4567.", 3), (2, None, 4), (3, "clean", 5), (4, "x +1 555 123 4567@h.io y", 6)], "doc_id long, text string, spans int")
     got = {r["doc_id"]: r for r in pii.redact(docs).collect()}
-    assert got[1]["text"] == "write to [EMAIL] or call [PHONE]." and got[2]["text"] is None and got[3]["text"] == "clean" and got[1]["n"] == 3
+    assert got[1]["text"] == "write to [EMAIL] or call [PHONE]." and got[2]["text"] is None and got[3]["text"] == "clean" and got[1]["spans"] == 3
     assert got[4]["text"] == "x [PHONE] y"

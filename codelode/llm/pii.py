@@ -7,6 +7,8 @@ cannot give back are possessive. Matches are the leftmost non-overlapping ones o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,29 +88,57 @@ def _match(kind: str, text: Column) -> Column:
     return F.when(F.contains(text, F.lit(NEEDS[kind])), found).otherwise(F.array().cast("array<string>")) if kind in NEEDS else found
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda s, v: s + v)
+
+
+def starts(matches: Column, gaps: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f(start, match) of every match, from the matches and the lengths of the gaps before and between them.
+
+    Starts are running sums. There is no built-in for those over an array, so the steps are summed in blocks of about the root of
+    their number: k matches take some k * sqrt(k) additions.
+    """
+    step = lambda a: F.transform(a["m"], lambda x, i: a["g"][i] + F.when(i > 0, F.length(F.get(a["m"], i - 1))).otherwise(0))
+    side = lambda a: F.ceil(F.sqrt(F.size(a["m"]))).cast("int")
+    sums = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a["m"]) - 1) / a["n"]).cast("int")), lambda b: total(F.slice(a["s"], b * a["n"] + 1, a["n"])))
+    before = lambda a: F.transform(a["b"], lambda _, b: total(F.slice(a["b"], F.lit(1), b)))
+
+    def at(a: Column, i: Column) -> Column:
+        block = F.floor(i / a["n"]).cast("int")
+        return F.get(a["o"], block) + total(F.slice(a["s"], block * a["n"] + 1, i - block * a["n"] + 1))
+
+    def with_steps(a: Column) -> Column:
+        return let(F.struct(a["m"].alias("m"), step(a).alias("s"), side(a).alias("n")), lambda b: let(F.struct(b["m"].alias("m"), b["s"].alias("s"), b["n"].alias("n"), sums(b).alias("b")), lambda c: let(F.struct(c["m"].alias("m"), c["s"].alias("s"), c["n"].alias("n"), before(c).alias("o")), lambda d: F.transform(d["m"], lambda x, i: let(at(d, i), lambda start: f(start, x))))))
+
+    return let(F.struct(matches.alias("m"), gaps.alias("g")), with_steps)
+
+
 def find(docs: DataFrame, text_col: str = "text", name: str = "spans") -> DataFrame:
     """docs with a column `name`, an array of (kind, start, end, score) in code points, end exclusive, by kind in order and start.
 
     Columns whose names start with __pii are used on the way. Matches that fail their check are dropped, not tried again at
-    another place. Spans of different kinds may overlap. A null or empty text has none. Start positions are sums of the lengths
-    of gaps and matches before, so a text's cost has a term in the square of its number of matches.
+    another place. Spans of different kinds may overlap. A null or empty text has none.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = docs.withColumns({f"__pii_{k}": _match(k, text) for k in PATTERNS})
     out = out.withColumns({f"__pii_gap_{k}": F.when(F.size(f"__pii_{k}") > 0, F.transform(F.split(text, LINEAR[k], -1), F.length)) for k in PATTERNS})
 
     def spans(kind: str) -> Column:
-        m, gap = F.col(f"__pii_{kind}"), F.col(f"__pii_gap_{kind}")
-        size = F.transform(m, F.length)
+        plain, raised = SCORES[kind]
 
-        def one(x: Column, i: Column) -> Column:
-            start = F.aggregate(F.slice(gap, 1, i + 1), F.lit(0), lambda a, v: a + v) + F.aggregate(F.slice(size, 1, i), F.lit(0), lambda a, v: a + v)
+        def one(start: Column, x: Column) -> Column:
             near = F.concat(F.substring(text, F.greatest(start + 1 - BEFORE, F.lit(1)), F.least(start, F.lit(BEFORE))), F.lit(" "), F.substring(text, start + F.length(x) + 1, F.lit(AFTER)))
-            plain, raised = SCORES[kind]
             return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x)).alias("end"), F.when(near.rlike(CONTEXT[kind]), raised).otherwise(plain).alias("score"), valid(kind, x).alias("ok"))
 
+        m = F.col(f"__pii_{kind}")
+        found = starts(m, F.col(f"__pii_gap_{kind}"), one)
         keep = lambda s: s["ok"] if kind in BASE else s["ok"] & (s["score"] >= THRESHOLD)
-        return F.when(F.size(m) > 0, F.transform(F.filter(F.transform(m, one), keep), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
+        return F.when(F.size(m) > 0, F.transform(F.filter(found, keep), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
 
     out = out.withColumn(name, F.concat(*[spans(k) for k in PATTERNS]))
     return out.drop(*[f"__pii_{k}" for k in PATTERNS], *[f"__pii_gap_{k}" for k in PATTERNS])

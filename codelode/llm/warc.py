@@ -24,6 +24,7 @@ from codelode.llm._common import shared_dir, slabs
 #: Bytes after which a writer starts another archive.
 ROLL_BYTES = 16 << 20
 _MAGIC = b"\x1f\x8b\x08"
+_FEED = 1 << 15
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -90,17 +91,20 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
 
 def _member(data: bytes, at: int) -> tuple[dict, int]:
     """The record in the gzip member at a position, and where the member ends."""
-    z = zlib.decompressobj(31)
-    try:
-        plain = z.decompress(data[at:] if len(data) - at < 1 << 16 else memoryview(data)[at:])
-    except zlib.error as e:
-        raise Damaged("gzip: " + str(e)) from None
+    z, view, fed, parts = zlib.decompressobj(31), memoryview(data), at, []
+    while not z.eof and fed < len(data):  # piece by piece: what follows a member would be copied each time
+        try:
+            parts.append(z.decompress(view[fed : fed + _FEED]))
+        except zlib.error as e:
+            raise Damaged("gzip: " + str(e)) from None
+        fed = min(fed + _FEED, len(data))
     if not z.eof:
         raise Damaged("gzip: cut off")
+    plain = b"".join(parts)
     got, end = parse(plain)
     if end != len(plain):
         raise Damaged("bytes after the record")
-    return got, len(data) - len(z.unused_data)
+    return got, fed - len(z.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +49,7 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "e
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             for batch in batches:
-                fit = batch.filter(pa.compute.equal(pa.compute.list_value_length(batch.column("v")), q.shape[1]))
+                fit = batch.filter(pc.equal(pc.list_value_length(batch.column("v")), q.shape[1]))
                 if not len(fit):
                     continue
                 x = fit.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1]).astype(np.float64)

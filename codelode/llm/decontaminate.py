@@ -4,11 +4,12 @@
 2. A randomised SVD of TF-IDF passages: with X the passages and G a random matrix, tasks sum Z = X'X G over their passages, and
    the single-pass (Nystroem) decomposition Z (G'Z)^-1 Z' = U S^2 U' gives the latent axes U. It is fitted on a sample of whole
    documents of about FIT_BYTES, chosen by a hash of the id; every passage of every document is searched.
-3. Every document is cut into passages of 2, 4 and 8 blocks of 8 words, each starting half a passage after the one before. Benchmark items are compared, all of them
-   in one matrix product a slab, with the passages of the size next to their own by cosine in the latent space.
-4. Candidates are checked on their words: a share ANSWERS of the item's answer words (given ones, or its rarest words) must be
-   among the passage's and its neighbour blocks', and the longest common subsequence must cover a share LCS of the item, which
-   insertions, deletions and exchanged words leave (paraphrases).
+3. Every document is cut into passages of 2, 4 and 8 blocks of 8 words, and of twice as many for as long as items are longer, each
+   starting half a passage after the one before. Benchmark items are compared, all of them in one matrix product a slab, with
+   the passages of the size next to their own by cosine in the latent space.
+4. Candidates are checked on their words, over a window that holds the whole item and a margin on both sides of the passage: a
+   share ANSWERS of the item's answer words (given ones, or its rarest words) must be in it, and the longest common subsequence
+   must cover a share LCS of the item, which insertions, deletions and exchanged words leave (paraphrases).
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from codelode.operators.layout import spread
 BUCKETS, RANK, BLOCK, SIZES = 1 << 15, 64, 8, (2, 4, 8)
 FIT_BYTES, FIT_TASKS = 48 << 20, 8
 COSINE, LCS, ANSWERS, N_ANSWERS = 0.3, 0.6, 0.5, 6
+MARGIN = 0.25  # of an item's length, for words put in
 _ROWS = 256  # buckets a row of summed matrices
 _SLAB = 1 << 19
 
@@ -53,6 +55,34 @@ def blocks_of(w: Words, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.n
     return w.first[doc] + (np.arange(first[-1]) - first[doc]) * size, doc, first
 
 
+def sizes_for(longest: int) -> list[int]:
+    """Passage sizes in blocks: SIZES, doubled until they cover an item of that many words."""
+    sizes = list(SIZES)
+    while sizes[-1] * BLOCK < longest:
+        sizes.append(2 * sizes[-1])
+    return sizes
+
+
+def step_of(size: int) -> int:
+    """Blocks from the start of a passage to that of the next."""
+    return size // 2
+
+
+def side_of(n_words: int, size: int) -> int:
+    """Blocks beside a passage, at both ends, in which an item that starts less than a step after it lies with its margin."""
+    return max(1, -(-int(n_words * (1 + MARGIN)) // BLOCK) + 1 - size + step_of(size))
+
+
+def useful(which: np.ndarray, block: np.ndarray, need: np.ndarray, span: int) -> np.ndarray:
+    """Which hits (item and block, in this order) are among as many as the item needs within span blocks."""
+    key = which * (int(block.max(initial=0)) + 1 + span) + block
+    last = np.arange(len(key)) + np.ceil(need).astype(np.int64)[which] - 1
+    fine = np.flatnonzero(last < len(key))
+    fine = fine[key[last[fine]] - key[fine] < span]
+    edge = np.bincount(fine, minlength=len(key) + 1) - np.bincount(last[fine] + 1, minlength=len(key) + 1)
+    return np.cumsum(edge)[:-1] > 0
+
+
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that each bucket's words are in, and the number of documents."""
 
@@ -133,7 +163,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = N
 
     w = words(items.column("text").combine_chunks())
     h = w.hashes(lower=True)
-    queries = []
+    queries, sizes = [], sizes_for(int(w.count.max()))
     for i in range(len(items)):
         own = h[w.first[i] : w.first[i + 1]]
         if not len(own):
@@ -141,9 +171,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = N
         given = items.column("answer")[i].as_py()
         a = words(pa.array([given or ""])).hashes(lower=True) if given else own[np.argsort(-idf[(own % np.uint64(BUCKETS)).astype(np.int64)], kind="stable")][:N_ANSWERS]
         v = latent[(own % np.uint64(BUCKETS)).astype(np.int64)].sum(0)
-        scale = min(range(len(SIZES)), key=lambda k: abs(SIZES[k] * BLOCK - len(own)))
+        scale = min(range(len(sizes)), key=lambda k: abs(sizes[k] * BLOCK - len(own)))
         queries.append((items.column("item_id")[i].as_py(), scale, v / max(float(np.linalg.norm(v)), 1e-30), own.tolist(), np.unique(a)))
-    shared = docs.sparkSession.sparkContext.broadcast((latent, [[q for q in queries if q[1] == k] for k in range(len(SIZES))]))
+    shared = docs.sparkSession.sparkContext.broadcast((latent, [[q for q in queries if q[1] == k] for k in range(len(sizes))]))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         latent, of_scale = shared.value
@@ -174,13 +204,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = N
             for k, (own, (word, item, need, rare)) in enumerate(zip(of_scale, answers)):
                 if not own:
                     continue
-                start = np.flatnonzero((np.arange(n) - doc_block[doc]) % (SIZES[k] // 2) == 0)  # every half passage
+                step, sides = step_of(sizes[k]), [side_of(len(q[3]), sizes[k]) for q in own]
+                side = max(sides)
+                start = np.flatnonzero((np.arange(n) - doc_block[doc]) % step == 0)
                 low, high = doc_block[doc[start]], doc_block[doc[start] + 1]
-                end = np.minimum(start + SIZES[k], high)
+                end = np.minimum(start + sizes[k], high)
                 x = upto[end] - upto[start]
                 x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-30)
                 close = x @ np.stack([q[2] for q in own]).T >= cosine
-                # answer words of each item in each passage and the blocks beside it, from the few words that are any item's
+                # answer words of each item in the widest window about each passage, from the few words that are any item's
                 at = np.flatnonzero(rare[(h & np.uint64(0xFFFF)).astype(np.int64)])
                 own_word = np.minimum(np.searchsorted(word, h[at]), len(word) - 1)
                 at = at[word[own_word] == h[at]]
@@ -188,18 +220,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = N
                 many = last_item - first_item
                 which = item[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first_item, many)]
                 block = np.repeat(block_of_word[at], many)
-                place = np.searchsorted(start, np.arange(n), "right") - 1  # the last passage that starts at or before a block
-                reach = np.arange(-1 - 2, 2)  # passages that a block is in or beside, by their distance from that
-                p = (place[block][:, None] + reach).ravel()
+                order = np.lexsort((block, which))
+                which, block = which[order], block[order]
+                fine = useful(which, block, need, sizes[k] + 2 * side)
+                which, block = which[fine], block[fine]
+                place = np.searchsorted(start, block, "right") - 1  # the last passage that starts at or before a block
+                reach = np.arange(-((sizes[k] + side) // step) - 1, side // step + 2)  # passages whose window a block is in, by their distance from that
+                p = (place[:, None] + reach).ravel()
                 j, block = np.repeat(which, len(reach)), np.repeat(block, len(reach))
                 fine = (p >= 0) & (p < len(start))
                 p, j, block = p[fine], j[fine], block[fine]
-                fine = (block >= np.maximum(start[p] - 1, low[p])) & (block <= end[p]) & (block < high[p])
+                fine = (block >= np.maximum(start[p] - side, low[p])) & (block < np.minimum(end[p] + side, high[p]))
                 pair, hits = np.unique(p[fine] * len(own) + j[fine], return_counts=True)
                 pair = pair[hits >= need[pair % len(own)]]
                 pair = pair[close.ravel()[pair]]
                 for p, j in zip((pair // len(own)).tolist(), (pair % len(own)).tolist()):
-                    a, b = max(start[p] - 1, low[p]), min(end[p] + 1, high[p])
+                    a, b = max(start[p] - sides[j], low[p]), min(end[p] + sides[j], high[p])
                     near = h[first[a] : first[b] if b < n else len(h)]
                     name, _, vector, seq, wanted = own[j]
                     if np.isin(wanted, near).sum() < need[j]:

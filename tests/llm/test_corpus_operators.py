@@ -90,6 +90,20 @@ def test_leaks_of_the_tables(spark, data):
     assert {(r["doc_id"], r["item_id"]) for r in queries.op3_latent_decontamination(spark, data).collect()} == want
 
 
+def test_long_items(spark):
+    r = random.Random(4)
+    items = [sentence(r, n, 3000) for n in (100, 134, 300, 1500)]
+    texts = [sentence(r, 400, 3000) for _ in range(60)]
+    for d, i in {5: 0, 15: 1, 25: 2, 35: 3, 45: 0, 55: 1}.items():
+        own = items[i].split()
+        if d >= 45:
+            own = [f"new{k}" if k % 10 < 3 else w for k, w in enumerate(own)]
+        texts[d] = " ".join([*texts[d].split()[: 3 * d], *own, *texts[d].split()[3 * d :]])
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(table(spark, texts), bench).collect()}
+    assert got == {(5, 0), (15, 1), (25, 2), (35, 3), (45, 0), (55, 1)}
+
+
 def test_axes_are_the_singular_vectors(spark):
     r = random.Random(2)
     texts = [" ".join([sentence(r, 64, 12), *["topic%d" % (i % 3)] * 20]) for i in range(60)]

@@ -5,7 +5,7 @@
    the single-pass (Nystroem) decomposition Z (G'Z)^-1 Z' = U S^2 U' gives the latent axes U. It is fitted on a sample of whole
    documents of about FIT_BYTES, chosen by a hash of the id; every passage of every document is searched.
 3. Every document is cut into passages of 2, 4 and 8 blocks of 8 words, and of twice as many for as long as items are longer, each
-   starting half a passage after the one before. Benchmark items are compared, all of them in one matrix product a slab, with
+   starting a block after the one before (an eighth of a passage for the longer ones). Benchmark items are compared, all of them in one matrix product a slab, with
    the passages of the size next to their own by cosine in the latent space.
 4. Candidates are checked on their words, over a window that holds the whole item and a margin on both sides of the passage: a
    share ANSWERS of the item's answer words (given ones, or its rarest words) must be in it, and the longest common subsequence
@@ -65,7 +65,7 @@ def sizes_for(longest: int) -> list[int]:
 
 def step_of(size: int) -> int:
     """Blocks from the start of a passage to that of the next."""
-    return size // 2
+    return max(1, size // SIZES[-1])
 
 
 def side_of(n_words: int, size: int) -> int:

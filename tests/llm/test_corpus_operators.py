@@ -104,6 +104,23 @@ def test_long_items(spark):
     assert got == {(5, 0), (15, 1), (25, 2), (35, 3), (45, 0), (55, 1)}
 
 
+def test_paraphrases_at_every_offset(spark):
+    """Items with 30 % of their words exchanged are found wherever they start, as by brute force over whole documents."""
+    r = random.Random(6)
+    items = [sentence(r, n, 3000) for n in (44, 48, 60, 90)]
+    texts, planted = [], []
+    for i, item in enumerate(items):
+        for at in range(48):
+            own = [f"new{at}x{k}" if k % 10 in (2, 5, 8) else w for k, w in enumerate(item.split())]
+            texts.append(" ".join([*(f"b{r.randrange(10**6)}" for _ in range(at)), *own, *sentence(r, 60, 3000).split()]))
+            planted.append(i)
+    bench = spark.createDataFrame([(i, x, " ".join(x.split()[:2] + x.split()[-2:])) for i, x in enumerate(items)], "item_id long, text string, answer string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(table(spark, texts), bench, answer_col="answer").collect()}
+    ids = lambda t: words(pa.array([t])).hashes(lower=True).tolist()
+    brute = {(d, i) for d, i in enumerate(planted) if decontaminate.lcs(ids(items[i]), ids(texts[d])) >= 0.6 * len(items[i].split())}
+    assert got == brute and len(brute) == len(texts)
+
+
 def test_axes_are_the_singular_vectors(spark):
     r = random.Random(2)
     texts = [" ".join([sentence(r, 64, 12), *["topic%d" % (i % 3)] * 20]) for i in range(60)]

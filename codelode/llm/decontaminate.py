@@ -2,8 +2,8 @@
 
 1. Document frequencies of hashed words, in lower case, over all documents, give TF-IDF weights.
 2. A randomised SVD of TF-IDF passages: with X the passages and G a random matrix, tasks sum Z = X'X G over their passages, and
-   the single-pass (Nystroem) decomposition Z (G'Z)^-1 Z' = U S^2 U' gives the latent axes U. It is fitted on a sample of whole
-   documents of about FIT_BYTES, chosen by a hash of the id; every passage of every document is searched.
+   the single-pass (Nystroem) decomposition Z (G'Z)^-1 Z' = U S^2 U' gives the latent axes U. It is fitted on all passages of
+   all documents, FIT_BYTES of text or more a task.
 3. Every document is cut into passages of 2, 4 and 8 blocks of 8 words, and of twice as many for as long as items are longer, each
    starting a block after the one before (an eighth of a passage for the longer ones). Benchmark items are compared, all of them in one matrix product a slab, with
    the passages of the size next to their own by cosine in the latent space.
@@ -21,16 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm._common import slabs, text_bytes, written
+from codelode.llm._common import parts, slabs, text_bytes
 from codelode.llm._tokens import Words, distinct, words
 from codelode.operators.layout import spread
 
 BUCKETS, RANK, BLOCK, SIZES = 1 << 15, 64, 8, (2, 4, 8)
-FIT_BYTES, FIT_TASKS = 48 << 20, 8
+FIT_BYTES, FIT_TASKS = 64 << 20, 12
 COSINE, LCS, ANSWERS, N_ANSWERS = 0.3, 0.6, 0.5, 6
 MARGIN = 0.25  # of an item's length, for words put in
 _ROWS = 256  # buckets a row of summed matrices
 _SLAB = 1 << 19
+_TURNS = 16
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -110,18 +111,31 @@ def axes(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> t
         return np.random.default_rng(seed).standard_normal((BUCKETS, rank)).astype(np.float32)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, z = noise() * idf[:, None], np.zeros((BUCKETS, rank), np.float32)
+        g, z = np.concatenate([noise() * idf[:, None], np.zeros((1, rank), np.float32)]), np.zeros((BUCKETS, rank), np.float32)
         for slab in slabs(batches, "text", _SLAB):
             w = words(slab.column("text"))
             if not len(w.start):
                 continue
             b = (w.hashes(lower=True) % np.uint64(BUCKETS)).astype(np.int64)
             first, _, _ = blocks_of(w, BLOCK * SIZES[-1])
-            y = np.add.reduceat(g[b], first, axis=0)  # of each passage: x G
             passage = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(b))))
-            order = np.argsort(b, kind="stable")
-            own, start = np.unique(b[order], return_index=True)
-            z[own] += np.add.reduceat(y[passage[order]], start, axis=0) * idf[own, None]
+            slot = np.full((BLOCK * SIZES[-1], len(first)), BUCKETS)  # a row of zeros fills up short passages
+            slot[np.arange(len(b)) - first[passage], passage] = b
+            y = g[slot[0]]  # of each passage: x G
+            for x in slot[1:]:
+                y += g[x]
+            at = passage[np.argsort(b.astype(np.uint16), kind="stable")]  # the passages of each bucket
+            n = np.bincount(b, minlength=BUCKETS)
+            start = np.cumsum(n) - n
+            own = np.argsort(-n, kind="stable")[: np.count_nonzero(n)]
+            n, start = n[own], start[own]
+            total = y[at[start]]
+            for k in range(1, _TURNS):  # the k-th passage of all buckets that have so many
+                m = int(np.searchsorted(-n, -k))
+                total[:m] += y[at[start[:m] + k]]
+            for i in range(int(np.searchsorted(-n, -_TURNS))):
+                total[i] += y[at[start[i] + _TURNS : start[i] + n[i]]].sum(0)
+            z[own] += total * idf[own, None]
         for at in range(0, BUCKETS, _ROWS):
             if z[at : at + _ROWS].any():
                 yield pa.record_batch([pa.array([at], pa.int32()), pa.array([z[at : at + _ROWS].tobytes()], pa.binary())], names=["at", "z"])
@@ -157,8 +171,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = N
         return docs.sparkSession.createDataFrame([], schema)
     df, n_docs = document_frequencies(base)
     idf = (np.log((n_docs + 1) / (df + 1)) + 0.1).astype(np.float32)
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit("axes")), F.lit(1 << 30)) < int(min(1.0, FIT_BYTES / size) * (1 << 30)) + (FIT_BYTES >= size)
-    u, sv = axes(written(base.where(chosen)).repartition(FIT_TASKS), idf)
+    u, sv = axes(base.coalesce(parts(size, FIT_BYTES, FIT_TASKS)), idf)  # each task sends a matrix of 8 MB
     latent = (u * idf[:, None] / np.maximum(sv, 1e-6 * sv.max())).astype(np.float32)
 
     w = words(items.column("text").combine_chunks())

@@ -121,6 +121,17 @@ def test_paraphrases_at_every_offset(spark):
     assert got == brute and len(brute) == len(texts)
 
 
+def test_axes_are_fitted_on_all_documents(spark, monkeypatch):
+    r = random.Random(7)
+    fitted, axes = [], decontaminate.axes
+    monkeypatch.setattr(decontaminate, "FIT_BYTES", 1000)  # texts exceed it, as large tables do
+    monkeypatch.setattr(decontaminate, "axes", lambda docs, *args, **kw: fitted.append(docs.count()) or axes(docs, *args, **kw))
+    texts = [sentence(r, 40, 3000) for _ in range(200)]
+    bench = spark.createDataFrame([(1, texts[7])], "item_id long, text string")
+    assert [(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(table(spark, texts), bench).collect()] == [(7, 1)]
+    assert fitted == [200]
+
+
 def test_axes_are_the_singular_vectors(spark):
     r = random.Random(2)
     texts = [" ".join([sentence(r, 64, 12), *["topic%d" % (i % 3)] * 20]) for i in range(60)]

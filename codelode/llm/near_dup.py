@@ -6,6 +6,7 @@ threshold of T positions the signature is cut into M chunks with M * (R + 1) > T
 positions in some chunk (pigeonhole). With R = 1 every chunk is indexed once for each position that may be in error, by what the
 other positions hold; two signatures within T meet under at least one of these 64 keys, always. At a similarity of 0.85 a
 position differs with a chance of 0.15, so more than T = 23 of 64 differ in some 1 of 10^5 such pairs, and in far fewer above.
+limits() derives T and M from other similarities by the same chance (0.8: T = 28, M = 15).
 
 Links are then confirmed on full sets. To keep the work down without losing a link:
 - nodes that share a key are first compared with the least node of that key (a star, one pair a row);
@@ -21,7 +22,9 @@ Components come from rounds of large-star and small-star, each written to the sh
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +36,24 @@ from codelode.llm._tokens import mix, windows, words
 from codelode.operators.layout import spread
 
 SHINGLE, SIMILARITY = 5, 0.85
-POSITIONS, WITHIN, CHUNKS = 64, 23, 12
+POSITIONS, MISSED = 64, 1e-5
 PARITY = 2048
 TILE, KEEP = 1024, 16
 _A = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SHORT, _S1, _S2 = 0x5851F42D4C957F2D, np.uint64(0x2545F4914F6CDD1D), np.uint64(0x6C62272E07BB0142)
 
 
+@lru_cache
+def limits(similarity: float) -> tuple[int, int]:
+    """The threshold T that pairs of that similarity exceed with a chance of at most MISSED, and the number of chunks for it."""
+    chance = lambda k: math.comb(POSITIONS, k) * (1 - similarity) ** k * similarity ** (POSITIONS - k)
+    within = next(t for t in range(POSITIONS + 1) if sum(map(chance, range(t + 1, POSITIONS + 1))) <= MISSED)
+    return within, within // 2 + 1
+
+
+WITHIN, CHUNKS = limits(SIMILARITY)
+
+
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text, A-Z as a-z; a text of fewer words has its whole sequence as one."""
     w = words(texts)
@@ -79,11 +93,11 @@ def parity(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=len(sets) * PARITY) & 1).astype(np.uint8).reshape(-1, PARITY), axis=1)
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
+def chunk_keys(sig: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
     """The keys of each signature, one for each position left out of its chunk; the low six bits say which."""
     out = np.empty((len(sig), POSITIONS), np.uint64)
     wide = sig.astype(np.uint64) + np.uint64(1)
-    for chunk in np.array_split(np.arange(POSITIONS), CHUNKS):
+    for chunk in np.array_split(np.arange(POSITIONS), chunks):
         for j in chunk:
             h = np.full(len(sig), j + 1, np.uint64)
             for x in chunk:
@@ -93,11 +107,11 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def first_shared(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+def first_shared(s1: np.ndarray, s2: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
     """The first position under whose key two signatures meet, for each pair of rows; POSITIONS if they never do."""
     differ = s1 != s2
-    chunk = np.repeat(np.arange(CHUNKS), [len(c) for c in np.array_split(np.arange(POSITIONS), CHUNKS)])
-    count = np.stack([differ[:, chunk == c].sum(1) for c in range(CHUNKS)], axis=1)
+    chunk = np.repeat(np.arange(chunks), [len(c) for c in np.array_split(np.arange(POSITIONS), chunks)])
+    count = np.stack([differ[:, chunk == c].sum(1) for c in range(chunks)], axis=1)
     meet = count[:, chunk] == differ
     return np.where(meet.any(1), meet.argmax(1), POSITIONS)
 
@@ -111,7 +125,7 @@ def _near(n1, n2, s1, s2, o1, o2, similarity: float) -> np.ndarray:
     both = n1 + n2
     fine = np.minimum(n1, n2) >= similarity * np.maximum(n1, n2) - 1e-9
     at = np.flatnonzero(fine)
-    at = at[(s1[at] != s2[at]).sum(1) <= WITHIN]
+    at = at[(s1[at] != s2[at]).sum(1) <= limits(similarity)[0]]
     flips = np.bitwise_count(o1[at] ^ o2[at]).sum(1)
     return at[flips <= (1 - similarity) / (1 + similarity) * both[at] + 1e-6]
 
@@ -134,12 +148,14 @@ def sketch(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return spread(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")).mapInArrow(f, "doc_id long, rid long, n long, node long, sig binary, odd binary")
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
+def _keys(nodes: DataFrame, similarity: float) -> DataFrame:
+    _, chunks = limits(similarity)
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.slice(at, 2000)
-                k = chunk_keys(_rows(part.column("sig").to_pylist()))
+                k = chunk_keys(_rows(part.column("sig").to_pylist()), chunks)
                 node = np.repeat(part.column("node").to_numpy(), POSITIONS)
                 yield pa.record_batch([pa.array(k.ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
 
@@ -229,7 +245,7 @@ def _across(shared: DataFrame, nodes: DataFrame, comps: DataFrame, similarity: f
                 i, j = np.concatenate(i_all), np.concatenate(j_all)
                 i_all, j_all, todo = [], [], 0
                 at = _near(n[i], n[j], sig[i], sig[j], odd[i], odd[j], similarity)
-                at = at[first_shared(sig[i[at]], sig[j[at]]) == key[i[at]] & (POSITIONS - 1)]  # each pair under one key
+                at = at[first_shared(sig[i[at]], sig[j[at]], limits(similarity)[1]) == key[i[at]] & (POSITIONS - 1)]  # each pair under one key
                 for a, b in zip(i[at].tolist(), j[at].tolist()):
                     own = (min(comp[a], comp[b]), max(comp[a], comp[b]))
                     pair = (min(node[a], node[b]), max(node[a], node[b]))
@@ -303,7 +319,7 @@ def _graph(base: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame,
     rows = written(sketch(base, shingle))
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "n", "sig", "odd")).alias("x")
     nodes = written(rows.where("n > 0").groupBy("node").agg(pick).select("node", "x.doc_id", "x.rid", "x.n", "x.sig", "x.odd"))
-    keys = _keys(nodes)
+    keys = _keys(nodes, similarity)
     twice = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center != last").select("key", "center")
     shared = written(keys.join(twice, "key"))
     sets = written(_sets(base, nodes.join(shared.select("node").distinct(), "node", "left_semi"), shingle))

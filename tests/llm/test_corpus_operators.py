@@ -295,6 +295,37 @@ def test_pairs_within_the_distance_always_meet():
     assert near_dup.CHUNKS * 2 > near_dup.WITHIN
 
 
+def test_pairs_between_80_and_85(spark):
+    r = random.Random(12)
+    texts = []
+    for _ in range(40):  # five words changed, each in five of 221 shingles: 196 of 246 are shared; the four-word ones are 201 of 241
+        own = sentence(r, 225, 10**6).split()
+        texts += [" ".join(own), " ".join(f"x{k}" if k in (20, 60, 100, 140) else w for k, w in enumerate(own))]
+        texts.append(" ".join(f"y{k}" if k in (30, 70, 110, 150, 190) else w for k, w in enumerate(own)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    share = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for k in range(0, 120, 3) for i, j in ((k, k + 1), (k, k + 2))]
+    assert all(0.8 <= x < 0.85 for x in share[::2]) and all(0.79 < x < 0.8 for x in share[1::2])
+    want = brute_components(texts, list(range(120)), percent=80)
+    got = near_dup.near_duplicates(table(spark, texts), similarity=0.8).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == want
+    kept = corpus_pipeline.near_duplicates(spark, table(spark, texts), "").collect()
+    assert {x["doc_id"] for x in kept} == {d for d, (_, c) in want.items() if c == d} and len(kept) == 80
+
+
+def test_limits_of_other_similarities():
+    r = np.random.default_rng(6)
+    for similarity in (0.8, 0.85, 0.9):
+        within, chunks = near_dup.limits(similarity)
+        assert 2 * chunks > within and (r.random((10**5, 64)) > similarity).sum(1).max() <= within + 1
+        a = r.integers(0, 1 << 16, (200, 64)).astype(np.uint16)
+        b = a.copy()
+        for row in b:
+            row[r.choice(64, within, replace=False)] ^= 1
+        assert (near_dup.first_shared(a, b, chunks) < 64).all()
+        assert ((near_dup.chunk_keys(a, chunks) == near_dup.chunk_keys(b, chunks)).any(1)).all()
+    assert near_dup.limits(0.85) == (23, 12)
+
+
 def test_parity_never_exceeds_the_difference():
     r = np.random.default_rng(4)
     pool = r.integers(0, 1 << 62, 3000).astype(np.uint64)

@@ -7,6 +7,8 @@ a task, level by level. The last window of all is cut into lengths that are powe
 
 Ids are those of the tokenizers library for the vocabulary file. They are computed by tiktoken from that same file's vocabulary,
 which gives the same ids four times as fast (tests compare the two); a vocabulary of another kind goes through tokenizers itself.
+With added_tokens, as the queries have it, the literal text of an added token (<|endoftext|>) is that one id, as
+encode(text, add_special_tokens=False) has it; without, it is encoded like any other text (encode_special_tokens).
 
 Defined cases: a null text counts as empty and has only the end id; a null doc_id is kept as null; rows that repeat a doc_id
 are packed row by row; an empty table gives an empty result; extra columns are ignored.
@@ -37,25 +39,29 @@ _LEFT = "part long, ids binary"
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
+def encoder(path: str, added_tokens: bool = False):
     """A function from texts to lists of ids under the vocabulary at path (a tokenizers JSON file)."""
     spec = json.load(open(path, encoding="utf-8"))
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-    if pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and model["type"] == "BPE" and not spec.get("normalizer"):
+    added = spec.get("added_tokens", [])
+    names = [x["content"] for x in added]
+    plain = not any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip")) and not any(a != b and a in b for a in names for b in names)
+    if (plain or not added_tokens) and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and model["type"] == "BPE" and not spec.get("normalizer"):
         import public_tokenizers
         import tiktoken
 
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE writes as themselves
         other = [b for b in range(256) if b not in set(shown)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(other)}
-        extra = {x["content"] for x in spec.get("added_tokens", [])}
-        ranks = {bytes(byte[c] for c in k): v for k, v in model["vocab"].items() if k not in extra}
-        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranks = {bytes(byte[c] for c in k): v for k, v in model["vocab"].items() if k not in names}
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={x["content"]: x["id"] for x in added} if added_tokens else {})
+        if added_tokens:
+            return lambda texts: [own.encode(t, allowed_special="all") for t in texts]
         return lambda texts: [own.encode_ordinary(t) for t in texts]
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
+    own.encode_special_tokens = not added_tokens
     return lambda texts: [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -133,12 +139,12 @@ def _leftovers(packer: Packer, part: int) -> list[tuple]:
     return [(doc, start, len(ids), total, part, ids.tobytes()) for _, pieces in packer.open for doc, start, ids, total in pieces]
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, open_windows: int = OPEN, end_id: int = 0, fan_in: int = FAN_IN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, open_windows: int = OPEN, end_id: int = 0, fan_in: int = FAN_IN, added_tokens: bool = False) -> DataFrame:
     """Pieces of every document in sequences of at most length ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        packer, encode = Packer(length, open_windows, part << SHIFT), encoder(tokenizer)
+        packer, encode = Packer(length, open_windows, part << SHIFT), encoder(tokenizer, added_tokens)
         for slab in slabs(batches, "text"):
             texts = ["" if t is None else t for t in slab.column("text").to_pylist()]
             for doc, ids in zip(slab.column("doc_id").to_pylist(), encode(texts)):

@@ -56,7 +56,7 @@ def op8_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from codelode.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

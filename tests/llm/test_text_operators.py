@@ -160,6 +160,25 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], docs.schema), tokenizer()).count() == 0
 
 
+def test_added_tokens_are_one_id(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from codelode.llm import queries
+
+    own = Tokenizer.from_file(tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n\n  y <|endoftext", "plain text", "", "<|endof<|endoftext|>text|>"]
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275] and packing.encoder(tokenizer(), True)(texts) == want
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (queries.op8_online_packing(spark, str(tmp_path)).collect(), corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()):
+        assert {r["doc_id"]: r["doc_tokens"] for r in got} == {i: len(ids) + 1 for i, ids in enumerate(want)}
+        for r in got:
+            part = np.array([*want[r["doc_id"]], 0][r["start"] : r["start"] + r["length"]], "<u4")
+            assert r["ids_crc32"] == zlib.crc32(part.tobytes())
+
+
 def test_packer_is_bounded():
     p = packing.Packer(100, 4, 0)
     rng = np.random.default_rng(0)

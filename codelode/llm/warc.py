@@ -68,7 +68,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     """The checked record at a position of uncompressed data, and where it ends."""
     if not _VERSION.match(data, at):
         raise Damaged("no version line")
-    split = data.find(b"\r\n\r\n", at, at + (1 << 16))
+    split = data.find(b"\r\n\r\n", at)
     if split < 0:
         raise Damaged("no end of headers")
     head = {}
@@ -237,11 +237,12 @@ def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) ->
 
     page_id, url, payload_bytes, payload_digest, record_type, refers_to. Defined cases: null html counts as empty; a null
     page_id is the smallest; rows that repeat the largest page_id of their payload are all responses; equal empty payloads are
-    equal; an empty table gives an empty result; extra columns are ignored.
+    equal; a record that cannot be read back fails the job; an empty table gives an empty result; extra columns are ignored.
     """
     spark = pages.sparkSession
     folder = folder or shared_dir(spark)
     wrote = write_archives(pages, folder, min_bytes).agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()["n"]
     if not wrote:
         return spark.createDataFrame([], "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_archives(spark, folder, payloads=False).where("gap_bytes is null").select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    whole = F.when(F.col("gap_bytes").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a record just written cannot be read: "), "gap_reason", F.lit(", in "), "archive")).cast("boolean"))
+    return read_archives(spark, folder, payloads=False).where(whole).select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -112,6 +112,21 @@ def test_salvage(zipped):
     assert ends[0][0] == 0 and ends[-1][1] == len(whole) and all(x[1] == y[0] for x, y in zip(ends, ends[1:]))
 
 
+def test_long_urls(spark):
+    pages = spark.createDataFrame([(i, "data:," + "x" * n, f"page {i}") for i, n in enumerate((10, 65_000, 70_000, 2_000_000))], "page_id long, url string, html string")
+    assert {r["page_id"]: len(r["url"]) for r in warc.archive(pages).collect()} == {0: 16, 1: 65_006, 2: 70_006, 3: 2_000_006}
+    data = warc.record(1, "u" * 200_000, b"one") + warc.record(2, "v", b"two")
+    assert [got and got["warc-record-id"] for _, _, got, _ in warc.salvage(data)] == [warc._uri(1), warc._uri(2)]
+
+
+def test_gaps_in_own_archives_fail(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(3)], "page_id long, url string, html string")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "damaged.warc").write_bytes(warc.record(7, "u", b"payload")[:-9])
+    with pytest.raises(Exception, match="cannot be read"):
+        warc.archive(pages, f"file://{tmp_path}/a").collect()
+
+
 def test_damaged_archive_through_spark(spark, tmp_path):
     parts = [gzip.compress(warc.record(i, "u", b"p%d" % i), mtime=0) for i in range(5)]
     (tmp_path / "a.warc.gz").write_bytes(parts[0] + parts[1][:-9] + parts[2] + b"\x00" * 7 + parts[3])

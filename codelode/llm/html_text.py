@@ -36,6 +36,11 @@ SCOPE = frozenset("ul ol dl table tbody thead tfoot body article section div mai
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I | re.S)
 _HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
+#: Raw elements that hold other elements: without an end tag they end with their parent. Foreign ones also end at tags that break out.
+NESTS, FOREIGN = frozenset("object svg math audio video canvas".split()), frozenset("svg math".split())
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+POINTS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())  # where HTML is allowed in foreign content
 
 
 class Block:
@@ -47,6 +52,60 @@ class Block:
         self.text, self.stack, self.linked = text, stack, linked
 
 
+def _tag(m: re.Match) -> tuple[bool, str, str]:
+    """Whether a token is an end tag, its name (empty if it is no tag) and its attributes."""
+    return (m[1] == "/", m[2].lower(), m[3]) if m[2] else (m[4] == "/", m[5].lower(), m[6]) if m[5] else (False, "", "")
+
+
+def _raw_end(page: str, name: str, at: int) -> int:
+    m = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+    return len(page) if m is None else m.end()
+
+
+def _head_end(page: str, at: int) -> int:
+    """Where a head ends: at its end tag or the body's start, or without both before the first text or tag that cannot stand in it."""
+    if m := _HEAD_END.search(page, at):
+        return m.start() if m[0][1] != "/" else m.end()
+    while (m := _TOKEN.search(page, at)) and not page[at : m.start()].strip():
+        closing, name, attrs = _tag(m)
+        if name in ("body", "html", "br") if closing else name and name not in IN_HEAD:
+            return m.start()
+        at = m.end()
+        if name in RAW and name != "head" and not closing and not attrs.endswith("/"):
+            at = _raw_end(page, name, at)
+    return at
+
+
+def _nest_end(page: str, name: str, at: int, outer: frozenset) -> int:
+    """Where an element of NESTS ends: after its end tag, or before that of an element of outer, or before a tag that breaks out."""
+    inner, size = [name], len(page)
+    while at < size and (m := _TOKEN.search(page, at)):
+        closing, tag, attrs = _tag(m)
+        foreign = next((x for x in reversed(inner) if x in POINTS or x in NESTS), "") in FOREIGN
+        if closing:
+            if tag in inner:
+                while inner.pop() != tag:
+                    pass
+                if not inner:
+                    return m.end()
+            elif tag in outer:
+                return m.start()
+        elif foreign and tag in BREAKS:
+            while inner and inner[-1] not in FOREIGN:
+                inner.pop()
+            inner.pop()
+            if not inner:
+                return m.start()
+            continue
+        elif tag and not attrs.endswith("/") and tag not in VOID:
+            if tag in RAW and tag not in NESTS and tag not in POINTS and tag != "head":
+                at = _raw_end(page, tag, m.end())
+                continue
+            inner.append(tag)
+        at = m.end()
+    return size
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page with text, in order; white space inside is one space, character references are decoded."""
     out: list[Block] = []
@@ -85,9 +144,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in RAW:
             if not closing and not attrs.endswith("/"):
-                end = _HEAD_END if name == "head" else re.compile(rf"</{re.escape(name)}\s*>", re.I)
-                m = end.search(page, at)
-                at = size if m is None else (m.start() if m[0][1] != "/" else m.end())
+                at = _head_end(page, at) if name == "head" else _nest_end(page, name, at, frozenset(x for x, _ in stack)) if name in NESTS else _raw_end(page, name, at)
             continue
         if name not in BLOCK:
             if name == "a":

@@ -25,6 +25,26 @@ def test_blocks():
     assert got[0].linked == len("Menu") and [b.stack[-1][0] for b in got[1:5]] == ["p", "p", "li", "li"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><meta charset=utf-8><article><p>kept</article>",
+        "<html><head><script>if (a < b) '<p>no'</script>kept",
+        "<head><title>T</title></head><body><p>kept",
+        "<head><title>T</title><body><p>kept",
+        "<body><div><video src=x>old browser</div><p>kept",
+        "<body><article><object data=x><param name=a></article><p>kept",
+        "<body><svg><path d=x><title>no</title><p>kept<svg><path/></svg></p>",
+        "<body><div><canvas>no<canvas>no</canvas></div><p>kept</p><canvas>no</canvas>",
+        "<body><div><math><mi>x</div><p>kept",
+        "<body><svg><foreignObject><p>no</p></foreignObject></svg><p>kept",
+        "<body><object><object>no</object><p>no</p></object><p>kept",
+    ],
+)
+def test_elements_without_end(page):
+    assert [b.text for b in html_text.blocks(page)] == ["kept"]
+
+
 def test_crf_on_held_out_pages():
     model, wrong, total = html_text.default_model(), 0, 0
     for page, gold in html_text.sample_pages(100, seed=12345):

@@ -1,8 +1,10 @@
 """Words of whole slabs of text and their hashes, in numpy.
 
 A word is a run of bytes other than space and \\x09-\\x0D, which is the same as of characters, as UTF-8 keeps those bytes for
-themselves. Hashes are Rabin-Karp polynomials modulo 2^64 over prefix sums: with C[i] = sum of v[j] * B^j for j < i, the hash of
-v[s:e] is (C[e] - C[s]) * B^-s, which holds because B is odd and so has an inverse.
+themselves. A word's hash is the sum of a pseudo-random value for each (place in the word, byte), mixed with its length; no
+pattern of bytes makes such sums meet, unlike those of polynomials modulo a power of two. Windows of words have Rabin-Karp
+hashes: polynomials in the words' hashes modulo the prime 2^61 - 1, by doubling (H of 2k words from two of k), so that two
+different windows of n words meet with a chance of some n / 2^61.
 """
 
 from __future__ import annotations
@@ -17,7 +19,11 @@ import pyarrow.compute as pc
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE_BYTES, _BASE_WORDS = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_PRIME, _BASE = (1 << 61) - 1, 0x0D1342543DE82EF95 % ((1 << 61) - 1)
+_P, _U1, _U30, _U31, _U61 = np.uint64(_PRIME), np.uint64(1), np.uint64(30), np.uint64(31), np.uint64(61)
+_M30, _M31 = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_PLACES = 64  # places in a word whose values are looked up; later ones are computed
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,29 +39,51 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i for i < room."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.empty(room, np.uint64)
-        p[0] = 1
-        n = 1
-        while n < room:  # doubling
-            m = min(n, room - n)
-            p[n : n + m] = p[:m] * np.uint64(pow(b, n, 1 << 64))
-            n += m
-        out.append(p)
-    return out[0], out[1]
+def _value(code: np.ndarray, seed: int) -> np.ndarray:
+    """The pseudo-random value of place * 256 + byte."""
+    return mix((code.astype(np.uint64) + _U1) * _STEP ^ mix(np.array([seed + 1], np.uint64)))
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, 1 << max(16, (n + 1).bit_length()))
+@lru_cache(maxsize=4)
+def _table(seed: int) -> np.ndarray:
+    return _value(np.arange(_PLACES << 8), seed)
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each run data[start:end] of bytes; runs are in order, apart and not empty."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = (end - start).astype(np.int32)
+    at = np.cumsum(size) - size  # where the runs start when nothing lies between them
+    if len(data) != at[-1] + size[-1]:
+        flag = np.zeros(len(data) + 1, np.int8)
+        flag[start] = 1
+        flag[end] -= 1
+        data = data[np.cumsum(flag[:-1], dtype=np.int8).view(bool)]
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(at.astype(np.int32), size)
+    value = _table(seed)[(np.minimum(place, _PLACES - 1) << 8) + data]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        value[far] = _value((place[far].astype(np.int64) << 8) + data[far], seed)
+    return mix(np.add.reduceat(value, at) + size.astype(np.uint64) * _M2)
+
+
+def modmul(a: np.ndarray, b: int) -> np.ndarray:
+    """a * b modulo 2^61 - 1, for a and b below it."""
+    bh, bl = np.uint64(b >> 31), np.uint64(b & ((1 << 31) - 1))
+    ah, al = a >> _U31, a & _M31
+    mid = al * bh + ah * bl
+    return fold(((ah * bh) << _U1) + (mid >> _U30) + ((mid & _M30) << _U31) + al * bl)
+
+
+def fold(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^61 - 1."""
+    x = (x & _P) + (x >> _U61)
+    return x - _P * (x >= _P)
 
 
 @dataclass
@@ -69,14 +97,8 @@ class Words:
     doc: np.ndarray
     count: np.ndarray
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        n = len(self.data)
-        up, down = powers(_BASE_BYTES, n + 1)
-        c = np.zeros(n + 1, np.uint64)
-        term = (_BYTE_LOWER if lower else _BYTE)[self.data]
-        term *= up[:n]
-        np.cumsum(term, out=c[1:])
-        return mix((c[self.end] - c[self.start]) * down[self.start])
+    def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
+        return run_hashes(_LOWER[self.data] if lower else self.data, self.start, self.end, seed)
 
     @property
     def first(self) -> np.ndarray:
@@ -119,8 +141,13 @@ def windows(hashes: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray,
     n = len(hashes)
     if n < size:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = powers(_BASE_WORDS, n + 1)
-    c = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * up[:n], out=c[1:])
+    one = fold(hashes)
+    h, length = one, 1
+    for bit in bin(size)[3:]:
+        h = fold(modmul(h[:-length], pow(_BASE, length, _PRIME)) + h[length:])
+        length *= 2
+        if bit == "1":
+            h = fold(modmul(h[:-1], _BASE) + one[length:])
+            length += 1
     at = np.flatnonzero(doc[: n - size + 1] == doc[size - 1 :])
-    return at, mix((c[at + size] - c[at]) * down[at])
+    return at, mix(h[at])

@@ -8,13 +8,14 @@ of log((target + A) / (expected + A)), where expected is the raw count times the
 target count is within Z standard errors of that have ratio 1: they would only add noise.
 
 k documents are drawn without replacement in proportion to their weights by adding Gumbel noise (a hash of the id) to the log
-weight and taking the k largest sums. k is a parameter; by default it is the number of documents whose log weight reaches the cut
-that separates the labelled good from the other labelled documents best (balanced accuracy). The k-th largest sum is found exactly
-by radix selection, 16 bits of the sums a pass, so nothing is sorted or gathered.
+weight and taking the k largest sums. k is a parameter; by default it is the number of documents whose log weight reaches the
+highest tenth that at most a share LOSS of the labelled good documents lies below. The k-th largest sum is found exactly by radix
+selection, 16 bits a pass, so nothing is sorted or gathered; sums of any size keep their order.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm._common import slabs, written
-from codelode.llm._tokens import distinct, mix, powers, windows, words
+from codelode.llm._tokens import distinct, mix, run_hashes, windows, words
 from codelode.operators.layout import spread
 
 BUCKETS, PRIOR, ERRORS, SEED = 1 << 18, 1.0, 3.0, 11
 LOSS, TARGET_DOCS = 0.01, 20_000
-_CLASS = np.arange(256, dtype=np.uint64) + np.uint64(5)
+_CLASS = np.arange(256, dtype=np.uint8) | 128
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 1
+_SHAPES = 1  # seed of the hashes of shapes
 _SALT = [np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -40,11 +42,7 @@ def shapes(w) -> np.ndarray:
     keep[1:] = kind[1:] != kind[:-1]
     keep[w.start] = True
     upto = np.concatenate([[0], np.cumsum(keep)])
-    own = mix(kind[keep])
-    up, down = powers(0xA0761D6478BD642F, len(own) + 1)
-    c = np.zeros(len(own) + 1, np.uint64)
-    np.cumsum(own * up[: len(own)], out=c[1:])
-    return mix((c[upto[w.end]] - c[upto[w.start]]) * down[upto[w.start]])
+    return run_hashes(kind[keep], upto[w.start], upto[w.end], _SHAPES)
 
 
 def features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -113,13 +111,13 @@ def gumbel(seed: int = SEED) -> Column:
 
 def cut(weighed: DataFrame, loss: float = LOSS) -> float:
     """The highest log weight, in steps of a tenth, that at most a share `loss` of the labelled good documents lies below."""
-    step = F.floor(F.greatest(F.least("log_weight", F.lit(1000.0)), F.lit(-1000.0)) * 10).cast("int")
+    step = F.floor(F.col("log_weight") * 10).cast("long")
     rows = sorted((r["s"], r["n"]) for r in weighed.where("good").groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect())
     spare = loss * sum(n for _, n in rows)
     for s, n in rows:
         if (spare := spare - n) < 0:
             return s / 10
-    return -1000.0
+    return -math.inf
 
 
 def kth_largest(df: DataFrame, key: str, k: int) -> int | None:
@@ -141,9 +139,9 @@ def kth_largest(df: DataFrame, key: str, k: int) -> int | None:
     return (high ^ (1 << 63)) - (1 << 64) if high ^ (1 << 63) >= 1 << 63 else high ^ (1 << 63)
 
 
-def sortable(x: Column) -> Column:
-    """A double as a long of the same order (fixed point, 1e-12 steps)."""
-    return F.round(F.greatest(F.least(x, F.lit(1e6)), F.lit(-1e6)) * 1e12).cast("long")
+def sortable(x: Column, top: float) -> Column:
+    """A double as a long of the same order, for doubles of at most top: fixed point, in steps finer than those of doubles near top."""
+    return F.round(x * F.lit(2.0**62 / max(top, 1.0))).cast("long")
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
@@ -164,6 +162,8 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     if k is None:
         k = weighed.where(F.col("log_weight") >= cut(weighed.join(marks, "doc_id"))).count()
     keyed = weighed.withColumn("gumbel_key", F.col("log_weight") + gumbel(seed))
-    at = kth_largest(keyed.select(sortable(F.col("gumbel_key")).alias("key")), "key", k)
-    kept = F.lit(k > 0) if at is None else sortable(F.col("gumbel_key")) >= at
+    top = keyed.agg(F.max(F.abs("gumbel_key")).alias("m")).first()["m"] or 1.0
+    place = sortable(F.col("gumbel_key"), top)
+    at = kth_largest(keyed.select(place.alias("key")), "key", k)
+    kept = F.lit(k > 0) if at is None else place >= at
     return keyed.select("doc_id", "n_features", "log_weight", "gumbel_key", kept.alias("kept"))

@@ -1,12 +1,13 @@
 """Exact removal of repeated passages: Rabin-Karp hashes of every fixed-length window of words, counted over the whole corpus.
 
-Documents are dealt to blocks of some megabytes by a hash of their id. A block hashes all its windows, keeps each value once
+Documents are dealt to blocks of some megabytes by a hash of id and text. A block hashes all its windows, keeps each value once
 (with a bit that says it came more than once), and sends the sorted values to buckets by value range, as packed bytes: a window
-costs a few bytes of shuffle, and however often a window occurs, a block sends it once. A bucket finds the values that two
-blocks hold or one block marked, and answers each block with one bit a value. The block merges the windows so marked into
-maximal intervals and removes them. Text is shuffled once, hashes once.
+costs a few bytes of shuffle, and however often a window occurs, a block sends it once. A bucket counts: it finds the values that
+two blocks hold or one block marked, and answers each block with one bit a value.
 
-Hash values have 64 bits, so two different windows of N are taken for equal with a chance of about N / 2^64 a window.
+Windows so found are confirmed on their words: each block sends a 128-bit BLAKE2 digest of the words of each (joined by a space)
+to buckets in the same way, and a window is repeated only if its digest is. So a collision of Rabin-Karp hashes costs time, never
+a word. The block merges the repeated windows into maximal intervals and removes them. Text is shuffled once, hashes once.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm._common import parts, slabs, text_bytes
-from codelode.llm._tokens import windows, words
+from codelode.llm._tokens import Words, windows, words
 
 WINDOW = 35
 BLOCK_BYTES, BUCKET_BYTES, LEAST_BLOCKS = 6 << 20, 12 << 20, 24
@@ -36,10 +37,16 @@ def _block_hashes(group: pa.Table, size: int) -> tuple[list, np.ndarray]:
     return held, np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
+    """floor(value * buckets / 2^64), for fewer than 2^32 buckets: buckets are ranges of values."""
+    n, low = np.uint64(buckets), np.uint64(32)
+    return (((values >> low) * n + ((values & np.uint64(0xFFFFFFFF)) * n >> low)) >> low).astype(np.int64)
+
+
 def _cuts(values: np.ndarray, buckets: int) -> np.ndarray:
-    """Where sorted values pass from one bucket to the next."""
-    edge = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(values, edge), [len(values)]]).astype(np.int64)
+    """Where sorted values pass from one bucket to the next, and their ends; empty buckets are left out."""
+    b = bucket_of(values, buckets)
+    return np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(values)]]).astype(np.int64) if len(values) else np.zeros(1, np.int64)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -53,46 +60,103 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(b.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
+def digests(w: Words, at: np.ndarray, size: int) -> np.ndarray:
+    """The digest of the words of each window, in two columns; at is its first word."""
+    if not len(at):
+        return np.zeros((0, 2), np.uint64)
+    length = w.end - w.start + 1
+    place = np.concatenate([[0], np.cumsum(length)])
+    text = b" ".join(w.data.tobytes().split())  # words keep their order, texts meet at white space or at an edge
+    if len(text) != place[-1] - 1:  # words of two texts that meet without white space
+        text = b" ".join(w.data[a:b].tobytes() for a, b in zip(w.start.tolist(), w.end.tolist()))
+    hashed = hashlib.blake2b
+    raw = b"".join([hashed(text[a:b], digest_size=16).digest() for a, b in zip(place[at].tolist(), (place[at + size] - 1).tolist())])
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2)
+
+
+_SENT = "level int, block int, bucket int, hashes binary, many binary"
+_SAID = "level int, block int, bucket int, bits binary"
+
+
+def _rows(level: int, block: int, first: np.ndarray, second: np.ndarray | None, many: np.ndarray, buckets: int) -> pa.Table:
+    """Messages to the buckets, of distinct values in order."""
+    cut = _cuts(first, buckets)
+    rows = [(b, packed(first[x:y]) + (second[x:y].tobytes() if second is not None else b""), np.packbits(many[x:y]).tobytes()) for b, x, y in zip(bucket_of(first[cut[:-1]], buckets).tolist(), cut[:-1].tolist(), cut[1:].tolist())]
+    ids, vals, marks = zip(*rows) if rows else ((), (), ())
+    own = [pa.array([x] * len(rows), pa.int32()) for x in (level, block)]
+    return pa.table([*own, pa.array(ids, pa.int32()), pa.array(vals, pa.binary()), pa.array(marks, pa.binary())], names=["level", "block", "bucket", "hashes", "many"])
+
+
+def counted(key, group):
+    """One bucket's answers: for each value sent, whether two blocks hold it or one marked it."""
+    level = key[0].as_py()
+    raw = group.column("hashes").to_pylist()
+    first = [unpacked(x[: len(x) >> (level - 1)]) for x in raw]
+    size = [len(v) for v in first]
+    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(group.column("many").to_pylist(), size)])
+    v1 = np.concatenate(first)
+    v2 = np.concatenate([np.frombuffer(x[len(x) >> 1 :], np.uint64) for x in raw]) if level == 2 else np.zeros(len(v1), np.uint64)
+    order = np.lexsort((v2, v1)) if level == 2 else np.argsort(v1, kind="stable")
+    start = np.concatenate([[True], (v1[order][1:] != v1[order][:-1]) | (v2[order][1:] != v2[order][:-1])])
+    at = np.flatnonzero(start)
+    twice = np.logical_or.reduceat(many[order], at) | (np.diff(np.append(at, len(v1))) > 1)
+    answer = np.empty(len(v1), bool)
+    answer[order] = twice[np.cumsum(start) - 1]
+    bits = [np.packbits(x).tobytes() for x in np.split(answer, np.cumsum(size)[:-1])]
+    own = [group.column(c).combine_chunks() for c in ("level", "block", "bucket")]
+    return pa.table([*own, pa.array(bits, pa.binary())], names=["level", "block", "bucket", "bits"])
+
+
+def _answers(said: pa.Table, level: int, first: np.ndarray, buckets: int) -> np.ndarray:
+    """The answers of one level, for distinct values in order."""
+    cut, flag = _cuts(first, buckets), np.zeros(len(first), bool)
+    place = {b: i for i, b in enumerate(bucket_of(first[cut[:-1]], buckets).tolist())}
+    for lv, b, raw in zip(*(said.column(c).to_pylist() for c in ("level", "bucket", "bits"))):
+        if lv == level:
+            x, y = cut[place[b]], cut[place[b] + 1]
+            flag[x:y] = np.unpackbits(np.frombuffer(raw, np.uint8), count=y - x).astype(bool)
+    return flag
+
+
 def _dedup(blocks: DataFrame, size: int, buckets: int, digest: bool) -> DataFrame:
     """blocks (doc_id, text, block) to doc_id, n_words, n_removed and kept words, or their digest."""
 
     def hashed(key, group):
-        _, h = _block_hashes(group, size)
-        values, n = np.unique(h, return_counts=True)
-        cut = _cuts(values, buckets)
-        rows = [(b, packed(values[cut[b] : cut[b + 1]]), np.packbits(n[cut[b] : cut[b + 1]] > 1).tobytes()) for b in np.flatnonzero(np.diff(cut))]
-        ids, vals, many = zip(*rows) if rows else ((), (), ())
-        block = pa.array([key[0].as_py()] * len(rows), pa.int32())
-        return pa.table([block, pa.array(ids, pa.int32()), pa.array(vals, pa.binary()), pa.array(many, pa.binary())], names=["block", "bucket", "hashes", "many"])
-
-    def counted(key, group):
-        each = [unpacked(x) for x in group.column("hashes").to_pylist()]
-        many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(v)).astype(bool) for x, v in zip(group.column("many").to_pylist(), each)]
-        values = np.sort(np.concatenate(each))
-        twice = values[1:][values[1:] == values[:-1]]  # in two blocks
-        known = np.unique(np.concatenate([twice, *(v[m] for v, m in zip(each, many))]))
-
-        def bits(v):
-            if not len(known):
-                return np.zeros(len(v), bool)
-            i = np.searchsorted(known, v)
-            i[i == len(known)] = 0
-            return known[i] == v
-
-        answers = [np.packbits(bits(v)).tobytes() for v in each]
-        return pa.table([group.column("block").combine_chunks(), group.column("bucket").combine_chunks(), pa.array(answers, pa.binary())], names=["block", "bucket", "bits"])
+        values, n = np.unique(_block_hashes(group, size)[1], return_counts=True)
+        return _rows(1, key[0].as_py(), values, None, n > 1, buckets)
 
-    def removed(key, left, right):
-        held, h = _block_hashes(left, size)
+    def found(texts, said):
+        """The block's slabs, and of each the windows that the first count found and their digests."""
+        held, h = _block_hashes(texts, size)
         values, back = np.unique(h, return_inverse=True)
-        cut, flag = _cuts(values, buckets), np.zeros(len(values), bool)
-        for b, raw in zip(right.column("bucket").to_pylist(), right.column("bits").to_pylist()):
-            flag[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=cut[b + 1] - cut[b]).astype(bool)
-        repeated, used = flag[back], 0
-        ids, n_words, n_removed, kept = [], [], [], []
+        repeated, used, out = _answers(said, 1, values, buckets)[back], 0, []
         for slab, w, at in held:
             hit = at[repeated[used : used + len(at)]]
             used += len(at)
+            out.append((slab, w, hit, digests(w, hit, size)))
+        return out
+
+    def distinct_digests(held):
+        every = np.concatenate([d for *_, d in held] or [np.zeros((0, 2), np.uint64)])
+        order = np.lexsort((every[:, 1], every[:, 0]))
+        own = every[order]
+        start = np.concatenate([[True], (own[1:] != own[:-1]).any(1)]) if len(own) else np.zeros(0, bool)
+        back = np.empty(len(own), np.int64)
+        back[order] = np.cumsum(start) - 1
+        return own[start], np.diff(np.append(np.flatnonzero(start), len(own))), back
+
+    def proved(key, left, right):
+        own, n, _ = distinct_digests(found(left, right))
+        return _rows(2, key[0].as_py(), own[:, 0], own[:, 1], n > 1, buckets)
+
+    def removed(key, left, right):
+        held, used = found(left, right), 0
+        own, _, back = distinct_digests(held)
+        repeated = _answers(right, 2, own[:, 0], buckets)[back]
+        ids, n_words, n_removed, kept = [], [], [], []
+        for slab, w, at, d in held:
+            hit = at[repeated[used : used + len(d)]]
+            used += len(d)
             cover = np.zeros(len(w.start) + 1, np.int64)
             np.add.at(cover, hit, 1)
             np.add.at(cover, hit + size, -1)
@@ -111,9 +175,11 @@ def _dedup(blocks: DataFrame, size: int, buckets: int, digest: bool) -> DataFram
             n_words += w.count.tolist()
         return pa.table([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    sent = blocks.groupBy("block").applyInArrow(hashed, "block int, bucket int, hashes binary, many binary")
-    said = sent.groupBy("bucket").applyInArrow(counted, "block int, bucket int, bits binary")
-    return blocks.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(removed, "doc_id long, n_words long, n_removed long, kept string")
+    by_block = blocks.groupBy("block")
+    said = by_block.applyInArrow(hashed, _SENT).groupBy("level", "bucket").applyInArrow(counted, _SAID)
+    proof = by_block.cogroup(said.groupBy("block")).applyInArrow(proved, _SENT)
+    agreed = proof.groupBy("level", "bucket").applyInArrow(counted, _SAID)
+    return by_block.cogroup(said.unionByName(agreed).groupBy("block")).applyInArrow(removed, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
@@ -121,11 +187,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Returns doc_id, n_words, n_removed and kept_text (kept words joined by one space), or with digest=True kept_sha256 in place
     of kept_text. Defined cases: null text has no words; texts shorter than a window lose nothing; windows of one text that
-    repeat each other count; rows that repeat a doc_id are separate documents; an empty table gives an empty result; extra
+    repeat each other count; rows that repeat a doc_id (null ones too) are separate documents; an empty table gives an empty result; extra
     columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = text_bytes(base, "text")
     blocks = parts(size, BLOCK_BYTES, LEAST_BLOCKS)
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     return _dedup(dealt, window, parts(size, BUCKET_BYTES, LEAST_BLOCKS), digest).withColumnRenamed("kept", "kept_sha256" if digest else "kept_text")

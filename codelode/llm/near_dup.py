@@ -1,12 +1,12 @@
 """Near-duplicate documents by MinHash signatures and a multi-index Hamming join.
 
-A document's set is its distinct word shingles. Equal sets are one node of the graph from the start, so copies cost one row each.
-A node's signature has 16 bits of each of 64 minima; the distance of two signatures is the number of positions that differ. For a
+A document's set is its distinct word shingles. Equal sets (by a 128-bit hash) are one node of the graph from the start, so copies
+cost one row each. A node's signature has 16 bits of each of 64 minima; the distance of two signatures is the number of positions that differ. For a
 threshold of T positions the signature is cut into M chunks with M * (R + 1) > T: two signatures within T differ in at most R
 positions in some chunk (pigeonhole). With R = 1 every chunk is indexed once for each position that may be in error, by what the
-other positions hold; two signatures within T meet under at least one of these 64 keys, always. At a similarity of 0.85 a
-position differs with a chance of 0.15, so more than T = 23 of 64 differ in some 1 of 10^5 such pairs, and in far fewer above.
-limits() derives T and M from other similarities by the same chance (0.8: T = 28, M = 15).
+other positions hold; two signatures within T meet under at least one of these 64 keys, always. limits() derives T and M from
+the similarity: a position differs with a chance of 0.15 at a similarity of 0.85, so more than T of 64 differ in at most LOST
+of such pairs (10^-7: T = 27, M = 14; at 0.8 T = 31, M = 16), and in far fewer above.
 
 Links are then confirmed on full sets. To keep the work down without losing a link:
 - nodes that share a key are first compared with the least node of that key (a star, one pair a row);
@@ -28,7 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm._common import slabs, written
@@ -36,7 +36,7 @@ from codelode.llm._tokens import mix, windows, words
 from codelode.operators.layout import spread
 
 SHINGLE, SIMILARITY = 5, 0.85
-POSITIONS, MISSED = 64, 1e-5
+POSITIONS, MISSED, LOST = 64, 1e-5, 1e-7
 PARITY = 2048
 TILE, KEEP = 1024, 16
 _A = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -44,10 +44,10 @@ _SHORT, _S1, _S2 = 0x5851F42D4C957F2D, np.uint64(0x2545F4914F6CDD1D), np.uint64(
 
 
 @lru_cache
-def limits(similarity: float) -> tuple[int, int]:
-    """The threshold T that pairs of that similarity exceed with a chance of at most MISSED, and the number of chunks for it."""
+def limits(similarity: float, missed: float = MISSED) -> tuple[int, int]:
+    """The threshold T that pairs of that similarity exceed with a chance of at most missed, and the number of chunks for it."""
     chance = lambda k: math.comb(POSITIONS, k) * (1 - similarity) ** k * similarity ** (POSITIONS - k)
-    within = next(t for t in range(POSITIONS + 1) if sum(map(chance, range(t + 1, POSITIONS + 1))) <= MISSED)
+    within = next(t for t in range(POSITIONS + 1) if sum(map(chance, range(t + 1, POSITIONS + 1))) <= missed)
     return within, within // 2 + 1
 
 
@@ -125,31 +125,39 @@ def _near(n1, n2, s1, s2, o1, o2, similarity: float) -> np.ndarray:
     both = n1 + n2
     fine = np.minimum(n1, n2) >= similarity * np.maximum(n1, n2) - 1e-9
     at = np.flatnonzero(fine)
-    at = at[(s1[at] != s2[at]).sum(1) <= limits(similarity)[0]]
+    at = at[(s1[at] != s2[at]).sum(1) <= limits(similarity, LOST)[0]]
     flips = np.bitwise_count(o1[at] ^ o2[at]).sum(1)
     return at[flips <= (1 - similarity) / (1 + similarity) * both[at] + 1e-6]
 
 
+def names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit hash of each set, in two halves."""
+    size = np.array([len(s) for s in sets], np.uint64)
+    return tuple(mix(np.array([mix(s ^ k).sum(dtype=np.uint64) for s in sets], np.uint64) ^ size * _S2).view(np.int64) for k in (_S1, _S2))
+
+
+def row_id(doc_id: Column, text: Column) -> list[Column]:
+    """What tells rows apart: a 128-bit hash of id and text, in two halves."""
+    return [F.xxhash64(doc_id, text).alias("rid"), F.xxhash64(F.lit(7), text, doc_id).alias("rid2")]
+
+
 def sketch(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, rid (a hash of id and text), n (set size), node (hash of the set, null if empty), sig, odd."""
+    """doc_id, rid, rid2, n (set size), high and low (hash of the set, null if empty), sig, odd."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in slabs(batches, "text"):
             sets = shingle_sets(slab.column("text"), shingle)
             full = [s for s in sets if len(s)]
-            sig, odd = iter(signatures(full)), iter(parity(full))
-            sums = [np.array([mix(s ^ k).sum(dtype=np.uint64) for s in full], np.uint64) for k in (_S1, _S2)]
-            name = iter(mix(sums[0] ^ sums[1] * _S2 ^ np.array([len(s) for s in full], np.uint64)).view(np.int64).tolist())
-            node = [next(name) if len(s) else None for s in sets]
-            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64())]
-            cols += [pa.array([next(x).tobytes() if len(s) else None for s in sets], pa.binary()) for x in (sig, odd)]
-            yield pa.record_batch([slab.column("doc_id"), slab.column("rid"), *cols], names=["doc_id", "rid", "n", "node", "sig", "odd"])
+            own = [iter(x) for x in (*(h.tolist() for h in names(full)), map(bytes, signatures(full)), map(bytes, parity(full)))]
+            cols = [pa.array([next(x) if len(s) else None for s in sets], t) for x, t in zip(own, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+            yield pa.record_batch([*(slab.column(c) for c in ("doc_id", "rid", "rid2")), pa.array([len(s) for s in sets], pa.int64()), *cols], names=["doc_id", "rid", "rid2", "n", "high", "low", "sig", "odd"])
 
-    return spread(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")).mapInArrow(f, "doc_id long, rid long, n long, node long, sig binary, odd binary")
+    rows = docs.select("doc_id", *row_id(F.col("doc_id"), F.col("text")), "text")
+    return spread(rows).mapInArrow(f, "doc_id long, rid long, rid2 long, n long, high long, low long, sig binary, odd binary")
 
 
 def _keys(nodes: DataFrame, similarity: float) -> DataFrame:
-    _, chunks = limits(similarity)
+    _, chunks = limits(similarity, LOST)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,14 +171,16 @@ def _keys(nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """node and its set, for nodes (node, rid)."""
+    """node and its set, for nodes (node, rid, high, low)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in slabs(batches, "text"):
             sets = shingle_sets(slab.column("text"), shingle)
-            yield pa.record_batch([slab.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "members"])
+            high, low = names(sets)
+            same = (high == slab.column("high").to_numpy()) & (low == slab.column("low").to_numpy())  # not a text with the same rid
+            yield pa.record_batch([slab.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "members"]).filter(pa.array(same))
 
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text").join(nodes.select("node", "rid"), "rid").select("node", "text")
+    texts = docs.select(row_id(F.col("doc_id"), F.col("text"))[0], "text").join(nodes.select("node", "rid", "high", "low"), "rid").select("node", "high", "low", "text")
     return texts.mapInArrow(f, "node long, members binary").groupBy("node").agg(F.min("members").alias("members"))
 
 
@@ -229,7 +239,7 @@ def _across(shared: DataFrame, nodes: DataFrame, comps: DataFrame, similarity: f
         held: list[pa.RecordBatch] = []
 
         def done(group: pa.Table) -> pa.RecordBatch:
-            out: dict[tuple, list] = {}
+            out: dict[tuple, set] = {}
             dropped: set[tuple] = set()
             g = group.combine_chunks()
             key, x, y, tile, node, comp, n = (g.column(c).to_numpy() for c in ("key", "x", "y", "tile", "node", "comp", "n"))
@@ -245,16 +255,14 @@ def _across(shared: DataFrame, nodes: DataFrame, comps: DataFrame, similarity: f
                 i, j = np.concatenate(i_all), np.concatenate(j_all)
                 i_all, j_all, todo = [], [], 0
                 at = _near(n[i], n[j], sig[i], sig[j], odd[i], odd[j], similarity)
-                at = at[first_shared(sig[i[at]], sig[j[at]], limits(similarity)[1]) == key[i[at]] & (POSITIONS - 1)]  # each pair under one key
+                at = at[first_shared(sig[i[at]], sig[j[at]], limits(similarity, LOST)[1]) == key[i[at]] & (POSITIONS - 1)]  # each pair under one key
                 for a, b in zip(i[at].tolist(), j[at].tolist()):
                     own = (min(comp[a], comp[b]), max(comp[a], comp[b]))
                     pair = (min(node[a], node[b]), max(node[a], node[b]))
-                    have = out.setdefault(own, [])
-                    if pair in have:
-                        continue
+                    have = out.setdefault(own, set())
                     if len(have) < keep:
-                        have.append(pair)
-                    else:
+                        have.add(pair)
+                    elif pair not in have:
                         dropped.add(own)
 
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
@@ -315,10 +323,11 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _graph(base: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of sketch(base), and every node with comp, its component, and the doc_id and rid of its least document."""
+    """Rows of sketch(base), and every node with comp, its component, its set's high and low, and its least document's doc_id, rid, rid2."""
     rows = written(sketch(base, shingle))
-    pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "n", "sig", "odd")).alias("x")
-    nodes = written(rows.where("n > 0").groupBy("node").agg(pick).select("node", "x.doc_id", "x.rid", "x.n", "x.sig", "x.odd"))
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "rid2", "n", "sig", "odd")).alias("x")
+    found = rows.where("n > 0").groupBy("high", "low").agg(pick)
+    nodes = written(found.select(F.monotonically_increasing_id().alias("node"), "high", "low", "x.doc_id", "x.rid", "x.rid2", "x.n", "x.sig", "x.odd"))
     keys = _keys(nodes, similarity)
     twice = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center != last").select("key", "center")
     shared = written(keys.join(twice, "key"))
@@ -335,7 +344,7 @@ def _graph(base: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame,
         if not left_out:
             break
         keep *= 16
-    return rows, nodes.select("node", "doc_id", "rid").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return rows, nodes.select("node", "high", "low", "doc_id", "rid", "rid2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -347,18 +356,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows, nodes = _graph(_base(docs, id_col, text_col), similarity, shingle)
     least = nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    known = nodes.join(least, "comp").select("node", "component_id")
-    out = rows.select("doc_id", "n", "node").join(known, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    known = nodes.join(least, "comp").select("high", "low", "component_id", F.lit(True).alias("full"))
+    out = rows.select("doc_id", "n", "high", "low").join(known, ["high", "low"], "left").withColumn("component_id", F.when(F.col("full"), F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one document of each component, the one with the least doc_id; documents without words all stay.
+    """docs with one document of each component, the one with the least doc_id; documents without words all stay, row by row.
 
-    Rows that repeat both doc_id and text count as one document.
+    Rows that repeat both doc_id and text count as one document, unless they have no words. Other columns may have any names.
     """
-    rid = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows, nodes = _graph(_base(docs, "doc_id", "text"), similarity, shingle)
-    first = nodes.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("x")).select(F.col("x.rid").alias("__keep"))
-    stay = first.unionByName(rows.where("n = 0").select(F.col("rid").alias("__keep"))).distinct()
-    return docs.withColumn("__rid", rid).join(stay, F.col("__rid") == F.col("__keep"), "left_semi").dropDuplicates(["__rid"]).drop("__rid")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    full = text.rlike(r"[^\x20\x09-\x0D]")
+    every = docs.select(F.struct("*").alias("row"), full.alias("full"), *row_id(F.col("doc_id").cast("long"), text))
+    _, nodes = _graph(_base(docs, "doc_id", "text"), similarity, shingle)
+    first = nodes.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "rid2")).alias("x")).select("x.rid", "x.rid2")
+    one = every.where("full").join(first, ["rid", "rid2"], "left_semi").dropDuplicates(["rid", "rid2"]).select("row")
+    stay = one.unionByName(every.where("NOT full").select("row"))
+    return stay.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

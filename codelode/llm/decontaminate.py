@@ -5,16 +5,21 @@
    the single-pass (Nystroem) decomposition Z (G'Z)^-1 Z' = U S^2 U' gives the latent axes U. It is fitted on all passages of
    all documents, FIT_BYTES of text or more a task.
 3. Every document is cut into passages of 2, 4 and 8 blocks of 8 words, and of twice as many for as long as items are longer, each
-   starting a block after the one before (an eighth of a passage for the longer ones). Benchmark items are compared, all of them in one matrix product a slab, with
-   the passages of the size next to their own by cosine in the latent space.
+   starting a block after the one before (an eighth of a passage for the longer ones). Passages are searched for in the latent
+   space: an item's candidates are the passages of the size next to its own whose cosine with it is COSINE or more, times the
+   root of the share of the passage that the item can fill. The index of a benchmark has cells of some CELL items (spherical
+   k-means); a passage looks into the cells next to it, as many as the root of their number and PROBES at least.
 4. Candidates are checked on their words, over a window that holds the whole item and a margin on both sides of the passage: a
-   share ANSWERS of the item's answer words (given ones, or its rarest words) must be in it, and the longest common subsequence
-   must cover a share LCS of the item, which insertions, deletions and exchanged words leave (paraphrases).
+   share ANSWERS of the item's answer words (given ones, or its rarest words; all of them in items of under SHORT words) must be
+   in it, and the longest common subsequence must cover a share LCS of the item, which insertions, deletions and exchanged words
+   leave (paraphrases).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,9 @@ from codelode.operators.layout import spread
 
 BUCKETS, RANK, BLOCK, SIZES = 1 << 15, 64, 8, (2, 4, 8)
 FIT_BYTES, FIT_TASKS = 64 << 20, 12
-COSINE, LCS, ANSWERS, N_ANSWERS = 0.3, 0.6, 0.5, 6
+COSINE, LCS, ANSWERS, N_ANSWERS, SHORT = 0.35, 0.6, 0.25, 8, 8
+CELL, PROBES, AT_ONCE = 512, 4, 4096
+ITEM_BYTES = 16 << 20  # of a benchmark's texts that are searched for in one pass over the documents
 MARGIN = 0.25  # of an item's length, for words put in
 _ROWS = 256  # buckets a row of summed matrices
 _SLAB = 1 << 19
@@ -74,14 +81,117 @@ def side_of(n_words: int, size: int) -> int:
     return max(1, -(-int(n_words * (1 + MARGIN)) // BLOCK) + 1 - size + step_of(size))
 
 
-def useful(which: np.ndarray, block: np.ndarray, need: np.ndarray, span: int) -> np.ndarray:
-    """Which hits (item and block, in this order) are among as many as the item needs within span blocks."""
-    key = which * (int(block.max(initial=0)) + 1 + span) + block
-    last = np.arange(len(key)) + np.ceil(need).astype(np.int64)[which] - 1
-    fine = np.flatnonzero(last < len(key))
-    fine = fine[key[last[fine]] - key[fine] < span]
-    edge = np.bincount(fine, minlength=len(key) + 1) - np.bincount(last[fine] + 1, minlength=len(key) + 1)
-    return np.cumsum(edge)[:-1] > 0
+def cells(v: np.ndarray, each: int = CELL, rounds: int = 6) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Centres of cells of unit vectors (spherical k-means) and the members of each cell; every vector is in one."""
+    k = -(-len(v) // each)
+    centers = v[np.arange(k) * len(v) // k]
+    for _ in range(rounds if k > 1 else 1):
+        own = np.concatenate([np.argmax(v[i : i + AT_ONCE] @ centers.T, axis=1) for i in range(0, len(v), AT_ONCE)])
+        total = np.zeros_like(centers)
+        np.add.at(total, own, v)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        centers = np.where(norm > 0, total / np.maximum(norm, 1e-30), centers)
+    return centers, [np.flatnonzero(own == c) for c in range(k)]
+
+
+@dataclass
+class Items:
+    """The items of one passage size (in blocks), ready to be searched for."""
+
+    size: int
+    name: list[int]
+    vector: np.ndarray  # in the latent space, of length 1
+    least: np.ndarray  # the cosine that a candidate needs
+    words: list[list[int]]
+    side: np.ndarray
+    answer: list[np.ndarray]
+    need: np.ndarray  # answer words that a window needs
+    centers: np.ndarray
+    members: list[np.ndarray]
+
+    def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of x, item) whose cosine is large enough, x having rows of length 1, by the cells next to each row."""
+        probes = max(PROBES, math.isqrt(len(self.members)))
+        every = probes >= len(self.members)
+        rows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(x), AT_ONCE):
+            part = x[at : at + AT_ONCE]
+            close = None if every else np.argpartition(-(part @ self.centers.T), probes - 1, axis=1)[:, :probes]
+            for c, members in enumerate(self.members):
+                own = np.arange(len(part)) if every else np.flatnonzero((close == c).any(1))
+                for i in range(0, len(members) if len(own) else 0, 2 * CELL):
+                    j = members[i : i + 2 * CELL]
+                    p, q = np.nonzero(part[own] @ self.vector[j].T >= self.least[j])
+                    rows.append(at + own[p])
+                    items.append(j[q])
+        return np.concatenate(rows), np.concatenate(items)
+
+    def answers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All answer words in order, the item of each, and a table by the low bits of a hash of whether it can be one."""
+        word = np.concatenate(self.answer)
+        item = np.repeat(np.arange(len(self.answer)), [len(a) for a in self.answer])
+        order = np.argsort(word, kind="stable")
+        rare = np.zeros(1 << 16, bool)
+        rare[(word & np.uint64(0xFFFF)).astype(np.int64)] = True
+        return word[order], item[order], rare
+
+
+def prepare(items: pa.Table, latent: np.ndarray, idf: np.ndarray) -> list[Items]:
+    """Items (item_id, text, answer) by passage size; those without words are left out."""
+    w = words(items.column("text").combine_chunks())
+    h = w.hashes(lower=True)
+    bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
+    sizes = sizes_for(int(w.count.max(initial=1)))
+    found: dict[int, list] = {}
+    for i in np.flatnonzero(w.count).tolist():
+        at = slice(w.first[i], w.first[i + 1])
+        own, n = h[at], int(w.count[i])
+        given = items.column("answer")[i].as_py()
+        answer = np.unique(words(pa.array([given])).hashes(lower=True) if given else own[np.argsort(-idf[bucket[at]], kind="stable")][:N_ANSWERS])
+        v = latent[bucket[at]].sum(0)
+        size = min(sizes, key=lambda k: abs(k * BLOCK - n))
+        need = len(answer) if n < SHORT else math.ceil(ANSWERS * len(answer))
+        found.setdefault(size, []).append((items.column("item_id")[i].as_py(), v / max(float(np.linalg.norm(v)), 1e-30), COSINE * math.sqrt(min(1.0, n / (size * BLOCK))), own.tolist(), side_of(n, size), answer, need))
+    out = []
+    for size, rows in sorted(found.items()):
+        name, vector, least, seq, side, answer, need = zip(*rows)
+        vector = np.stack(vector).astype(np.float32)
+        out.append(Items(size, list(name), vector, np.array(least, np.float32), list(seq), np.array(side), list(answer), np.array(need), *cells(vector)))
+    return out
+
+
+def search(items: Items, ready: tuple, h: np.ndarray, upto: np.ndarray, blocks: tuple, block_of_word: np.ndarray, share: float) -> Iterator[tuple[int, int, float, float]]:
+    """(text of the slab, item_id, lcs, cosine) of every passage in which an item is found."""
+    first, doc, doc_block = blocks
+    n = len(first)
+    start = np.flatnonzero((np.arange(n) - doc_block[doc]) % step_of(items.size) == 0)
+    low, high = doc_block[doc[start]], doc_block[doc[start] + 1]
+    end = np.minimum(start + items.size, high)
+    x = upto[end] - upto[start]
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-30)
+    p, j = items.near(x)
+    a, b = np.maximum(start[p] - items.side[j], low[p]), np.minimum(end[p] + items.side[j], high[p])
+    # answer words of the items by block, from the few words that are any item's
+    word, item, rare = ready
+    at = np.flatnonzero(rare[(h & np.uint64(0xFFFF)).astype(np.int64)])
+    x0, x1 = np.searchsorted(word, h[at], "left"), np.searchsorted(word, h[at], "right")
+    many = x1 - x0
+    which = item[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(x0, many)]
+    key = np.sort(which * (n + 1) + np.repeat(block_of_word[at], many))
+    fine = np.searchsorted(key, j * (n + 1) + b) - np.searchsorted(key, j * (n + 1) + a) >= items.need[j]
+    done = set()
+    for p, j, a, b in zip(*(v[fine].tolist() for v in (p, j, a, b))):
+        own = (int(doc[start[p]]), j)
+        near = h[first[a] : first[b] if b < n else len(h)]
+        if own in done:
+            yield own[0], items.name[j], 1.0, float(x[p] @ items.vector[j])
+            continue
+        if np.isin(items.answer[j], near).sum() < items.need[j]:
+            continue
+        if (part := lcs(items.words[j], near.tolist()) / len(items.words[j])) >= share:
+            if part == 1:
+                done.add(own)
+            yield own[0], items.name[j], part, float(x[p] @ items.vector[j])
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -154,57 +264,44 @@ def axes(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> t
     return u, s
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = None, cosine: float = COSINE, share: float = LCS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = None, share: float = LCS) -> DataFrame:
     """doc_id, item_id, cosine and lcs (share of the item's words, the best of the document's passages) of every leak found.
 
-    The benchmark is a stated query set and reaches the driver; it is not made for more than some 10^5 items at a time. Defined
-    cases: null texts and items without words match nothing; items that repeat are reported each; rows that repeat a doc_id are
-    searched each and reported once; an empty table gives an empty result; extra columns are ignored.
+    The benchmark is a stated query set and is searched for in parts of some ITEM_BYTES, of which one at a time reaches the driver
+    and is broadcast. Defined cases: null texts and items without words match nothing; items that repeat are reported each; rows
+    that repeat a doc_id are searched each and reported once; an empty table gives an empty result; extra columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     base = spread(base)
     schema = "doc_id long, item_id long, cosine double, lcs double"
-    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"), (F.lower(F.col(answer_col).cast("string")) if answer_col else F.lit(None).cast("string")).alias("answer"))
-    items = asked.where("text is not null").orderBy("item_id", "text").toArrow()
-    size = text_bytes(base, "text")
-    if not len(items) or not size:
+    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"), (F.lower(F.col(answer_col).cast("string")) if answer_col else F.lit(None).cast("string")).alias("answer")).where("text is not null")
+    size, asked_size = text_bytes(base, "text"), text_bytes(asked, "text")
+    if not asked_size or not size:
         return docs.sparkSession.createDataFrame([], schema)
     df, n_docs = document_frequencies(base)
     idf = (np.log((n_docs + 1) / (df + 1)) + 0.1).astype(np.float32)
     u, sv = axes(base.coalesce(parts(size, FIT_BYTES, FIT_TASKS)), idf)  # each task sends a matrix of 8 MB
     latent = (u * idf[:, None] / np.maximum(sv, 1e-6 * sv.max())).astype(np.float32)
+    n_parts, out = parts(asked_size, ITEM_BYTES), None
+    for part in range(n_parts):
+        items = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == part).orderBy("item_id", "text").toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast((latent, prepare(items, latent, idf)))
+        found = base.mapInArrow(_finder(shared, share), schema)
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"))
 
-    w = words(items.column("text").combine_chunks())
-    h = w.hashes(lower=True)
-    queries, sizes = [], sizes_for(int(w.count.max()))
-    for i in range(len(items)):
-        own = h[w.first[i] : w.first[i + 1]]
-        if not len(own):
-            continue
-        given = items.column("answer")[i].as_py()
-        a = words(pa.array([given or ""])).hashes(lower=True) if given else own[np.argsort(-idf[(own % np.uint64(BUCKETS)).astype(np.int64)], kind="stable")][:N_ANSWERS]
-        v = latent[(own % np.uint64(BUCKETS)).astype(np.int64)].sum(0)
-        scale = min(range(len(sizes)), key=lambda k: abs(sizes[k] * BLOCK - len(own)))
-        queries.append((items.column("item_id")[i].as_py(), scale, v / max(float(np.linalg.norm(v)), 1e-30), own.tolist(), np.unique(a)))
-    shared = docs.sparkSession.sparkContext.broadcast((latent, [[q for q in queries if q[1] == k] for k in range(len(sizes))]))
 
+def _finder(shared, share: float):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        latent, of_scale = shared.value
+        latent, every = shared.value
         latent = np.concatenate([latent, np.zeros((1, latent.shape[1]), np.float32)])
-        answers = []  # of each size: the answer words, each with the items it is of
-        for own in of_scale:
-            word = np.concatenate([q[4] for q in own]) if own else np.zeros(0, np.uint64)
-            item = np.repeat(np.arange(len(own)), [len(q[4]) for q in own])
-            order = np.argsort(word, kind="stable")
-            rare = np.zeros(1 << 16, bool)  # by the low bits of a hash: whether it can be an answer word
-            rare[(word & np.uint64(0xFFFF)).astype(np.int64)] = True
-            answers.append((word[order], item[order], np.array([ANSWERS * len(q[4]) for q in own]), rare))
+        ready = [items.answers() for items in every]
         for slab in slabs(batches, "text", _SLAB):
             w = words(slab.column("text"))
             if not len(w.start):
                 continue
             h = w.hashes(lower=True)
-            first, doc, doc_block = blocks_of(w)
+            blocks = first, _, _ = blocks_of(w)
             n = len(first)
             block_of_word = np.repeat(np.arange(n), np.diff(np.append(first, len(h))))
             slot = np.full((n, BLOCK), BUCKETS)  # a row of zeros fills up short blocks
@@ -212,57 +309,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = N
             sums = latent[slot[:, 0]]
             for i in range(1, BLOCK):
                 sums += latent[slot[:, i]]
-            upto = np.concatenate([np.zeros((1, sums.shape[1]), np.float32), np.cumsum(sums, axis=0)])
+            upto = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)]).astype(np.float32)
             best: dict[tuple[int, int], tuple[float, float]] = {}
-            for k, (own, (word, item, need, rare)) in enumerate(zip(of_scale, answers)):
-                if not own:
-                    continue
-                step, sides = step_of(sizes[k]), [side_of(len(q[3]), sizes[k]) for q in own]
-                side = max(sides)
-                start = np.flatnonzero((np.arange(n) - doc_block[doc]) % step == 0)
-                low, high = doc_block[doc[start]], doc_block[doc[start] + 1]
-                end = np.minimum(start + sizes[k], high)
-                x = upto[end] - upto[start]
-                x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-30)
-                close = x @ np.stack([q[2] for q in own]).T >= cosine
-                # answer words of each item in the widest window about each passage, from the few words that are any item's
-                at = np.flatnonzero(rare[(h & np.uint64(0xFFFF)).astype(np.int64)])
-                own_word = np.minimum(np.searchsorted(word, h[at]), len(word) - 1)
-                at = at[word[own_word] == h[at]]
-                first_item, last_item = np.searchsorted(word, h[at], "left"), np.searchsorted(word, h[at], "right")
-                many = last_item - first_item
-                which = item[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first_item, many)]
-                block = np.repeat(block_of_word[at], many)
-                order = np.lexsort((block, which))
-                which, block = which[order], block[order]
-                fine = useful(which, block, need, sizes[k] + 2 * side)
-                which, block = which[fine], block[fine]
-                place = np.searchsorted(start, block, "right") - 1  # the last passage that starts at or before a block
-                reach = np.arange(-((sizes[k] + side) // step) - 1, side // step + 2)  # passages whose window a block is in, by their distance from that
-                p = (place[:, None] + reach).ravel()
-                j, block = np.repeat(which, len(reach)), np.repeat(block, len(reach))
-                fine = (p >= 0) & (p < len(start))
-                p, j, block = p[fine], j[fine], block[fine]
-                fine = (block >= np.maximum(start[p] - side, low[p])) & (block < np.minimum(end[p] + side, high[p]))
-                pair, hits = np.unique(p[fine] * len(own) + j[fine], return_counts=True)
-                pair = pair[hits >= need[pair % len(own)]]
-                pair = pair[close.ravel()[pair]]
-                for p, j in zip((pair // len(own)).tolist(), (pair % len(own)).tolist()):
-                    a, b = max(start[p] - sides[j], low[p]), min(end[p] + sides[j], high[p])
-                    near = h[first[a] : first[b] if b < n else len(h)]
-                    name, _, vector, seq, wanted = own[j]
-                    if np.isin(wanted, near).sum() < need[j]:
-                        continue
-                    if (part := lcs(seq, near.tolist()) / len(seq)) >= share:
-                        key, now = (int(doc[start[p]]), name), (part, float(x[p] @ vector))
-                        best[key] = max(best.get(key, now), now)
+            for items, own in zip(every, ready):
+                for doc, name, part, cosine in search(items, own, h, upto, blocks, block_of_word, share):
+                    best[doc, name] = max(best.get((doc, name), (part, cosine)), (part, cosine))
             ids = slab.column("doc_id")
             yield pa.record_batch([ids.take(pa.array([d for d, _ in best], pa.int64())), pa.array([i for _, i in best], pa.int64()), pa.array([c for _, c in best.values()], pa.float64()), pa.array([s for s, _ in best.values()], pa.float64())], names=["doc_id", "item_id", "cosine", "lcs"])
 
-    return base.mapInArrow(f, schema).groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"))
+    return f
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents in which a leak was found."""
-    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("__leak")), "left_anti")
+    """docs without the documents in which a leak was found; their other columns may have any names."""
+    leaks = find_leaks(docs, benchmark).select(F.struct("doc_id").alias("leak")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("own"))
+    stay = rows.join(leaks, F.col("own.doc_id").eqNullSafe(F.col("leak.doc_id")), "left_anti")
+    return stay.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -6,7 +6,8 @@ piece is placed again. What stays open at the end of a partition is merged with
 a task, level by level. The last window of all is cut into lengths that are powers of two, which need no padding.
 
 Ids are those of the tokenizers library for the vocabulary file. They are computed by tiktoken from that same file's vocabulary,
-which gives the same ids four times as fast (tests compare the two); a vocabulary of another kind goes through tokenizers itself.
+which gives the same ids four times as fast (tests compare the two); a vocabulary of another kind, and a text with white space of
+LONG_SPACE characters on end, on which tiktoken's backtracking runs out of stack, goes through tokenizers itself.
 With added_tokens, as the queries have it, the literal text of an added token (<|endoftext|>) is that one id, as
 encode(text, add_special_tokens=False) has it; without, it is encoded like any other text (encode_special_tokens).
 
@@ -17,9 +18,10 @@ are packed row by row; an empty table gives an empty result; extra columns are i
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from codelode.llm._common import slabs, written
 from codelode.operators.layout import spread
 
 LENGTH, OPEN, FAN_IN = 1024, 16, 64
+LONG_SPACE = 10_000
+_LONG_SPACE = re.compile(rf"(?<!\s)\s{{{LONG_SPACE},}}+")
 #: Sequence ids: partition-phase ids count up from partition * 2^SHIFT; merged ones have MERGED added.
 SHIFT, MERGED = 32, 1 << 61
 
@@ -41,6 +45,14 @@ _LEFT = "part long, ids binary"
 @lru_cache(maxsize=2)
 def encoder(path: str, added_tokens: bool = False):
     """A function from texts to lists of ids under the vocabulary at path (a tokenizers JSON file)."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = not added_tokens
+
+    def plainly(texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
+
     spec = json.load(open(path, encoding="utf-8"))
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
     added = spec.get("added_tokens", [])
@@ -55,14 +67,9 @@ def encoder(path: str, added_tokens: bool = False):
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(other)}
         ranks = {bytes(byte[c] for c in k): v for k, v in model["vocab"].items() if k not in names}
         own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={x["content"]: x["id"] for x in added} if added_tokens else {})
-        if added_tokens:
-            return lambda texts: [own.encode(t, allowed_special="all") for t in texts]
-        return lambda texts: [own.encode_ordinary(t) for t in texts]
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = not added_tokens
-    return lambda texts: [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
+        fast = partial(own.encode, allowed_special="all") if added_tokens else own.encode_ordinary
+        return lambda texts: [plainly([t])[0] if len(t) >= LONG_SPACE and _LONG_SPACE.search(t) else fast(t) for t in texts]
+    return plainly
 
 
 class Packer:

@@ -22,11 +22,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share (spark.checkpoint.dir, or one set here where it is unset)."""
+    """A new folder below the one that driver and executors share (spark.checkpoint.dir), as a URI with its scheme.
+
+    Where the setting is unset, a local session (one machine) gets a folder of its own; on a cluster that would be another folder on
+    each machine, so it is an error there. clear() deletes what a session wrote.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        spark.conf.set("spark.checkpoint.dir", at := "/tmp/checkpoints/codelode")
-    return f"{at.rstrip('/')}/codelode-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.conf.set("spark.checkpoint.dir", at := "file:///tmp/checkpoints/codelode")
+    return f"{_own_dir(spark, at)}/{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession, at: str) -> str:
+    """The session's folder; a path without scheme is one of the default file system, also for readers other than Spark's."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    whole = "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
+    return f"{whole.rstrip('/')}/codelode-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session; results that are not written yet need them."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark, at))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:

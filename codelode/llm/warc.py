@@ -1,8 +1,9 @@
 """WARC archives: a writer of deduplicated records and a reader that salvages damaged files.
 
-Archives are .warc.gz files with one gzip member a record. The reader takes a member only if its gzip checksum, version line,
-Content-Length and block digest all hold. After a failed check it searches for the next place where a member (or, in plain
-archives, a version line) starts and passes these checks, goes on from there, and logs the bytes between as a quarantined gap.
+Archives are .warc.gz files with one gzip member a record. The reader takes any archive, with records of any kind and any number of
+them in a member. It takes a member only if its gzip checksum holds, and a record only if its version line, Content-Length and block
+digest do. After a failed check it searches for the next place where a member (or, in plain archives and within members, a version
+line) starts and passes these checks, goes on from there, and logs the bytes between as a quarantined gap.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ _FEED = 1 << 15
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-_READ = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, archive string, offset long, gap_bytes long, gap_reason string"
+_READ = "record_id string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, archive string, offset long, gap_bytes long, gap_reason string"
 
 
 def digest(data: bytes) -> str:
@@ -39,9 +40,10 @@ def _uri(page_id: int | None) -> str:
     return f"<urn:codelode:page:{'null' if page_id is None else page_id}>"
 
 
-def _page(uri: str) -> int | None:
-    tail = uri.strip("<>").rpartition(":")[2]
-    return None if tail == "null" else int(tail)
+def _page(uri: str | None) -> int | None:
+    """The page_id in a record id of this writer; null for other ids."""
+    tail = (uri or "").strip("<>").removeprefix("urn:codelode:page:")
+    return int(tail) if re.fullmatch("-?[0-9]{1,19}", tail) else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False) -> bytes:
@@ -72,7 +74,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     if split < 0:
         raise Damaged("no end of headers")
     head = {}
-    for line in data[at:split].split(b"\r\n")[1:]:
+    for line in re.sub(rb"\r\n[ \t]+", b" ", data[at:split]).split(b"\r\n")[1:]:  # folded lines are one
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("bad header line")
@@ -84,13 +86,25 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     block = data[begin:end]
     if len(block) < int(size) or data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("Content-Length does not fit")
-    if (want := head.get("warc-block-digest")) and want != f"sha1:{digest(block)}":
+    if not fits(head.get("warc-block-digest"), block):
         raise Damaged("block digest differs")
     return head | {"block": block}, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[dict, int]:
-    """The record in the gzip member at a position, and where the member ends."""
+def fits(want: str | None, block: bytes) -> bool:
+    """Whether a labelled digest, in base 32 or 16, is that of a block; there is nothing to check without one or by other methods."""
+    name, _, value = (want or "").partition(":")
+    if name.lower().replace("-", "") not in ("sha1", "sha256", "md5"):
+        return True
+    raw = hashlib.new(name.lower().replace("-", ""), block).digest()
+    return value.upper().rstrip("=") in (base64.b32encode(raw).decode().rstrip("="), raw.hex().upper())
+
+
+Found = tuple[int, int, dict | None, str | None]
+
+
+def _member(data: bytes, at: int) -> tuple[list[Found], int]:
+    """What is in the gzip member at a position, and where the member ends. One with no good record is damaged."""
     z, view, fed, parts = zlib.decompressobj(31), memoryview(data), at, []
     while not z.eof and fed < len(data):  # piece by piece: what follows a member would be copied each time
         try:
@@ -100,47 +114,63 @@ def _member(data: bytes, at: int) -> tuple[dict, int]:
         fed = min(fed + _FEED, len(data))
     if not z.eof:
         raise Damaged("gzip: cut off")
-    plain = b"".join(parts)
-    got, end = parse(plain)
-    if end != len(plain):
-        raise Damaged("bytes after the record")
-    return got, fed - len(z.unused_data)
+    end = fed - len(z.unused_data)
+    inner = list(_walk(b"".join(parts), _plain, _next_version))
+    if all(got is None for _, _, got, _ in inner):
+        raise Damaged(inner[0][3] if inner else "empty member")
+    return [(at, end, got, why) for _, _, got, why in inner], end
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
-    """(start, end, record, None) for each good record and (start, end, None, reason) for each quarantined gap, in order."""
-    zipped = data[:2] == _MAGIC[:2] or (not _VERSION.match(data) and _MAGIC in data)
-    read = _member if zipped else parse
+def _plain(data: bytes, at: int) -> tuple[list[Found], int]:
+    got, end = parse(data, at)
+    return [(at, end, got, None)], end
+
+
+def _next_version(data: bytes, at: int) -> int:
+    return m.start() if (m := _VERSION.search(data, at)) else -1
+
+
+def _walk(data: bytes, read, following) -> Iterator[Found]:
+    """All that read finds, and the gaps between, over which following leads to the next place to try."""
     at, gap, why = 0, None, None
     while at < len(data):
         try:
-            got, end = read(data, at)
+            found, end = read(data, at)
         except Damaged as e:
             if gap is None:
                 gap, why = at, str(e)
-            if zipped:
-                at = data.find(_MAGIC, at + 1)
-            else:
-                at = m.start() if (m := _VERSION.search(data, at + 1)) else -1
-            if at < 0:
+            if (at := following(data, at + 1)) < 0:
                 break
             continue
         if gap is not None:
             yield gap, at, None, why
             gap = None
-        yield at, end, got, None
+        yield from found
         at = end
     if gap is not None:
         yield gap, len(data), None, why
 
 
-def payload_of(got: dict) -> tuple[bytes | None, int]:
-    """A record's payload (None for a revisit) and the full payload's size, from its HTTP block."""
-    head, split, body = got["block"].partition(b"\r\n\r\n")
-    if not split:
-        raise Damaged("no HTTP header")
-    size = int(re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", head)[1])
-    return (None if got.get("warc-type") == "revisit" else body), size
+def salvage(data: bytes) -> Iterator[Found]:
+    """(start, end, record, None) for each good record and (start, end, None, reason) for each quarantined gap, in order.
+
+    What shares a gzip member has the start and end of the member.
+    """
+    zipped = data[:2] == _MAGIC[:2] or (not _VERSION.match(data) and _MAGIC in data)
+    return _walk(data, _member, lambda x, at: x.find(_MAGIC, at)) if zipped else _walk(data, _plain, _next_version)
+
+
+def payload_of(got: dict) -> tuple[bytes | None, int | None]:
+    """A record's payload (None for a revisit) and the full payload's size (None where a revisit does not tell).
+
+    The payload is what follows the HTTP header, and the whole block of records that have none.
+    """
+    block, revisit = got["block"], got.get("warc-type") == "revisit"
+    head, split, body = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+    if not revisit:
+        return body, len(body)
+    told = re.search(rb"(?i)\r\ncontent-length:\s*(\d{1,18})", head)
+    return None, int(told[1]) if told else None
 
 
 def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -202,25 +232,27 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """A row per record salvaged from the archives at path, and one per quarantined gap (with gap_bytes and gap_reason).
 
     Files come through Spark's binaryFile source, so path can be in any store; a file is held in memory as a whole, so archives
-    should be rolled (the writer does at 16 MB).
+    should be rolled (the writer does at 16 MB). Defined cases: records of other writers have a null page_id and refers_to and
+    their own record_id; records without an HTTP block have it whole as payload; a revisit whose size or digest is not told has
+    null there; an empty file has no rows; very long headers and payloads are read whole.
     """
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("archive", pa.string()), ("offset", pa.int64()), ("gap_bytes", pa.int64()), ("gap_reason", pa.string())])
+        schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("archive", pa.string()), ("offset", pa.int64()), ("gap_bytes", pa.int64()), ("gap_reason", pa.string())])
         for batch in batches:
             for i in range(len(batch)):
                 name, data = batch.column("path")[i].as_py(), batch.column("content")[i].as_py()
                 rows, held = [], 0
                 for at, end, got, why in salvage(data):
                     if got is None:
-                        rows.append((None, None, None, None, None, None, None, name, at, end - at, why))
+                        rows.append((*[None] * 8, name, at, end - at, why))
                         continue
                     body, size = payload_of(got)
                     url = got.get("warc-target-uri")
-                    url = url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-                    own = digest(body) if body is not None else got["warc-payload-digest"].removeprefix("sha1:")
-                    to = got.get("warc-refers-to")
-                    rows.append((_page(got["warc-record-id"]), url, got["warc-type"], None if to is None else _page(to), len(body) if body is not None else size, own, body if payloads else None, name, at, None, None))
+                    if url and got.get("warc-record-id", "").startswith("<urn:codelode:page:"):  # as this writer escapes it
+                        url = url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+                    own = digest(body) if body is not None else (got.get("warc-payload-digest") or "").removeprefix("sha1:") or None
+                    rows.append((got.get("warc-record-id"), _page(got.get("warc-record-id")), url, got.get("warc-type"), _page(got.get("warc-refers-to")), size, own, body if payloads else None, name, at, None, None))
                     held += len(body or b"") * payloads
                     if held > 8 << 20:
                         yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
@@ -241,8 +273,11 @@ def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) ->
     """
     spark = pages.sparkSession
     folder = folder or shared_dir(spark)
-    wrote = write_archives(pages, folder, min_bytes).agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()["n"]
-    if not wrote:
+    wrote = write_archives(pages, folder, min_bytes).where("archive is not null").agg(F.count("*").alias("archives"), F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()
+    if not wrote["n"]:
         return spark.createDataFrame([], "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(folder).select("path").count()
+    if there < wrote["archives"]:
+        raise RuntimeError(f"{wrote['archives']} archives were written to {folder}, {there} are there")
     whole = F.when(F.col("gap_bytes").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a record just written cannot be read: "), "gap_reason", F.lit(", in "), "archive")).cast("boolean"))
     return read_archives(spark, folder, payloads=False).where(whole).select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -34,7 +34,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table tbody thead tfoot body article section div main aside nav form".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I | re.S)
+_NAMED = re.compile(r"""(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I | re.S)
+_HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|\Z)(?!\s*=\s*["']?until-found)|aria-hidden\s*=\s*["']?true|style\s*=\s*(?:"[^"]*|'[^']*)\b(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
+_QUOTED = re.compile(r""""[^"]*"|'[^']*'""", re.S)
+_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_OTHER = frozenset("has with no without".split())  # words of a name that say what is beside or inside, or is not
+_NOTES = re.compile(r"<annotation(?:-xml)?\b.*?</annotation(?:-xml)?\s*>|<!--.*?-->|<[^>]*>", re.I | re.S)
 _HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
 #: Raw elements that hold other elements: without an end tag they end with their parent. Foreign ones also end at tags that break out.
 NESTS, FOREIGN = frozenset("object svg math audio video canvas".split()), frozenset("svg math".split())
@@ -43,13 +48,74 @@ BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h
 POINTS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())  # where HTML is allowed in foreign content
 
 
+def _names(words: str) -> list[str]:
+    """The words of class names and the like, in lower case, but for those that a name has after a word of _OTHER."""
+    out = []
+    for name in words.split():
+        for w in _WORD.findall(name):
+            if w.lower() in _OTHER:
+                break
+            out.append(w.lower())
+    return out
+
+
+class Node:
+    """An open element: its tag, words and parent, and the features that it adds to those of its ancestors.
+
+    Features of a block's place are those that its node and ancestors add, and the local ones of the node: its tag, the words of the
+    nearest element with any, and whether no article or main is around. Nodes share their ancestors, so depth costs nothing.
+    """
+
+    __slots__ = ("tag", "words", "parent", "added", "local", "inside", "near", "_score")
+
+    def __init__(self, tag: str, words: str, parent: Node | None, open_features: dict[str, int]):
+        self.tag, self.words, self.parent = tag, words, parent
+        whole = tag in ("html", "body")
+        names = [] if whole else _names(words)
+        was_inside = parent is not None and parent.inside
+        own = [] if whole else ["tag=inner-header" if tag == "header" and was_inside else f"tag={tag}"]
+        self.added = []
+        for f in dict.fromkeys([*own, *(f"word={w}" for w in names)]):
+            n = open_features[f] = open_features.get(f, 0) + 1
+            if n == 1:
+                self.added.append(f)
+        self.inside = was_inside or tag in ("article", "main")
+        self.near = names or (parent.near if parent is not None else [])
+        self.local = [f"own={tag}", *dict.fromkeys(f"near={w}" for w in self.near)] + ([] if self.inside else ["outside"])
+        self._score = None
+
+    def features(self) -> list[str]:
+        """Those that the element itself counts in the features of its descendants."""
+        return [] if self.tag in ("html", "body") else list(dict.fromkeys(["tag=inner-header" if self.tag == "header" and self.parent is not None and self.parent.inside else f"tag={self.tag}", *(f"word={w}" for w in _names(self.words))]))
+
+    def place(self) -> list[str]:
+        """All features of a block's place."""
+        out, node = ["bias", *self.local], self
+        while node is not None:
+            out += node.added
+            node = node.parent
+        return out
+
+
+ROOT_FEATURES = ["bias", "own=-", "outside"]
+
+
 class Block:
-    """A leaf block: its text, the stack of ancestors as (tag, words) and the characters of it that are links."""
+    """A leaf block: its text, the innermost open element and the characters of it that are links."""
 
-    __slots__ = ("text", "stack", "linked")
+    __slots__ = ("text", "node", "linked")
 
-    def __init__(self, text: str, stack: tuple, linked: int):
-        self.text, self.stack, self.linked = text, stack, linked
+    def __init__(self, text: str, node: Node | None, linked: int):
+        self.text, self.node, self.linked = text, node, linked
+
+    @property
+    def stack(self) -> list[tuple[str, str]]:
+        """The open elements as (tag, words), from the outermost."""
+        out, node = [], self.node
+        while node is not None:
+            out.append((node.tag, node.words))
+            node = node.parent
+        return out[::-1]
 
 
 def _tag(m: re.Match) -> tuple[bool, str, str]:
@@ -106,10 +172,34 @@ def _nest_end(page: str, name: str, at: int, outer: frozenset) -> int:
     return size
 
 
+class _Open:
+    """The stack of open elements, with the places of each tag in it."""
+
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.at: dict[str, list[int]] = {}
+        self.features: dict[str, int] = {}
+
+    def push(self, tag: str, words: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(Node(tag, words, self.nodes[-1] if self.nodes else None, self.features))
+
+    def close(self, to: int) -> None:
+        while len(self.nodes) > to:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            for f in node.features():
+                self.features[f] -= 1
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost element with one of the tags, -1 if there is none."""
+        return max((own[-1] for t in tags if (own := self.at.get(t))), default=-1)
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page with text, in order; white space inside is one space, character references are decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    opened = _Open()
     parts: list[str] = []
     link, at, size = False, 0, len(page)
     linked = 0
@@ -120,7 +210,7 @@ def blocks(page: str) -> list[Block]:
             raw = "".join(parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append(Block(text, tuple(stack), linked))
+                out.append(Block(text, opened.nodes[-1] if opened.nodes else None, linked))
             parts.clear()
         linked, link = 0, False
 
@@ -144,7 +234,10 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in RAW:
             if not closing and not attrs.endswith("/"):
-                at = _head_end(page, at) if name == "head" else _nest_end(page, name, at, frozenset(x for x, _ in stack)) if name in NESTS else _raw_end(page, name, at)
+                begin = at
+                at = _head_end(page, at) if name == "head" else _nest_end(page, name, at, frozenset(t for t, own in opened.at.items() if own)) if name in NESTS else _raw_end(page, name, at)
+                if name == "math" and page[begin:at].endswith(">") and page.rfind("</", begin, at) >= 0 and page[page.rfind("</", begin, at) + 2 : at].lower().startswith("math"):
+                    parts.append(_NOTES.sub("", page[begin:at]))  # a formula is part of its block
             continue
         if name not in BLOCK:
             if name == "a":
@@ -154,48 +247,24 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if (i := opened.last((name,))) >= 0:
+                opened.close(i)
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
-        if name in CLOSES:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES[name]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPE:
-                    break
+        if opened.nodes and opened.nodes[-1].tag == "p":
+            opened.close(len(opened.nodes) - 1)
+        if name in CLOSES and (i := opened.last(CLOSES[name])) > opened.last(SCOPE - set(CLOSES[name])):
+            opened.close(i)
         if name not in VOID and not attrs.endswith("/"):
-            words = " ".join(v for n in _NAMED.findall(attrs) for v in n[1:] if v) if attrs else ""
-            stack.append((name, words))
+            words = ""
+            if attrs:
+                words = " ".join(v for n in _NAMED.findall(attrs) for v in n[1:] if v)
+                if _HIDDEN.search(attrs) and (_HIDDEN.search(_QUOTED.sub('""', attrs)) or "aria-hidden" in attrs.lower() or "style" in attrs.lower()):
+                    words = f"{words} hidden" if words else "hidden"
+            opened.push(name, words)
     flush()
     return out
 
 
-@lru_cache(maxsize=1 << 14)
-def _place_features(stack: tuple) -> tuple[str, ...]:
-    """Features of a block's ancestors."""
-    out = {"bias"}
-    inside = False
-    for tag, words in stack:
-        if tag == "header" and inside:
-            out.add("tag=inner-header")
-        elif tag not in ("html", "body"):
-            out.add(f"tag={tag}")
-        inside = inside or tag in ("article", "main")
-        for w in re.findall(r"[a-z]+|[A-Z][a-z]*", words):
-            out.add(f"word={w.lower()}")
-    out.add(f"own={stack[-1][0] if stack else '-'}")
-    named = next((words for _, words in reversed(stack) if words), "")  # of the nearest ancestor with a name
-    out.update(f"near={w.lower()}" for w in re.findall(r"[a-z]+|[A-Z][a-z]*", named))
-    if not inside:
-        out.add("outside")
-    return tuple(sorted(out))
-
-
 def text_features(b: Block) -> list[str]:
     """Features of a block's text."""
     n_words = b.text.count(" ") + 1
@@ -211,18 +280,31 @@ class CRF:
     def __init__(self):
         self.emission: dict[str, list[float]] = {}
         self.move, self.begin = np.zeros((2, 2)), np.zeros(2)
-        self._places: dict[tuple, tuple[float, float]] = {}
+
+    def place_score(self, node: Node | None) -> tuple[float, float]:
+        """The emission scores of a block's place, by way of those of its ancestors."""
+        w, chain = self.emission, []
+        total = lambda own, a=0.0, b=0.0: (a + sum(w[f][0] for f in own if f in w), b + sum(w[f][1] for f in own if f in w))
+        if node is None:
+            return total(ROOT_FEATURES)
+        at = node
+        while at is not None and (at._score is None or at._score[0] is not self):
+            chain.append(at)
+            at = at.parent
+        a, b = at._score[1:] if at is not None else total(["bias"])
+        for at in reversed(chain):
+            if at.added:
+                a, b = total(at.added, a, b)
+            at._score = (self, a, b)
+        return total(node.local, a, b)
 
     def scores(self, page: list[Block]) -> list[tuple[float, float]]:
         out, w = [], self.emission
+        last, place = self, (0.0, 0.0)
         for b in page:
-            at = self._places.get(b.stack)
-            if at is None:
-                own = [w[f] for f in _place_features(b.stack) if f in w]
-                if len(self._places) > 1 << 16:
-                    self._places.clear()
-                at = self._places[b.stack] = sum(x[0] for x in own), sum(x[1] for x in own)
-            s0, s1 = at
+            if b.node is not last:
+                last, place = b.node, self.place_score(b.node)
+            s0, s1 = place
             for f in text_features(b):
                 if (x := w.get(f)) is not None:
                     s0 += x[0]
@@ -251,7 +333,7 @@ class CRF:
     def step(self, page: list[Block], gold: list[int], rate: float, decay: float) -> None:
         """A gradient step on the page's conditional log likelihood."""
         n = len(page)
-        feats = [[*_place_features(b.stack), *text_features(b)] for b in page]
+        feats = [[*(ROOT_FEATURES if b.node is None else b.node.place()), *text_features(b)] for b in page]
         e = np.array([np.sum([self.emission.setdefault(f, [0.0, 0.0]) for f in own], axis=0) for own in feats])
         la, lb = np.zeros((n, 2)), np.zeros((n, 2))
         la[0] = e[0] + self.begin
@@ -281,7 +363,6 @@ def train(pages: Iterable[tuple[str, list[int]]], epochs: int = 8, rate: float =
         for page, gold in ready:
             if page and len(page) == len(gold):
                 model.step(page, gold, rate / (1 + t), decay)
-    model._places.clear()
     return model
 
 

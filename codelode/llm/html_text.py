@@ -394,6 +394,9 @@ def sample_pages(n: int = 800, seed: int = 7) -> Iterator[tuple[str, list[int]]]
         def notice() -> str:
             return box(['div class="notice"', 'div class="cookie-notice"', 'div id="cookie-banner"', 'div role="alert"', 'div class="alert"', 'div class="consent popup"', 'section class="newsletter"', "dialog", 'div class="warning"', 'div class="disclaimer"'], f"<p>{put(0, say(4, 30))}</p>") if r.random() < 0.5 else box(['p class="notice"', 'p class="alert"', 'div class="notice"', 'div class="cookies"', 'div id="cookie-consent"'], put(0, say(4, 30)))
 
+        def hidden() -> str:
+            return box(["div hidden", "p hidden", 'div style="display:none"', "section hidden", 'div aria-hidden="true"', "div style='visibility: hidden'"], put(0, say(2, 40)))
+
         def advert() -> str:
             return box(['div class="ad"', 'div class="ads"', 'div class="advert"', 'div class="advertisement"', 'div class="sponsored"', 'div class="promo"', 'aside class="ad"', 'div id="ad-top"', 'section class="banner ad-slot"', 'div class="ad banner"'], f"<p>{put(0, say(3, 40))}</p>" if r.random() < 0.4 else put(0, say(3, 40)))
 
@@ -439,25 +442,29 @@ def sample_pages(n: int = 800, seed: int = 7) -> Iterator[tuple[str, list[int]]]
                 elif kind < 0.9:
                     out += f"<p>{put(1, say(3, 20))} <a href=#>{say(1, 4, False)}</a> {say(1, 9)}</p>"
                 else:
-                    out += r.choice([advert, form, side, notice])()
+                    out += r.choice([advert, form, side, notice, hidden])()
             if r.random() < 0.1:
                 out += comments()
             if r.random() < bare:  # right in the body
                 return out
             return box(["article", "article", "article", "main", 'div class="post"', 'div class="entry"', 'div id="main"', 'td class="body"', 'div class="content"', 'div id="content"', 'div class="post entry-content"', 'section class="story"', 'div class="article-body"', 'div class="page"', 'article class="post"', 'div role="main"'], out)
 
+        if r.random() < 0.06:  # one short block, or little more
+            few = "".join(r.choice(["<p>{}</p>", "<p>{}</p>", "<div>{}</div>", "<h1>{}</h1>", "<p>{}<br>"]).format(put(1, say(1, r.choice([3, 8, 20]), r.random() < 0.7))) for _ in range(r.choice([1, 1, 2, 3])))
+            yield r.choice(["{}", "<body>{}</body>", "<html><body>{}</body></html>", "<div>{}</div>"]).format(few), gold
+            continue
         if r.random() < 0.15:  # nothing around the article
             yield r.choice(["{}", "<body>{}</body>", "<div>{}</div>"]).format(article(0.6)), gold
             continue
         body = ""
-        for make, p in ((head, 0.4), (menu, 0.75), (notice, 0.25), (advert, 0.5), (side, 0.15), (form, 0.15)):
+        for make, p in ((head, 0.4), (menu, 0.75), (notice, 0.25), (advert, 0.5), (side, 0.15), (form, 0.15), (hidden, 0.05)):
             body += make() if r.random() < p else ""
         if r.random() < 0.04:
             body += put(1, say(10, 90))
         else:
             inner = article()
             body += f"<main>{inner}</main>" if r.random() < 0.2 else f"<div>{inner}</div>" if r.random() < 0.15 else inner
-        for make, p in ((comments, 0.35), (advert, 0.2), (side, 0.3), (form, 0.2), (notice, 0.1), (menu, 0.1), (foot, 0.8)):
+        for make, p in ((comments, 0.35), (advert, 0.2), (side, 0.3), (form, 0.2), (notice, 0.1), (menu, 0.1), (hidden, 0.05), (foot, 0.8)):
             body += make() if r.random() < p else ""
         if r.random() < 0.2:
             body = box(['div class="wrapper"', 'div id="wrapper"', 'div class="container"', 'div id="page"', 'div class="site"', "div"], body)

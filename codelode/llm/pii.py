@@ -50,6 +50,8 @@ CONTEXT = {
 #: Spans of kinds outside BASE need this score.
 THRESHOLD = 0.5
 BEFORE, AFTER = 40, 20
+#: Values a block of running sums; characters a piece of a text.
+RUN, PIECE = 128, 256
 
 
 def digits(m: Column) -> Column:
@@ -93,55 +95,85 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0), lambda s, v: s + v)
+def running(values: Column, op: Callable[[Column, Column], Column], zero: int = 0) -> Column:
+    """The inclusive running sums (or whatever op makes) of an array of ints.
 
+    There is no built-in for those. Appending to an array copies it, so they are made in blocks of RUN values: a block's total, the
+    totals before it, then its own running values, which take some RUN / 2 copied words a value however long the array is.
+    """
+    none = F.array().cast("array<int>")
 
-def starts(matches: Column, gaps: Column, f: Callable[[Column, Column], Column]) -> Column:
-    """f(start, match) of every match, from the matches and the lengths of the gaps before and between them.
+    def append(items: Column, start: Column) -> Column:
+        first = F.struct(start.cast("int").alias("t"), none.alias("a"))
+        step = lambda s, v: let(op(s["t"], v).cast("int"), lambda t: F.struct(t.alias("t"), F.array_append(s["a"], t).alias("a")))
+        return F.aggregate(items, first, step, lambda s: s["a"])
 
-    Starts are running sums. There is no built-in for those over an array, so the steps are summed in blocks of about the root of
-    their number: k matches take some k * sqrt(k) additions.
-    """
-    step = lambda a: F.transform(a["m"], lambda x, i: a["g"][i] + F.when(i > 0, F.length(F.get(a["m"], i - 1))).otherwise(0))
-    side = lambda a: F.ceil(F.sqrt(F.size(a["m"]))).cast("int")
-    sums = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a["m"]) - 1) / a["n"]).cast("int")), lambda b: total(F.slice(a["s"], b * a["n"] + 1, a["n"])))
-    before = lambda a: F.transform(a["b"], lambda _, b: total(F.slice(a["b"], F.lit(1), b)))
+    own = lambda v, b: F.slice(v, b * RUN + 1, F.lit(RUN))
+    block = lambda v: F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int"))
+    totals = lambda v: F.transform(block(v), lambda b: F.aggregate(own(v, b), F.lit(zero), lambda t, x: op(t, x).cast("int")))
+    before = lambda v: let(totals(v), lambda t: append(t, F.lit(zero)))
+    out = lambda v: let(before(v), lambda t: F.flatten(F.transform(block(v), lambda b: append(own(v, b), F.when(b > 0, F.get(t, b - 1)).otherwise(F.lit(zero))))))
+    return F.when(F.size(values) > 0, let(values, out)).otherwise(none)
 
-    def at(a: Column, i: Column) -> Column:
-        block = F.floor(i / a["n"]).cast("int")
-        return F.get(a["o"], block) + total(F.slice(a["s"], block * a["n"] + 1, i - block * a["n"] + 1))
 
-    def with_steps(a: Column) -> Column:
-        return let(F.struct(a["m"].alias("m"), step(a).alias("s"), side(a).alias("n")), lambda b: let(F.struct(b["m"].alias("m"), b["s"].alias("s"), b["n"].alias("n"), sums(b).alias("b")), lambda c: let(F.struct(c["m"].alias("m"), c["s"].alias("s"), c["n"].alias("n"), before(c).alias("o")), lambda d: F.transform(d["m"], lambda x, i: let(at(d, i), lambda start: f(start, x))))))
+def between(pieces: Column, begin: Column, end: Column) -> Column:
+    """The characters from begin to end (exclusive) of a text cut into pieces of PIECE; the cost is that of what is taken."""
+    first = F.floor(begin / PIECE).cast("int")
+    own = F.array_join(F.slice(pieces, first + 1, F.floor((end - 1) / PIECE).cast("int") - first + 1), "")
+    return F.when(end > begin, F.substring(own, begin - first * PIECE + 1, end - begin)).otherwise(F.lit(""))
 
-    return let(F.struct(matches.alias("m"), gaps.alias("g")), with_steps)
 
+def _found(rows: DataFrame) -> DataFrame:
+    """rows (row, text) with pieces of the text and spans, an array of (kind, start, end, score)."""
+    text = F.col("text")
+    out = rows.withColumns({f"m_{k}": _match(k, text) for k in PATTERNS})
+    some = F.lit(False)
+    for k in PATTERNS:
+        some = some | (F.size(f"m_{k}") > 0)
 
-def find(docs: DataFrame, text_col: str = "text", name: str = "spans") -> DataFrame:
-    """docs with a column `name`, an array of (kind, start, end, score) in code points, end exclusive, by kind in order and start.
+    def steps(kind: str) -> Column:
+        """From the start of one match to that of the next."""
+        m = F.col(f"m_{kind}")
+        step = lambda g: F.transform(m, lambda x, i: F.length(F.get(g, i)) + F.when(i > 0, F.length(F.get(m, i - 1))).otherwise(0))
+        return F.when(F.size(m) > 0, let(F.split(text, LINEAR[kind], -1), step))
 
-    Columns whose names start with __pii are used on the way. Matches that fail their check are dropped, not tried again at
-    another place. Spans of different kinds may overlap. A null or empty text has none.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.withColumns({f"__pii_{k}": _match(k, text) for k in PATTERNS})
-    out = out.withColumns({f"__pii_gap_{k}": F.when(F.size(f"__pii_{k}") > 0, F.transform(F.split(text, LINEAR[k], -1), F.length)) for k in PATTERNS})
+    out = out.withColumns({f"s_{k}": steps(k) for k in PATTERNS} | {"pieces": F.when(some, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))), "size": F.length(text)})
+    out = out.withColumns({f"s_{k}": F.when(F.size(f"m_{k}") > 0, running(F.col(f"s_{k}"), lambda t, x: t + x)) for k in PATTERNS})
 
     def spans(kind: str) -> Column:
         plain, raised = SCORES[kind]
 
         def one(start: Column, x: Column) -> Column:
-            near = F.concat(F.substring(text, F.greatest(start + 1 - BEFORE, F.lit(1)), F.least(start, F.lit(BEFORE))), F.lit(" "), F.substring(text, start + F.length(x) + 1, F.lit(AFTER)))
-            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x)).alias("end"), F.when(near.rlike(CONTEXT[kind]), raised).otherwise(plain).alias("score"), valid(kind, x).alias("ok"))
+            end = start + F.length(x)
+            near = F.concat(between(F.col("pieces"), F.greatest(start - BEFORE, F.lit(0)), start), F.lit(" "), between(F.col("pieces"), end, F.least(end + AFTER, F.col("size"))))
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.when(near.rlike(CONTEXT[kind]), raised).otherwise(plain).alias("score"), valid(kind, x).alias("ok"))
 
-        m = F.col(f"__pii_{kind}")
-        found = starts(m, F.col(f"__pii_gap_{kind}"), one)
+        found = F.zip_with(f"s_{kind}", f"m_{kind}", one)
         keep = lambda s: s["ok"] if kind in BASE else s["ok"] & (s["score"] >= THRESHOLD)
-        return F.when(F.size(m) > 0, F.transform(F.filter(found, keep), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
+        return F.when(F.size(f"m_{kind}") > 0, F.transform(F.filter(found, keep), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
 
-    out = out.withColumn(name, F.concat(*[spans(k) for k in PATTERNS]))
-    return out.drop(*[f"__pii_{k}" for k in PATTERNS], *[f"__pii_gap_{k}" for k in PATTERNS])
+    return out.select("row", "text", "pieces", "size", F.concat(*[spans(k) for k in PATTERNS]).alias("spans"))
+
+
+def _rows(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs as (row, text), so that their other columns may have any names; a null text is empty."""
+    at = F.struct("*").alias("row")
+    return docs.select(at, F.coalesce(_named(docs, text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def _named(docs: DataFrame, name: str) -> Column:
+    return docs["`" + name.replace("`", "``") + "`"]
+
+
+def find(docs: DataFrame, text_col: str = "text", name: str = "spans") -> DataFrame:
+    """docs with a column `name`, an array of (kind, start, end, score) in code points, end exclusive, by kind in order and start.
+
+    The score is that of the kind, raised where a context word is near. Matches that fail their check are dropped, not tried again at
+    another place. Spans of different kinds may overlap. A null or empty text has none; rows that repeat are searched each; an
+    empty table gives an empty result; a column called `name` is replaced. Time is linear in the text and its matches.
+    """
+    found = _found(_rows(docs, text_col))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != name], F.col("spans").alias(name))
 
 
 def joined(spans: Column) -> Column:
@@ -149,27 +181,34 @@ def joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256, spans (all of them, as kind:start:end joined by commas) and scores."""
+    """doc_id, counts of the base kinds, base_sha256, spans (all of them, as kind:start:end joined by commas) and their scores, likewise.
+
+    A null text is empty; rows that repeat a doc_id are reported each; an empty table gives an empty result; other columns are ignored.
+    """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     found = find(spread(base)).drop("text")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     own = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    scores = F.concat_ws(",", F.transform("spans", lambda s: s["score"].cast("string")))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), scores.alias("scores"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets; overlapping spans become one, named by the first.
 
-    A null text stays null; texts without spans stay as they are.
+    A null text stays null; texts without spans stay as they are; other columns may have any names.
     """
-    text = F.col(text_col)
-    found = find(docs, text_col, "__pii")
-    ordered = F.array_sort(F.transform("__pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        more = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["at"], -s["back"]).alias("at"), F.when(s["start"] >= a["at"], more).otherwise(a["out"]).alias("out"))
-
-    done = F.aggregate(ordered, first, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("__pii") > 0, done).otherwise(text)).select(*docs.columns)
+    found = _found(_rows(docs, text_col))
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    found = found.withColumn("spans", ordered)
+    found = found.withColumn("upto", running(F.transform("spans", lambda s: -s["back"]), lambda t, x: F.greatest(t, x)))
+    pieces = F.col("pieces")
+
+    def part(s: Column, i: Column) -> Column:
+        """What stands in place of the text between the spans before and the end of this one."""
+        at = F.when(i > 0, F.get("upto", i - 1)).otherwise(0)
+        return F.when(s["start"] >= at, F.concat(between(pieces, at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
+
+    whole = F.concat(F.array_join(F.transform("spans", part), ""), between(pieces, F.get("upto", F.size("upto") - 1), F.col("size")))
+    masked = F.when(F.size("spans") > 0, whole).otherwise(F.col("row").getField(text_col))
+    return found.select(*[(masked if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])

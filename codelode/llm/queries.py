@@ -62,7 +62,7 @@ def op8_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codelode.llm.pii import report
 
-    return report(table(spark, sf_dir, "documents"))
+    return report(table(spark, sf_dir, "documents")).drop("scores")
 
 
 def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@
    starting a block after the one before (an eighth of a passage for the longer ones). Passages are searched for in the latent
    space: an item's candidates are the passages of the size next to its own whose cosine with it is COSINE or more, times the
    root of the share of the passage that the item can fill. The index of a benchmark has cells of some CELL items (spherical
-   k-means); a passage looks into the cells next to it, as many as the root of their number and PROBES at least.
+   k-means); a passage looks into the cells next to it, as many as twice the root of their number and PROBES at least.
 4. Candidates are checked on their words, over a window that holds the whole item and a margin on both sides of the passage: a
    share ANSWERS of the item's answer words (given ones, or its rarest words; all of them in items of under SHORT words) must be
    in it, and the longest common subsequence must cover a share LCS of the item, which insertions, deletions and exchanged words
@@ -111,7 +111,7 @@ class Items:
 
     def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row of x, item) whose cosine is large enough, x having rows of length 1, by the cells next to each row."""
-        probes = max(PROBES, math.isqrt(len(self.members)))
+        probes = max(PROBES, 2 * math.isqrt(len(self.members)))
         every = probes >= len(self.members)
         rows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(x), AT_ONCE):

@@ -26,14 +26,14 @@ WINDOW = 35
 BLOCK_BYTES, BUCKET_BYTES, LEAST_BLOCKS = 6 << 20, 12 << 20, 24
 
 
-def _block_hashes(group: pa.Table, size: int) -> tuple[list, np.ndarray]:
+def _block_hashes(group: pa.Table, size: int, bits: int = 64) -> tuple[list, np.ndarray]:
     """[(slab, its words, first word of each of its windows)], and the hashes of all windows of a block."""
     held, out = [], []
     for slab in slabs(iter(group.combine_chunks().to_batches()), "text"):
         w = words(slab.column("text"))
         at, h = windows(w.hashes(), w.doc, size)
         held.append((slab, w, at))
-        out.append(h)
+        out.append(h >> np.uint64(64 - bits) << np.uint64(64 - bits))
     return held, np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -118,16 +118,16 @@ def _answers(said: pa.Table, level: int, first: np.ndarray, buckets: int) -> np.
     return flag
 
 
-def _dedup(blocks: DataFrame, size: int, buckets: int, digest: bool) -> DataFrame:
+def _dedup(blocks: DataFrame, size: int, buckets: int, digest: bool, hash_bits: int) -> DataFrame:
     """blocks (doc_id, text, block) to doc_id, n_words, n_removed and kept words, or their digest."""
 
     def hashed(key, group):
-        values, n = np.unique(_block_hashes(group, size)[1], return_counts=True)
+        values, n = np.unique(_block_hashes(group, size, hash_bits)[1], return_counts=True)
         return _rows(1, key[0].as_py(), values, None, n > 1, buckets)
 
     def found(texts, said):
         """The block's slabs, and of each the windows that the first count found and their digests."""
-        held, h = _block_hashes(texts, size)
+        held, h = _block_hashes(texts, size, hash_bits)
         values, back = np.unique(h, return_inverse=True)
         repeated, used, out = _answers(said, 1, values, buckets)[back], 0, []
         for slab, w, at in held:
@@ -182,11 +182,11 @@ def _dedup(blocks: DataFrame, size: int, buckets: int, digest: bool) -> DataFram
     return by_block.cogroup(said.unionByName(agreed).groupBy("block")).applyInArrow(removed, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digest: bool = False, hash_bits: int = 64) -> DataFrame:
     """Remove every word that a repeated window of `window` words covers, all its occurrences included.
 
     Returns doc_id, n_words, n_removed and kept_text (kept words joined by one space), or with digest=True kept_sha256 in place
-    of kept_text. Defined cases: null text has no words; texts shorter than a window lose nothing; windows of one text that
+    of kept_text. With fewer hash_bits more windows have to be told apart by their words; the result is the same. Defined cases: null text has no words; texts shorter than a window lose nothing; windows of one text that
     repeat each other count; rows that repeat a doc_id (null ones too) are separate documents; an empty table gives an empty result; extra
     columns are ignored.
     """
@@ -194,4 +194,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = text_bytes(base, "text")
     blocks = parts(size, BLOCK_BYTES, LEAST_BLOCKS)
     dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    return _dedup(dealt, window, parts(size, BUCKET_BYTES, LEAST_BLOCKS), digest).withColumnRenamed("kept", "kept_sha256" if digest else "kept_text")
+    return _dedup(dealt, window, parts(size, BUCKET_BYTES, LEAST_BLOCKS), digest, hash_bits).withColumnRenamed("kept", "kept_sha256" if digest else "kept_text")

@@ -104,31 +104,32 @@ class Items:
     least: np.ndarray  # the cosine that a candidate needs
     words: list[list[int]]
     side: np.ndarray
-    answer: list[np.ndarray]
+    answer: list[set[int]]
     need: np.ndarray  # answer words that a window needs
     centers: np.ndarray
     members: list[np.ndarray]
 
-    def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row of x, item) whose cosine is large enough, x having rows of length 1, by the cells next to each row."""
+    def close(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+        """Items of one cell, by side, and [(rows of x, which of them are close enough to which of the items)]; x has rows of length 1."""
         probes = max(PROBES, 2 * math.isqrt(len(self.members)))
         every = probes >= len(self.members)
-        rows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in range(0, len(x), AT_ONCE):
-            part = x[at : at + AT_ONCE]
-            close = None if every else np.argpartition(-(part @ self.centers.T), probes - 1, axis=1)[:, :probes]
-            for c, members in enumerate(self.members):
-                own = np.arange(len(part)) if every else np.flatnonzero((close == c).any(1))
-                for i in range(0, len(members) if len(own) else 0, 2 * CELL):
-                    j = members[i : i + 2 * CELL]
-                    p, q = np.nonzero(part[own] @ self.vector[j].T >= self.least[j])
-                    rows.append(at + own[p])
-                    items.append(j[q])
-        return np.concatenate(rows), np.concatenate(items)
+        near = None if every else np.concatenate([np.argpartition(-(x[i : i + AT_ONCE] @ self.centers.T), probes - 1, axis=1)[:, :probes] for i in range(0, len(x), AT_ONCE)])
+        for c, members in enumerate(self.members):
+            own = np.arange(len(x)) if every else np.flatnonzero((near == c).any(1))
+            members = members[np.argsort(self.side[members], kind="stable")]
+            for i in range(0, len(members) if len(own) else 0, 2 * CELL):
+                j = members[i : i + 2 * CELL]
+                v, least = self.vector[j].T, self.least[j]
+                yield j, [(rows, x[rows] @ v >= least) for rows in (own[k : k + AT_ONCE] for k in range(0, len(own), AT_ONCE))]
+
+    def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of x, item) whose cosine is large enough."""
+        found = [(rows[p], j[q]) for j, parts in self.close(x) for rows, mask in parts for p, q in [np.nonzero(mask)]]
+        return tuple(np.concatenate(y) for y in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
 
     def answers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All answer words in order, the item of each, and a table by the low bits of a hash of whether it can be one."""
-        word = np.concatenate(self.answer)
+        word = np.array([x for a in self.answer for x in a], np.uint64)
         item = np.repeat(np.arange(len(self.answer)), [len(a) for a in self.answer])
         order = np.argsort(word, kind="stable")
         rare = np.zeros(1 << 16, bool)
@@ -147,7 +148,7 @@ def prepare(items: pa.Table, latent: np.ndarray, idf: np.ndarray) -> list[Items]
         at = slice(w.first[i], w.first[i + 1])
         own, n = h[at], int(w.count[i])
         given = items.column("answer")[i].as_py()
-        answer = np.unique(words(pa.array([given])).hashes(lower=True) if given else own[np.argsort(-idf[bucket[at]], kind="stable")][:N_ANSWERS])
+        answer = set((words(pa.array([given])).hashes(lower=True) if given else own[np.argsort(-idf[bucket[at]], kind="stable")][:N_ANSWERS]).tolist())
         v = latent[bucket[at]].sum(0)
         size = min(sizes, key=lambda k: abs(k * BLOCK - n))
         need = len(answer) if n < SHORT else math.ceil(ANSWERS * len(answer))
@@ -160,38 +161,52 @@ def prepare(items: pa.Table, latent: np.ndarray, idf: np.ndarray) -> list[Items]
     return out
 
 
-def search(items: Items, ready: tuple, h: np.ndarray, upto: np.ndarray, blocks: tuple, block_of_word: np.ndarray, share: float) -> Iterator[tuple[int, int, float, float]]:
+def search(items: Items, ready: tuple, h: np.ndarray, sums: np.ndarray, blocks: tuple, block_of_word: np.ndarray, share: float) -> Iterator[tuple[int, int, float, float]]:
     """(text of the slab, item_id, lcs, cosine) of every passage in which an item is found."""
     first, doc, doc_block = blocks
     n = len(first)
     start = np.flatnonzero((np.arange(n) - doc_block[doc]) % step_of(items.size) == 0)
     low, high = doc_block[doc[start]], doc_block[doc[start] + 1]
     end = np.minimum(start + items.size, high)
-    x = upto[end] - upto[start]
+    x = sums[start]
     x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-30)
-    p, j = items.near(x)
-    a, b = np.maximum(start[p] - items.side[j], low[p]), np.minimum(end[p] + items.side[j], high[p])
     # answer words of the items by block, from the few words that are any item's
     word, item, rare = ready
     at = np.flatnonzero(rare[(h & np.uint64(0xFFFF)).astype(np.int64)])
-    x0, x1 = np.searchsorted(word, h[at], "left"), np.searchsorted(word, h[at], "right")
-    many = x1 - x0
+    x0 = np.searchsorted(word, h[at], "left")
+    at = at[hit := word[np.minimum(x0, len(word) - 1)] == h[at]]
+    x0 = x0[hit]
+    many = np.searchsorted(word, h[at], "right") - x0
     which = item[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(x0, many)]
-    key = np.sort(which * (n + 1) + np.repeat(block_of_word[at], many))
-    fine = np.searchsorted(key, j * (n + 1) + b) - np.searchsorted(key, j * (n + 1) + a) >= items.need[j]
+    order = np.argsort(which, kind="stable")
+    which, block = which[order], np.repeat(block_of_word[at], many)[order]
+    edge = np.searchsorted(which, np.arange(len(items.name) + 1))
     done = set()
-    for p, j, a, b in zip(*(v[fine].tolist() for v in (p, j, a, b))):
-        own = (int(doc[start[p]]), j)
-        near = h[first[a] : first[b] if b < n else len(h)]
-        if own in done:
-            yield own[0], items.name[j], 1.0, float(x[p] @ items.vector[j])
-            continue
-        if np.isin(items.answer[j], near).sum() < items.need[j]:
-            continue
-        if (part := lcs(items.words[j], near.tolist()) / len(items.words[j])) >= share:
-            if part == 1:
-                done.add(own)
-            yield own[0], items.name[j], part, float(x[p] @ items.vector[j])
+    for members, parts in items.close(x):
+        n_hits = np.diff(edge)[members]
+        own = np.arange(n_hits.sum()) - np.repeat(np.cumsum(n_hits) - n_hits, n_hits) + np.repeat(edge[:-1][members], n_hits)
+        m = len(members)
+        count = np.zeros((n + 1, m), np.int16)  # of answer words in the blocks before
+        hits = np.bincount(np.repeat(np.arange(m), n_hits) * n + block[own], minlength=n * m).astype(np.int16)
+        count[1:] = np.cumsum(hits.reshape(m, n), axis=1, dtype=np.int16).T  # differences hold modulo 2^16
+        cut = np.append(np.flatnonzero(np.diff(items.side[members], prepend=-1)), m)
+        for rows, mask in parts:
+            for f, t in zip(cut[:-1].tolist(), cut[1:].tolist()):  # items of one side
+                side = items.side[members[f]]
+                a, b = np.maximum(start[rows] - side, low[rows]), np.minimum(end[rows] + side, high[rows])
+                own_count = count[:, f:t]
+                p, q = np.nonzero(mask[:, f:t] & (own_count[b] - own_count[a] >= items.need[members[f:t]].astype(np.int16)))
+                for p, j, a, b in zip(rows[p].tolist(), members[f + q].tolist(), a[p].tolist(), b[p].tolist()):
+                    pair = (int(doc[start[p]]), j)
+                    if pair not in done:
+                        near = h[first[a] : first[b] if b < n else len(h)].tolist()
+                        if len(items.answer[j].intersection(near)) < items.need[j] or (part := lcs(items.words[j], near) / len(items.words[j])) < share:
+                            continue
+                        if part == 1:
+                            done.add(pair)
+                    else:
+                        part = 1.0
+                    yield pair[0], items.name[j], part, float(x[p] @ items.vector[j])
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -309,10 +324,14 @@ def _finder(shared, share: float):
             sums = latent[slot[:, 0]]
             for i in range(1, BLOCK):
                 sums += latent[slot[:, i]]
-            upto = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)]).astype(np.float32)
             best: dict[tuple[int, int], tuple[float, float]] = {}
+            size = 1
             for items, own in zip(every, ready):
-                for doc, name, part, cosine in search(items, own, h, upto, blocks, block_of_word, share):
+                while size < items.size:  # the sums of size blocks from each, up to the end of the text
+                    more = sums[size:] * (blocks[1][size:] == blocks[1][:-size])[:, None]
+                    sums[: len(more)] += more
+                    size *= 2
+                for doc, name, part, cosine in search(items, own, h, sums, blocks, block_of_word, share):
                     best[doc, name] = max(best.get((doc, name), (part, cosine)), (part, cosine))
             ids = slab.column("doc_id")
             yield pa.record_batch([ids.take(pa.array([d for d, _ in best], pa.int64())), pa.array([i for _, i in best], pa.int64()), pa.array([c for _, c in best.values()], pa.float64()), pa.array([s for s, _ in best.values()], pa.float64())], names=["doc_id", "item_id", "cosine", "lcs"])

@@ -5,9 +5,9 @@ Documents are dealt to blocks of some megabytes by a hash of id and text. A bloc
 costs a few bytes of shuffle, and however often a window occurs, a block sends it once. A bucket counts: it finds the values that
 two blocks hold or one block marked, and answers each block with one bit a value.
 
-Windows so found are confirmed on their words: each block sends a 128-bit BLAKE2 digest of the words of each (joined by a space)
-to buckets in the same way, and a window is repeated only if its digest is. So a collision of Rabin-Karp hashes costs time, never
-a word. The block merges the repeated windows into maximal intervals and removes them. Text is shuffled once, hashes once.
+Windows so found are confirmed on their words: each block sends with each such value a BLAKE2 digest of the window's words (joined
+by a space) to buckets in the same way, and a window is repeated only if both are. So a collision of Rabin-Karp hashes costs time,
+never a word. The block merges the repeated windows into maximal intervals and removes them. Text is shuffled once, hashes once.
 """
 
 from __future__ import annotations
@@ -61,25 +61,25 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def digests(w: Words, at: np.ndarray, size: int) -> np.ndarray:
-    """The digest of the words of each window, in two columns; at is its first word."""
+    """The digest of the words of each window; at is its first word."""
     if not len(at):
-        return np.zeros((0, 2), np.uint64)
+        return np.zeros(0, np.uint64)
     length = w.end - w.start + 1
     place = np.concatenate([[0], np.cumsum(length)])
     text = b" ".join(w.data.tobytes().split())  # words keep their order, texts meet at white space or at an edge
     if len(text) != place[-1] - 1:  # words of two texts that meet without white space
         text = b" ".join(w.data[a:b].tobytes() for a, b in zip(w.start.tolist(), w.end.tolist()))
     hashed = hashlib.blake2b
-    raw = b"".join([hashed(text[a:b], digest_size=16).digest() for a, b in zip(place[at].tolist(), (place[at + size] - 1).tolist())])
-    return np.frombuffer(raw, np.uint64).reshape(-1, 2)
+    raw = b"".join([hashed(text[a:b], digest_size=8).digest() for a, b in zip(place[at].tolist(), (place[at + size] - 1).tolist())])
+    return np.frombuffer(raw, np.uint64)
 
 
 _SENT = "level int, block int, bucket int, hashes binary, many binary"
-_SAID = "level int, block int, bucket int, bits binary"
+_SAID = "level int, block int, bucket int, n int, bits binary, again binary"
 
 
 def _rows(level: int, block: int, first: np.ndarray, second: np.ndarray | None, many: np.ndarray, buckets: int) -> pa.Table:
-    """Messages to the buckets, of distinct values in order."""
+    """Messages to the buckets, of values (and digests) in order."""
     cut = _cuts(first, buckets)
     rows = [(b, packed(first[x:y]) + (second[x:y].tobytes() if second is not None else b""), np.packbits(many[x:y]).tobytes()) for b, x, y in zip(bucket_of(first[cut[:-1]], buckets).tolist(), cut[:-1].tolist(), cut[1:].tolist())]
     ids, vals, marks = zip(*rows) if rows else ((), (), ())
@@ -87,13 +87,17 @@ def _rows(level: int, block: int, first: np.ndarray, second: np.ndarray | None,
     return pa.table([*own, pa.array(ids, pa.int32()), pa.array(vals, pa.binary()), pa.array(marks, pa.binary())], names=["level", "block", "bucket", "hashes", "many"])
 
 
+def _bits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
 def counted(key, group):
-    """One bucket's answers: for each value sent, whether two blocks hold it or one marked it."""
+    """One bucket's answers: for each value sent, whether two blocks hold it or one marked it, and whether it is that before again."""
     level = key[0].as_py()
     raw = group.column("hashes").to_pylist()
     first = [unpacked(x[: len(x) >> (level - 1)]) for x in raw]
     size = [len(v) for v in first]
-    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(group.column("many").to_pylist(), size)])
+    many = np.concatenate([_bits(x, n) for x, n in zip(group.column("many").to_pylist(), size)])
     v1 = np.concatenate(first)
     v2 = np.concatenate([np.frombuffer(x[len(x) >> 1 :], np.uint64) for x in raw]) if level == 2 else np.zeros(len(v1), np.uint64)
     order = np.lexsort((v2, v1)) if level == 2 else np.argsort(v1, kind="stable")
@@ -103,19 +107,16 @@ def counted(key, group):
     answer = np.empty(len(v1), bool)
     answer[order] = twice[np.cumsum(start) - 1]
     bits = [np.packbits(x).tobytes() for x in np.split(answer, np.cumsum(size)[:-1])]
+    again = [np.packbits(np.diff(v, prepend=v[:1] + np.uint64(1)) == 0).tobytes() if level == 2 else b"" for v in first]
     own = [group.column(c).combine_chunks() for c in ("level", "block", "bucket")]
-    return pa.table([*own, pa.array(bits, pa.binary())], names=["level", "block", "bucket", "bits"])
+    return pa.table([*own, pa.array(size, pa.int32()), pa.array(bits, pa.binary()), pa.array(again, pa.binary())], names=["level", "block", "bucket", "n", "bits", "again"])
 
 
-def _answers(said: pa.Table, level: int, first: np.ndarray, buckets: int) -> np.ndarray:
-    """The answers of one level, for distinct values in order."""
-    cut, flag = _cuts(first, buckets), np.zeros(len(first), bool)
-    place = {b: i for i, b in enumerate(bucket_of(first[cut[:-1]], buckets).tolist())}
-    for lv, b, raw in zip(*(said.column(c).to_pylist() for c in ("level", "bucket", "bits"))):
-        if lv == level:
-            x, y = cut[place[b]], cut[place[b] + 1]
-            flag[x:y] = np.unpackbits(np.frombuffer(raw, np.uint8), count=y - x).astype(bool)
-    return flag
+def _answers(said: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The answers of one level in the order in which the block's values were sent, and where a value is that before again."""
+    rows = sorted((b, n, x, y) for lv, b, n, x, y in zip(*(said.column(c).to_pylist() for c in ("level", "bucket", "n", "bits", "again"))) if lv == level)
+    none = [np.zeros(0, bool)]
+    return np.concatenate([_bits(x, n) for _, n, x, _ in rows] or none), np.concatenate([_bits(y, n) if y else np.zeros(n, bool) for _, n, _, y in rows] or none)
 
 
 def _dedup(blocks: DataFrame, size: int, buckets: int, digest: bool, hash_bits: int) -> DataFrame:
@@ -126,37 +127,49 @@ def _dedup(blocks: DataFrame, size: int, buckets: int, digest: bool, hash_bits:
         return _rows(1, key[0].as_py(), values, None, n > 1, buckets)
 
     def found(texts, said):
-        """The block's slabs, and of each the windows that the first count found and their digests."""
+        """The block's slabs, and of each its windows that the first count found, with the index of their values among those found."""
         held, h = _block_hashes(texts, size, hash_bits)
         values, back = np.unique(h, return_inverse=True)
-        repeated, used, out = _answers(said, 1, values, buckets)[back], 0, []
+        flag = _answers(said, 1)[0]
+        index, used, out = np.cumsum(flag) - 1, 0, []
         for slab, w, at in held:
-            hit = at[repeated[used : used + len(at)]]
+            own = back[used : used + len(at)]
             used += len(at)
-            out.append((slab, w, hit, digests(w, hit, size)))
-        return out
-
-    def distinct_digests(held):
-        every = np.concatenate([d for *_, d in held] or [np.zeros((0, 2), np.uint64)])
-        order = np.lexsort((every[:, 1], every[:, 0]))
-        own = every[order]
-        start = np.concatenate([[True], (own[1:] != own[:-1]).any(1)]) if len(own) else np.zeros(0, bool)
-        back = np.empty(len(own), np.int64)
+            out.append((slab, w, at[flag[own]], index[own[flag[own]]]))
+        return values[flag], out
+
+    def told_apart(held, which=None):
+        """Distinct (value, digest) of windows found (of the values marked in which) in order, how many each, and that of each window."""
+        value = np.concatenate([v if which is None else v[which[v]] for *_, v in held] or [np.zeros(0, np.int64)])
+        digest = np.concatenate([digests(w, at if which is None else at[which[v]], size) for _, w, at, v in held] or [np.zeros(0, np.uint64)])
+        order = np.lexsort((digest, value))
+        v, d = value[order], digest[order]
+        start = np.concatenate([[True], (v[1:] != v[:-1]) | (d[1:] != d[:-1])]) if len(v) else np.zeros(0, bool)
+        back = np.empty(len(v), np.int64)
         back[order] = np.cumsum(start) - 1
-        return own[start], np.diff(np.append(np.flatnonzero(start), len(own))), back
+        return v[start], d[start], np.diff(np.append(np.flatnonzero(start), len(v))), back
 
     def proved(key, left, right):
-        own, n, _ = distinct_digests(found(left, right))
-        return _rows(2, key[0].as_py(), own[:, 0], own[:, 1], n > 1, buckets)
+        values, held = found(left, right)
+        v, d, n, _ = told_apart(held)
+        return _rows(2, key[0].as_py(), values[v], d, n > 1, buckets)
 
     def removed(key, left, right):
-        held, used = found(left, right), 0
-        own, _, back = distinct_digests(held)
-        repeated = _answers(right, 2, own[:, 0], buckets)[back]
+        values, held = found(left, right)
+        bit, again = _answers(right, 2)
+        entry = np.flatnonzero(~again)  # the first of each value; few have another, which only words tell apart
+        several = np.diff(np.append(entry, len(bit))) > 1
+        hits = [bit[entry[v]] for *_, v in held]
+        if several.any():
+            v, _, _, back = told_apart(held, several)
+            own = bit[np.flatnonzero(several[np.cumsum(~again) - 1])][back]
+            used = 0
+            for hit, (*_, v) in zip(hits, held):
+                hit[several[v]] = own[used : used + several[v].sum()]
+                used += several[v].sum()
         ids, n_words, n_removed, kept = [], [], [], []
-        for slab, w, at, d in held:
-            hit = at[repeated[used : used + len(d)]]
-            used += len(d)
+        for (slab, w, at, _), repeated in zip(held, hits):
+            hit = at[repeated]
             cover = np.zeros(len(w.start) + 1, np.int64)
             np.add.at(cover, hit, 1)
             np.add.at(cover, hit + size, -1)

@@ -6,7 +6,7 @@ threshold of T positions the signature is cut into M chunks with M * (R + 1) > T
 positions in some chunk (pigeonhole). With R = 1 every chunk is indexed once for each position that may be in error, by what the
 other positions hold; two signatures within T meet under at least one of these 64 keys, always. limits() derives T and M from
 the similarity: a position differs with a chance of 0.15 at a similarity of 0.85, so more than T of 64 differ in at most LOST
-of such pairs (10^-7: T = 27, M = 14; at 0.8 T = 31, M = 16), and in far fewer above.
+of such pairs (T = 25, M = 13: 6 in 10^7; at 0.8 T = 29, M = 15: 12 in 10^7), and in far fewer above.
 
 Links are then confirmed on full sets. To keep the work down without losing a link:
 - nodes that share a key are first compared with the least node of that key (a star, one pair a row);
@@ -36,7 +36,7 @@ from codelode.llm._tokens import mix, windows, words
 from codelode.operators.layout import spread
 
 SHINGLE, SIMILARITY = 5, 0.85
-POSITIONS, MISSED, LOST = 64, 1e-5, 1e-7
+POSITIONS, MISSED, LOST = 64, 1e-5, 2e-6
 PARITY = 2048
 TILE, KEEP = 1024, 16
 _A = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)

@@ -63,6 +63,11 @@ def blocks_of(w: Words, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.n
     return w.first[doc] + (np.arange(first[-1]) - first[doc]) * size, doc, first
 
 
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    """The bucket of each hash; BUCKETS is a power of two."""
+    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
 def sizes_for(longest: int) -> list[int]:
     """Passage sizes in blocks: SIZES, doubled until they cover an item of that many words."""
     sizes = list(SIZES)
@@ -140,15 +145,15 @@ class Items:
 def prepare(items: pa.Table, latent: np.ndarray, idf: np.ndarray) -> list[Items]:
     """Items (item_id, text, answer) by passage size; those without words are left out."""
     w = words(items.column("text").combine_chunks())
-    h = w.hashes(lower=True)
-    bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
+    h = w.hashes()
+    bucket = bucket_of(h)
     sizes = sizes_for(int(w.count.max(initial=1)))
     found: dict[int, list] = {}
     for i in np.flatnonzero(w.count).tolist():
         at = slice(w.first[i], w.first[i + 1])
         own, n = h[at], int(w.count[i])
         given = items.column("answer")[i].as_py()
-        answer = set((words(pa.array([given])).hashes(lower=True) if given else own[np.argsort(-idf[bucket[at]], kind="stable")][:N_ANSWERS]).tolist())
+        answer = set((words(pa.array([given])).hashes() if given else own[np.argsort(-idf[bucket[at]], kind="stable")][:N_ANSWERS]).tolist())
         v = latent[bucket[at]].sum(0)
         size = min(sizes, key=lambda k: abs(k * BLOCK - n))
         need = len(answer) if n < SHORT else math.ceil(ANSWERS * len(answer))
@@ -181,26 +186,29 @@ def search(items: Items, ready: tuple, h: np.ndarray, sums: np.ndarray, blocks:
     order = np.argsort(which, kind="stable")
     which, block = which[order], np.repeat(block_of_word[at], many)[order]
     edge = np.searchsorted(which, np.arange(len(items.name) + 1))
+    widest = (items.size + 2 * int(items.side.max())) * BLOCK  # words of a window: differences of counts hold modulo more than that
+    small = np.uint8 if widest < 1 << 8 else np.uint16 if widest < 1 << 16 else np.uint32
     done = set()
     for members, parts in items.close(x):
         n_hits = np.diff(edge)[members]
         own = np.arange(n_hits.sum()) - np.repeat(np.cumsum(n_hits) - n_hits, n_hits) + np.repeat(edge[:-1][members], n_hits)
         m = len(members)
-        count = np.zeros((n + 1, m), np.int16)  # of answer words in the blocks before
-        hits = np.bincount(np.repeat(np.arange(m), n_hits) * n + block[own], minlength=n * m).astype(np.int16)
-        count[1:] = np.cumsum(hits.reshape(m, n), axis=1, dtype=np.int16).T  # differences hold modulo 2^16
+        count = np.zeros((n + 1, m), small)  # of answer words in the blocks before
+        hits = np.bincount(np.repeat(np.arange(m), n_hits) * n + block[own], minlength=n * m).astype(small)
+        count[1:] = np.cumsum(hits.reshape(m, n), axis=1, dtype=small).T
         cut = np.append(np.flatnonzero(np.diff(items.side[members], prepend=-1)), m)
         for rows, mask in parts:
             for f, t in zip(cut[:-1].tolist(), cut[1:].tolist()):  # items of one side
                 side = items.side[members[f]]
                 a, b = np.maximum(start[rows] - side, low[rows]), np.minimum(end[rows] + side, high[rows])
                 own_count = count[:, f:t]
-                p, q = np.nonzero(mask[:, f:t] & (own_count[b] - own_count[a] >= items.need[members[f:t]].astype(np.int16)))
+                p, q = np.divmod(np.flatnonzero(mask[:, f:t] & (own_count[b] - own_count[a] >= items.need[members[f:t]].astype(small))), t - f)
                 for p, j, a, b in zip(rows[p].tolist(), members[f + q].tolist(), a[p].tolist(), b[p].tolist()):
                     pair = (int(doc[start[p]]), j)
                     if pair not in done:
-                        near = h[first[a] : first[b] if b < n else len(h)].tolist()
-                        if len(items.answer[j].intersection(near)) < items.need[j] or (part := lcs(items.words[j], near) / len(items.words[j])) < share:
+                        near, seq = h[first[a] : first[b] if b < n else len(h)].tolist(), items.words[j]
+                        there = set(near)
+                        if len(items.answer[j] & there) < items.need[j] or sum(map(there.__contains__, seq)) < share * len(seq) or (part := lcs(seq, near) / len(seq)) < share:
                             continue
                         if part == 1:
                             done.add(pair)
@@ -210,13 +218,13 @@ def search(items: Items, ready: tuple, h: np.ndarray, sums: np.ndarray, blocks:
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents that each bucket's words are in, and the number of documents."""
+    """Documents (in lower case) that each bucket's words are in, and their number."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BUCKETS, np.int64), 0
         for slab in slabs(batches, "text"):
             w = words(slab.column("text"))
-            own = distinct(w.doc * BUCKETS + (w.hashes(lower=True) % np.uint64(BUCKETS)).astype(np.int64))
+            own = distinct(w.doc * BUCKETS + bucket_of(w.hashes()))
             total += np.bincount(own % BUCKETS, minlength=BUCKETS)
             n += len(slab)
         at = np.flatnonzero(total)
@@ -241,7 +249,7 @@ def axes(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> t
             w = words(slab.column("text"))
             if not len(w.start):
                 continue
-            b = (w.hashes(lower=True) % np.uint64(BUCKETS)).astype(np.int64)
+            b = bucket_of(w.hashes())
             first, _, _ = blocks_of(w, BLOCK * SIZES[-1])
             passage = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(b))))
             slot = np.full((BLOCK * SIZES[-1], len(first)), BUCKETS)  # a row of zeros fills up short passages
@@ -290,7 +298,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = N
     base = spread(base)
     schema = "doc_id long, item_id long, cosine double, lcs double"
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"), (F.lower(F.col(answer_col).cast("string")) if answer_col else F.lit(None).cast("string")).alias("answer")).where("text is not null")
-    size, asked_size = text_bytes(base, "text"), text_bytes(asked, "text")
+    size, asked_size = text_bytes(docs.select(F.col("text").cast("string").alias("text")), "text"), text_bytes(asked, "text")
     if not asked_size or not size:
         return docs.sparkSession.createDataFrame([], schema)
     df, n_docs = document_frequencies(base)
@@ -315,12 +323,12 @@ def _finder(shared, share: float):
             w = words(slab.column("text"))
             if not len(w.start):
                 continue
-            h = w.hashes(lower=True)
+            h = w.hashes()
             blocks = first, _, _ = blocks_of(w)
             n = len(first)
             block_of_word = np.repeat(np.arange(n), np.diff(np.append(first, len(h))))
             slot = np.full((n, BLOCK), BUCKETS)  # a row of zeros fills up short blocks
-            slot[block_of_word, np.arange(len(h)) - first[block_of_word]] = h % np.uint64(BUCKETS)
+            slot[block_of_word, np.arange(len(h)) - first[block_of_word]] = bucket_of(h)
             sums = latent[slot[:, 0]]
             for i in range(1, BLOCK):
                 sums += latent[slot[:, i]]

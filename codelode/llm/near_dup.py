@@ -331,7 +331,8 @@ def _graph(base: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame,
     keys = _keys(nodes, similarity)
     twice = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center != last").select("key", "center")
     shared = written(keys.join(twice, "key"))
-    sets = written(_sets(base, nodes.join(shared.select("node").distinct(), "node", "left_semi"), shingle))
+    need = written(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "rid", "high", "low"))  # few, so that Spark sees when texts need no shuffle
+    sets = written(_sets(base, need, shingle))
     links = written(_linked(_stars(shared, nodes, similarity), sets, similarity))
     comps, keep = components(links), KEEP
     while True:

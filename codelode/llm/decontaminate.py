@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm._common import parts, slabs, text_bytes
-from codelode.llm._tokens import Words, distinct, words
+from codelode.llm._common import parts, slabs, text_bytes, written
+from codelode.llm._tokens import Words, buffer, distinct, words
 from codelode.operators.layout import spread
 
 BUCKETS, RANK, BLOCK, SIZES = 1 << 15, 64, 8, (2, 4, 8)
@@ -55,7 +55,41 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def blocks_of(w: Words, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(docs: DataFrame) -> DataFrame:
+    """docs (text, and doc_id if there) with the words' hashes as bytes in place of the text, which must be in lower case."""
+    keep = [c for c in ("doc_id",) if c in docs.columns]
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slab in slabs(batches, "text"):
+            w = words(slab.column("text"))
+            raw = w.hashes().tobytes()
+            at = np.concatenate([[0], np.cumsum(w.count * 8)]).astype(np.int64)
+            own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(slab), [None, pa.py_buffer(at), pa.py_buffer(raw)]).cast(pa.binary())
+            yield pa.record_batch([*(slab.column(c) for c in keep), own], names=[*keep, "hashes"])
+
+    return docs.select(*keep, "text").mapInArrow(f, ("doc_id long, " if keep else "") + "hashes binary")
+
+
+@dataclass
+class Hashed:
+    """The words of a slab by their hashes: the text each is of, and how many each text has."""
+
+    hash: np.ndarray
+    doc: np.ndarray
+    count: np.ndarray
+
+    @property
+    def first(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.count)])
+
+
+def unpack(column: pa.Array) -> Hashed:
+    data, off = buffer(column)
+    count = np.diff(off) // 8
+    return Hashed(np.frombuffer(data.tobytes(), np.uint64), np.repeat(np.arange(len(count)), count), count)
+
+
+def blocks_of(w: Words | Hashed, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word of each block, the text each block is of, and each text's first block with the number of blocks at the end."""
     n = -(-w.count // size)
     first = np.concatenate([[0], np.cumsum(n)])
@@ -218,19 +252,19 @@ def search(items: Items, ready: tuple, h: np.ndarray, sums: np.ndarray, blocks:
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents (in lower case) that each bucket's words are in, and their number."""
+    """How many documents (as of word_hashes) each bucket's words are in, and their number."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BUCKETS, np.int64), 0
-        for slab in slabs(batches, "text"):
-            w = words(slab.column("text"))
-            own = distinct(w.doc * BUCKETS + bucket_of(w.hashes()))
+        for slab in slabs(batches, "hashes"):
+            w = unpack(slab.column("hashes"))
+            own = distinct(w.doc * BUCKETS + bucket_of(w.hash))
             total += np.bincount(own % BUCKETS, minlength=BUCKETS)
             n += len(slab)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array([-1, *at], pa.int64()), pa.array([n, *total[at]], pa.int64())], names=["bucket", "n"])
 
-    sums = docs.select("text").mapInArrow(f, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = docs.select("hashes").mapInArrow(f, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = sums.column("bucket").to_numpy(), sums.column("n").to_numpy()
     out = np.zeros(BUCKETS, np.int64)
     out[bucket[bucket >= 0]] = n[bucket >= 0]
@@ -245,11 +279,11 @@ def axes(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> t
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, z = np.concatenate([noise() * idf[:, None], np.zeros((1, rank), np.float32)]), np.zeros((BUCKETS, rank), np.float32)
-        for slab in slabs(batches, "text", _SLAB):
-            w = words(slab.column("text"))
-            if not len(w.start):
+        for slab in slabs(batches, "hashes", _SLAB):
+            w = unpack(slab.column("hashes"))
+            if not len(w.hash):
                 continue
-            b = bucket_of(w.hashes())
+            b = bucket_of(w.hash)
             first, _, _ = blocks_of(w, BLOCK * SIZES[-1])
             passage = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(b))))
             slot = np.full((BLOCK * SIZES[-1], len(first)), BUCKETS)  # a row of zeros fills up short passages
@@ -277,8 +311,8 @@ def axes(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> t
         total = np.sum([np.frombuffer(x, np.float32).astype(np.float64) for x in group.column("z").to_pylist()], axis=0)
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["at", "z"])
 
-    z = np.zeros((BUCKETS, rank))
-    for r in docs.select("text").mapInArrow(f, "at int, z binary").groupBy("at").applyInArrow(add, "at int, z binary").toArrow().to_pylist():
+    z, rows = np.zeros((BUCKETS, rank)), (docs if "hashes" in docs.columns else word_hashes(docs)).select("hashes")
+    for r in rows.mapInArrow(f, "at int, z binary").groupBy("at").applyInArrow(add, "at int, z binary").toArrow().to_pylist():
         z[r["at"] : r["at"] + _ROWS] = np.frombuffer(r["z"]).reshape(-1, rank)
     core = noise().astype(np.float64).T @ z
     shift = 1e-9 * max(np.trace(core), 1e-30)
@@ -301,6 +335,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = N
     size, asked_size = text_bytes(docs.select(F.col("text").cast("string").alias("text")), "text"), text_bytes(asked, "text")
     if not asked_size or not size:
         return docs.sparkSession.createDataFrame([], schema)
+    base = written(word_hashes(base))  # words are found once, and three passes read their hashes
     df, n_docs = document_frequencies(base)
     idf = (np.log((n_docs + 1) / (df + 1)) + 0.1).astype(np.float32)
     u, sv = axes(base.coalesce(parts(size, FIT_BYTES, FIT_TASKS)), idf)  # each task sends a matrix of 8 MB
@@ -319,11 +354,11 @@ def _finder(shared, share: float):
         latent, every = shared.value
         latent = np.concatenate([latent, np.zeros((1, latent.shape[1]), np.float32)])
         ready = [items.answers() for items in every]
-        for slab in slabs(batches, "text", _SLAB):
-            w = words(slab.column("text"))
-            if not len(w.start):
+        for slab in slabs(batches, "hashes", _SLAB):
+            w = unpack(slab.column("hashes"))
+            h = w.hash
+            if not len(h):
                 continue
-            h = w.hashes()
             blocks = first, _, _ = blocks_of(w)
             n = len(first)
             block_of_word = np.repeat(np.arange(n), np.diff(np.append(first, len(h))))

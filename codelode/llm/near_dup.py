@@ -120,14 +120,21 @@ def _rows(sig: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sig), np.uint16).reshape(-1, POSITIONS)
 
 
+def _within(n1, n2, s1, s2, similarity: float) -> np.ndarray:
+    """Which pairs can be linked by their sizes and signatures."""
+    at = np.flatnonzero(np.minimum(n1, n2) >= similarity * np.maximum(n1, n2) - 1e-9)
+    return at[(s1[at] != s2[at]).sum(1) <= limits(similarity, LOST)[0]]
+
+
+def _alike(n1, n2, o1, o2, similarity: float) -> np.ndarray:
+    """Which pairs can be linked by their parity sketches."""
+    return np.flatnonzero(np.bitwise_count(o1 ^ o2).sum(1) <= (1 - similarity) / (1 + similarity) * (n1 + n2) + 1e-6)
+
+
 def _near(n1, n2, s1, s2, o1, o2, similarity: float) -> np.ndarray:
     """Which pairs can be linked, by sizes, signatures and parity sketches."""
-    both = n1 + n2
-    fine = np.minimum(n1, n2) >= similarity * np.maximum(n1, n2) - 1e-9
-    at = np.flatnonzero(fine)
-    at = at[(s1[at] != s2[at]).sum(1) <= limits(similarity, LOST)[0]]
-    flips = np.bitwise_count(o1[at] ^ o2[at]).sum(1)
-    return at[flips <= (1 - similarity) / (1 + similarity) * both[at] + 1e-6]
+    at = _within(n1, n2, s1, s2, similarity)
+    return at[_alike(n1[at], n2[at], o1[at], o2[at], similarity)]
 
 
 def names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -205,21 +212,25 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _stars(shared: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of a key's least node and each other node, as far as sketches allow a link."""
+    """Pairs of a key's least node and each other node, as far as sketches allow a link. Signatures are joined first, as they are smaller."""
 
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 4000):
-                b = batch.slice(at, 4000)
-                n1, n2 = (b.column(c).to_numpy().astype(np.int64) for c in ("n1", "n2"))
-                s1, s2 = (_rows(b.column(c).to_pylist()) for c in ("s1", "s2"))
-                o1, o2 = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, PARITY // 8) for c in ("o1", "o2"))
-                keep = _near(n1, n2, s1, s2, o1, o2, similarity)
-                yield pa.record_batch([b.column("u"), b.column("v")], names=["u", "v"]).take(pa.array(keep))
+    def kept(test, width: int, kind):
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, len(batch), 4000):
+                    b = batch.slice(at, 4000)
+                    n1, n2 = (b.column(c).to_numpy().astype(np.int64) for c in ("n1", "n2"))
+                    x1, x2 = (np.frombuffer(b"".join(b.column(c).to_pylist()), kind).reshape(-1, width) for c in ("x1", "x2"))
+                    yield pa.record_batch([b.column("u"), b.column("v")], names=["u", "v"]).take(pa.array(test(n1, n2, x1, x2, similarity)))
+
+        return f
+
+    def sifted(pairs: DataFrame, column: str, test, width: int, kind) -> DataFrame:
+        own = lambda x, i: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{i}"), F.col(column).alias(f"x{i}"))
+        return pairs.join(own("u", 1), "u").join(own("v", 2), "v").mapInArrow(kept(test, width, kind), "u long, v long")
 
     pairs = shared.where("node != center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
-    own = lambda x, i: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{i}"), F.col("sig").alias(f"s{i}"), F.col("odd").alias(f"o{i}"))
-    return pairs.join(own("u", 1), "u").join(own("v", 2), "v").mapInArrow(f, "u long, v long")
+    return sifted(sifted(pairs, "sig", _within, POSITIONS, np.uint16), "odd", _alike, PARITY // 8, np.uint8)
 
 
 def _across(shared: DataFrame, nodes: DataFrame, comps: DataFrame, similarity: float, keep: int) -> DataFrame:

@@ -13,11 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one Python slab holds at a time; numpy needs some 40 times as much beside it.
-SLAB_BYTES = 2 << 20
+SLAB_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, of which tasks and their Python workers hold several, where the session has no bound of its own."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables under sf_dir, by Spark's own reader, so any store will do."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,6 +62,7 @@ def clear(spark: SparkSession) -> None:
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: what follows neither repeats its work nor depends on its executors."""
     spark = df.sparkSession
+    small_batches(spark)
     at = shared_dir(spark)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)

@@ -331,12 +331,12 @@ def _graph(base: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame,
     keys = _keys(nodes, similarity)
     twice = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center != last").select("key", "center")
     shared = written(keys.join(twice, "key"))
-    need = written(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "rid", "high", "low"))  # few, so that Spark sees when texts need no shuffle
-    sets = written(_sets(base, need, shingle))
-    links = written(_linked(_stars(shared, nodes, similarity), sets, similarity))
+    meet = written(nodes.join(shared.select("node").distinct(), "node", "left_semi"))  # nodes alone under all their keys go no further
+    sets = written(_sets(base, meet, shingle))
+    links = written(_linked(_stars(shared, meet, similarity), sets, similarity))
     comps, keep = components(links), KEEP
     while True:
-        found = written(_across(shared, nodes, comps, similarity, keep))
+        found = written(_across(shared, meet, comps, similarity, keep))
         more = written(_linked(found.select("u", "v"), sets, similarity))
         left_out = not found.where("more").isEmpty()
         if not more.isEmpty():

@@ -45,8 +45,13 @@ def merge_changes(status: DataFrame, numstat: DataFrame, patches: DataFrame) ->
     return out.select(*keys, F.coalesce("status", F.lit("M")).alias("status"), F.coalesce("additions", F.lit(0)).alias("additions"), F.coalesce("deletions", F.lit(0)).alias("deletions"), kept.alias("patch"))
 
 
+#: The letters of Git's escapes and the bytes that they stand for.
+ESCAPES = {"a": "07", "b": "08", "t": "09", "n": "0A", "v": "0B", "f": "0C", "r": "0D", '"': "22", "\\": "5C"}
+
+
 def unquote_path(path: Column) -> Column:
-    """A path as Git quotes it, without the quotes and simple escapes."""
-    inner = F.regexp_extract(path, r'^"(.*)"$', 1)
-    plain = F.replace(F.replace(F.replace(inner, F.lit('\\"'), F.lit('"')), F.lit("\\t"), F.lit("\t")), F.lit("\\\\"), F.lit("\\"))
-    return F.when(F.startswith(path, F.lit('"')), plain).otherwise(path)
+    """A path as Git quotes it, without the quotes; escapes, octal bytes among them, are read in one pass from the left."""
+    parts = F.regexp_extract_all(F.regexp_extract(path, r'(?s)^"(.*)"$', 1), F.lit(r"(?s)\\[0-7]{3}|\\.|[^\\]+|\\"), F.lit(0))
+    known = F.create_map(*[F.lit(x) for k, v in ESCAPES.items() for x in ("\\" + k, v)])
+    one = lambda p: F.when(p.rlike(r"^\\[0-7]{3}$"), F.right(F.lpad(F.conv(F.substring(p, 2, 3), 8, 16), 2, "0"), F.lit(2))).otherwise(F.coalesce(F.try_element_at(known, p), F.hex(F.encode(p, "UTF-8"))))
+    return F.when(path.rlike(r'(?s)^".*"$') & (F.length(path) > 1), F.decode(F.unhex(F.array_join(F.transform(parts, one), "")), "UTF-8")).otherwise(path)

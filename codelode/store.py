@@ -1,7 +1,8 @@
 """The logical tables on Parquet: reads with declared schemas, and writes that readers never see half done.
 
-Rows of a snapshot are written once, under their snapshot's directories. Other tables are replaced: a new version is written
-aside, then a pointer file names it. One writer at a time is assumed.
+Rows of a snapshot lie under their snapshot's directories; a change rewrites the directories of the snapshots concerned. Rows are
+added to other tables as files of their own; a change replaces such a table: a new version is written aside, then a pointer file
+names it. One writer at a time is assumed.
 """
 
 from __future__ import annotations
@@ -16,6 +17,13 @@ from codelode.functions.predicates import page
 from codelode.operators import snapshots, tables
 from codelode.schema import BY_SNAPSHOT, schema
 
+_SNAPSHOT = ("project_id", "index_snapshot_id")
+
+
+def _absent(e: AnalysisException) -> bool:
+    """Whether an error says that a path is not there, which is all that an unwritten table means."""
+    return e.getCondition() == "PATH_NOT_FOUND"
+
 
 class Store:
     """Tables below a folder (any URI that Spark reads)."""
@@ -28,7 +36,9 @@ class Store:
             return f"{self.root}/{name}"
         try:
             return f"{self.root}/{name}/{snapshots.read_pointer(self.spark, f'{self.root}/_current', name, 'version')}"
-        except AnalysisException:
+        except AnalysisException as e:
+            if not _absent(e):
+                raise
             return None
 
     def table(self, name: str) -> DataFrame:
@@ -36,7 +46,9 @@ class Store:
         at = self._at(name)
         try:
             return self.spark.read.schema(schema(name)).parquet(at) if at else self.spark.createDataFrame([], schema(name))
-        except AnalysisException:
+        except AnalysisException as e:
+            if not _absent(e):
+                raise
             return self.spark.createDataFrame([], schema(name))
 
     def _shaped(self, name: str, rows: DataFrame) -> DataFrame:
@@ -44,28 +56,70 @@ class Store:
         return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)])
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Make rows the whole table."""
+        """Make rows the whole table (not one of snapshots, whose rows are inserted, changed and deleted by snapshot)."""
+        if name in BY_SNAPSHOT:
+            raise ValueError(f"{name} is written by snapshot")
         version = uuid.uuid4().hex
         self._shaped(name, rows).write.parquet(f"{self.root}/{name}/{version}")
         snapshots.write_pointer(self.spark, f"{self.root}/_current", name, "version", version)
 
+    def _write_snapshots(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_SNAPSHOT).parquet(f"{self.root}/{name}")
+
     def insert(self, name: str, rows: DataFrame, keys: list[str] | None = None) -> None:
         """Add rows; with keys only those whose key is not there yet."""
         rows = self._shaped(name, rows)
         if name in BY_SNAPSHOT:
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "index_snapshot_id").parquet(f"{self.root}/{name}")
+            self._write_snapshots(name, rows)
+        elif (at := self._at(name)) is None:
+            self.replace(name, tables.insert_missing(self.table(name), rows, keys) if keys else rows)
+        else:
+            (tables.insert_missing(self.table(name), rows, keys) if keys else rows).write.mode("append").parquet(at)
+
+    def _change(self, name: str, touched: DataFrame, change) -> None:
+        """Apply change to a table; of one of snapshots, to the snapshots of touched only, whose number is small."""
+        if name not in BY_SNAPSHOT:
+            self.replace(name, change(self.table(name)))
+            return
+        own = [tuple(r) for r in touched.select(*_SNAPSHOT).distinct().collect()]
+        if not own:
             return
-        have = self.table(name)
-        self.replace(name, have.unionByName(tables.insert_missing(have, rows, keys) if keys else rows))
+        here = F.lit(False)
+        for project, snapshot in own:
+            here = here | (F.col("project_id").eqNullSafe(project) & F.col("index_snapshot_id").eqNullSafe(snapshot))
+        aside = f"{self.root}/_aside/{uuid.uuid4().hex}"
+        self._shaped(name, change(self.table(name).where(here))).write.parquet(aside)
+        rows = self.spark.read.schema(schema(name)).parquet(aside)
+        left = {tuple(r) for r in rows.select(*_SNAPSHOT).distinct().collect()}
+        self._write_snapshots(name, rows)
+        for project, snapshot in own:  # dynamic overwriting leaves the directories that got no row
+            if (project, snapshot) not in left:
+                self._remove(*self._paths(name, project, snapshot))
+        self._remove(aside)
+
+    def _paths(self, name: str, project: str, snapshot: str) -> list[str]:
+        at = self.table(name).where(F.col("project_id").eqNullSafe(project) & F.col("index_snapshot_id").eqNullSafe(snapshot))
+        return [r["d"] for r in at.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("d")).distinct().collect()]
+
+    def _remove(self, *paths: str) -> None:
+        for at in paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.spark._jvm.java.net.URI.create(at))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], order: str) -> None:
-        self.replace(name, tables.upsert(self.table(name), self._shaped(name, rows), keys, order))
+        rows = self._shaped(name, rows)
+        if name in BY_SNAPSHOT:
+            if not set(_SNAPSHOT) <= set(keys):
+                raise ValueError(f"keys of {name} have {' and '.join(_SNAPSHOT)}")
+        self._change(name, rows, lambda have: tables.upsert(have, rows, keys, order))
 
     def update(self, name: str, where: Column, **values: Column) -> None:
-        self.replace(name, tables.update(self.table(name), where, **values))
+        if name in BY_SNAPSHOT and set(values) & set(_SNAPSHOT):
+            raise ValueError("rows do not move between snapshots")
+        self._change(name, self.table(name).where(where) if name in BY_SNAPSHOT else None, lambda have: tables.update(have, where, **values))
 
     def delete(self, name: str, where: Column) -> None:
-        self.replace(name, tables.delete(self.table(name), where))
+        self._change(name, self.table(name).where(where) if name in BY_SNAPSHOT else None, lambda have: tables.delete(have, where))
 
     def where(self, name: str, **equal: object) -> DataFrame:
         """Rows by equality of columns; None means null, a list means any of its values."""

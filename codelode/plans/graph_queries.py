@@ -46,12 +46,12 @@ def deps_from_many(t):
     return _deps(t).where(F.col("source").isin("f1", "f2", "f3")).groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-_SMALL = "SELECT 's' || (l_suppkey % 90) AS source, CASE WHEN l_returnflag <> 'R' THEN 's' || (l_partkey % 900) END AS target, 'i' || l_linenumber AS import_name, CASE WHEN l_returnflag = 'R' THEN 'pkg' || (l_partkey % 7) END AS package FROM lineitem WHERE l_orderkey % 400 = 1"
+_SMALL = "SELECT 's' || (l_suppkey % 90) AS source, CASE WHEN l_returnflag <> 'R' THEN 's' || (l_partkey % 900) END AS target, 'i' || l_linenumber AS import_name, CASE WHEN l_returnflag = 'R' THEN 'pkg' || (l_partkey % 7) END AS package FROM lineitem"
 
 
 def _small(t):
     external = F.col("l_returnflag") == "R"
-    return t("lineitem").where("l_orderkey % 400 = 1").select(F.concat(F.lit("s"), F.col("l_suppkey") % 90).alias("source"), F.when(~external, F.concat(F.lit("s"), F.col("l_partkey") % 900)).alias("target"), F.concat(F.lit("i"), "l_linenumber").alias("import_name"), F.when(external, F.concat(F.lit("pkg"), F.col("l_partkey") % 7)).alias("package"))
+    return t("lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey") % 90).alias("source"), F.when(~external, F.concat(F.lit("s"), F.col("l_partkey") % 900)).alias("target"), F.concat(F.lit("i"), "l_linenumber").alias("import_name"), F.when(external, F.concat(F.lit("pkg"), F.col("l_partkey") % 7)).alias("package"))
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT source, coalesce(target, 'ext:' || coalesce(package, import_name)) AS target, target IS NULL AS ext FROM ({_SMALL})),

@@ -39,9 +39,9 @@ def copy_forward_remap(t):
     return snapshots.remap(rows, ids, "symbol_id")
 
 
-@query("SELECT o_orderkey AS snapshot_id, o_custkey AS project_id, CASE WHEN o_custkey = 1 THEN o_orderkey = (SELECT max(o_orderkey) FROM orders WHERE o_custkey = 1) ELSE o_orderstatus = 'O' END AS is_active FROM orders WHERE o_custkey < 50")
+@query("SELECT o_orderkey AS snapshot_id, o_custkey AS project_id, CASE WHEN o_custkey = 1 THEN o_orderkey = (SELECT max(o_orderkey) FROM orders WHERE o_custkey = 1) ELSE o_orderstatus = 'O' END AS is_active FROM orders")
 def snapshot_activate(t):
-    rows = t("orders").where("o_custkey < 50").select(F.col("o_orderkey").alias("snapshot_id"), F.col("o_custkey").alias("project_id"), F.lit("main").alias("branch"), (F.col("o_orderstatus") == "O").alias("is_active"), F.col("o_orderdate").alias("activated_at"), F.lit("ready").alias("status"))
+    rows = t("orders").select(F.col("o_orderkey").alias("snapshot_id"), F.col("o_custkey").alias("project_id"), F.lit("main").alias("branch"), (F.col("o_orderstatus") == "O").alias("is_active"), F.col("o_orderdate").alias("activated_at"), F.lit("ready").alias("status"))
     newest = rows.where("project_id = 1").agg(F.max("snapshot_id").alias("m")).first()["m"]
     return snapshots.activate(rows, newest, F.lit("2002-01-01").cast("timestamp_ntz")).select("snapshot_id", "project_id", "is_active")
 
@@ -53,9 +53,9 @@ def idempotent_insert(t):
     return have.unionByName(tables.insert_missing(have, batch.unionByName(batch), ["id"]))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey BETWEEN 50 AND 99 THEN o_totalprice * 2 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey < 100")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey BETWEEN 50 AND 99 THEN o_totalprice * 2 ELSE o_totalprice END AS price FROM orders")
 def upsert_rows(t):
-    rows = t("orders").where("o_orderkey < 100").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    rows = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
     return tables.upsert(rows, rows.where("id >= 50").withColumn("price", F.col("price") * 2), ["id"], "price")
 
 
@@ -130,12 +130,12 @@ def event_route(t):
     return E.route(parsed, members).select(F.col("job_id").cast("long").alias("event_id"), F.col("to_user").cast("long").alias("to_user"))
 
 
-@query("""SELECT user_id AS job_id, arg_max(status, (rank, -event_id)) AS status, -max((rank, -event_id))[2] AS seq FROM (SELECT *, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS rank FROM events WHERE event_id % 97 = 0) GROUP BY user_id""")
+@query("""SELECT user_id AS job_id, arg_max(status, (rank, -event_id)) AS status, -max((rank, -event_id))[2] AS seq FROM (SELECT *, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS rank FROM events) GROUP BY user_id""")
 def job_state_fold(t):
     from codelode.streaming import events as E
 
     status = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "purchase", "completed").otherwise("failed")
-    return E.job_states(t("events").where("event_id % 97 = 0").select(F.col("user_id").alias("job_id"), status.alias("status"), F.col("event_id").alias("seq")))
+    return E.job_states(t("events").select(F.col("user_id").alias("job_id"), status.alias("status"), F.col("event_id").alias("seq")))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")

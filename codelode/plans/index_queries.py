@@ -56,7 +56,7 @@ def idempotent_insert(t):
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey BETWEEN 50 AND 99 THEN o_totalprice * 2 ELSE o_totalprice END AS price FROM orders")
 def upsert_rows(t):
     rows = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
-    return tables.upsert(rows, rows.where("id >= 50").withColumn("price", F.col("price") * 2), ["id"], "price")
+    return tables.upsert(rows, rows.where("id BETWEEN 50 AND 99").withColumn("price", F.col("price") * 2), ["id"], "price")
 
 
 @query("SELECT s_suppkey AS id, CASE WHEN s_nationkey = 3 THEN 'retired' ELSE 'active' END AS state FROM supplier WHERE s_acctbal >= 500")

@@ -99,3 +99,65 @@ edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
 reach AS (SELECT doc_id AS id, doc_id AS r FROM d UNION SELECT reach.id, edge.y FROM reach JOIN edge ON edge.x = reach.r),
 c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN c ON c.id = d.doc_id LEFT JOIN n USING (doc_id)"""
+
+
+def _centroids() -> str:
+    from codelode.llm.centroids import DIMS, K, LARGEST, ROUNDS, SCALE, SEED
+
+    near = "{a} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, c, list_sum(list_transform(range(1, {n}), lambda j: (e.v[j] - m.v[j]) * (e.v[j] - m.v[j])))::BIGINT AS d FROM e, {m} m) GROUP BY r)"
+    mean = "{m} AS MATERIALIZED (SELECT c, coalesce(new.v, old.v) AS v FROM {old} old LEFT JOIN (SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS v FROM (SELECT c, i, sum(x) AS s, count(*) AS n FROM {a} JOIN p USING (r) GROUP BY c, i) GROUP BY c) new USING (c))"
+    rounds = ", ".join(near.format(a=f"a{k}", m=f"c{k}", n=DIMS + 1) + (", " + mean.format(m=f"c{k + 1}", old=f"c{k}", a=f"a{k}") if k < ROUNDS else "") for k in range(ROUNDS + 1))
+    return f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * {SCALE})::BIGINT) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: isfinite(x) AND abs(x::DOUBLE * {SCALE}) < {LARGEST})) = {DIMS} AND len(embedding) = {DIMS}),
+p AS MATERIALIZED (SELECT r, unnest(v) AS x, unnest(range({DIMS})) AS i FROM e),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('{SEED}:' || vec_id) AS h, v FROM e ORDER BY h, v LIMIT {K})), {rounds}
+SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN e USING (r) JOIN c{ROUNDS} m USING (c)"""
+
+
+SQL["op11_centroids"] = _centroids()
+
+
+def _crc32(codes: str) -> str:
+    """CRC-32 of a list of bytes, by the table of its polynomial."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, ({table}::BIGINT[])[1 + (xor(c, b) & 255)]), 4294967295), 4294967295)"
+
+
+def _shards() -> str:
+    from codelode.llm.sharding import SEED, SHARDS
+
+    codes = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce('=' || source, '') AS stratum, coalesce(text, '') AS text FROM documents),
+k AS (SELECT doc_id, stratum, strlen(text) + 1 AS size, {_crc32(codes)} AS crc FROM t),
+o AS (SELECT *, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) || lpad(crc::VARCHAR, 10, '0') AS h, ('0x' || md5('{SEED}/' || stratum)[1:5])::BIGINT / 1048576.0::DOUBLE AS u FROM k),
+r AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY h) - 1 + u) / count(*) OVER (PARTITION BY stratum) AS f FROM o),
+p AS (SELECT *, row_number() OVER (ORDER BY f, stratum, h) - 1 AS p, count(*) OVER () AS n FROM r)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, (p * {SHARDS} // n)::INT AS shard, p - (p * {SHARDS} // n * n + {SHARDS - 1}) // {SHARDS} AS slot, NULL::INT AS grown_shard FROM p"""
+
+
+def _trie() -> str:
+    from codelode.llm.prefix_trie import EVERY, HEADS
+
+    crc = _crc32("list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {crc} % {HEADS} AS h, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id),
+b AS (SELECT c.conv_id, list_concat(coalesce(base.turns[1:c.h], []), c.turns[c.h + 1:]) AS path FROM c LEFT JOIN c base ON base.conv_id = c.conv_id - c.conv_id % {EVERY}),
+m AS (SELECT conv_id, d, path[1:d] AS k, d = len(path) AS whole FROM (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM b)),
+n AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (whole), '')) AS ends_sha256,
+      (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(k[-1].text, '{_WORD}')) END AS own FROM m GROUP BY k, d),
+u AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+s AS (SELECT k[1:a] AS k, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (leaf) AS n_leaves FROM (SELECT n.k, own, n_children IS NULL AS leaf, unnest(range(0, d + 1)) AS a FROM n LEFT JOIN u ON u.k = n.k) GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(u.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.k = n.k LEFT JOIN u ON u.k = n.k LEFT JOIN n p ON n.d > 0 AND p.k = n.k[1:n.d - 1]"""
+
+
+SQL["op12_stratified_shards"] = _shards()
+SQL["op13_prefix_trie"] = _trie()

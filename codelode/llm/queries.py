@@ -71,6 +71,24 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelode.llm.centroids import kmeans
+
+    return kmeans(table(spark, sf_dir, "embeddings"))
+
+
+def op12_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelode.llm.sharding import sharded
+
+    return sharded(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelode.llm.prefix_trie import shared_prefixes
+
+    return shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

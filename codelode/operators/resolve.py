@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions.text import basename, dirname, strip_extension
+from codelode.operators import ranges
 from codelode.parse.languages import INDEX_FILES
 
 
@@ -60,11 +61,5 @@ def resolve_imports(imports: DataFrame, paths: DataFrame, go_module: str = "") -
 
 
 def enclosing_symbol(points: DataFrame, symbols: DataFrame, file: str = "file", line: str = "line", key: str = "ref_id") -> DataFrame:
-    """points with symbol_id of the symbol with the fewest lines around each, the first on ties; null if none.
-
-    An equi-join on the file with the range as a rest condition; the tightest is kept by a partial aggregate, not by sorting.
-    """
-    s = symbols.select(F.col(file), "symbol_id", "start_line", "end_line", "ordinal")
-    hits = points.join(s, file).where((F.col("start_line") <= F.col(line)) & (F.col(line) <= F.col("end_line")))
-    tight = hits.groupBy(key).agg(F.min_by("symbol_id", F.struct(F.col("end_line") - F.col("start_line"), "ordinal")).alias("symbol_id"))
-    return points.join(tight, key, "left")
+    """points with symbol_id of the symbol with the fewest lines around each, the first on ties; null if none. See ranges.tightest."""
+    return ranges.tightest(points, symbols, [file], key, line, "start_line", "end_line", "symbol_id", "ordinal")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelode.operators import resolve, snapshots, tables
+from codelode.operators import ranges, resolve, snapshots, tables
 from codelode.plans.registry import query
 
 
@@ -89,17 +89,31 @@ def import_dedup(t):
     return t("lineitem").select(kind.alias("import_type"), F.concat(F.lit("pkg"), F.col("l_partkey") % 40).alias("name")).dropDuplicates(["import_type", "name"])
 
 
-_SPANS = "SELECT p_partkey AS symbol_id, p_brand AS file, p_size AS start_line, p_size + (p_partkey % 17) AS end_line, p_partkey AS ordinal FROM part"
+_SPANS = "SELECT p_partkey AS symbol_id, p_brand AS file, p_size AS start_line, p_size + (p_partkey % 17) AS end_line, p_partkey AS ordinal, p_type AS kind FROM part"
 
 
-@query(f"""WITH s AS ({_SPANS}), r AS (SELECT l_orderkey * 10 + l_linenumber AS ref_id, 'Brand#' || (min(l_suppkey) % 25 + 1) AS file, min(l_quantity)::INT AS line FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1, l_orderkey, l_linenumber)
+def _spans(t):
+    k = F.col("p_partkey")
+    return t("part").select(k.alias("symbol_id"), F.col("p_brand").alias("file"), F.col("p_size").alias("start_line"), (F.col("p_size") + k % 17).alias("end_line"), k.alias("ordinal"), F.col("p_type").alias("kind"))
+
+
+def _points(t):
+    refs = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.concat(F.lit("Brand#"), F.min("l_suppkey") % 25 + 1).alias("file"), F.min("l_quantity").cast("int").alias("line"))
+    return refs.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), "file", "line")
+
+
+@query(f"""WITH s AS ({_SPANS}), r AS (SELECT l_orderkey * 10 + l_linenumber AS ref_id, 'Brand#' || (min(l_suppkey) % 25 + 1) AS file, min(l_quantity)::INT AS line FROM lineitem GROUP BY 1, l_orderkey, l_linenumber)
 SELECT r.ref_id, (SELECT arg_min(s.symbol_id, (s.end_line - s.start_line, s.ordinal)) FROM s WHERE s.file = r.file AND r.line BETWEEN s.start_line AND s.end_line) AS symbol_id FROM r""")
 def symbol_enclosing_range_join(t):
-    k = F.col("p_partkey")
-    spans = t("part").select(k.alias("symbol_id"), F.col("p_brand").alias("file"), F.col("p_size").alias("start_line"), (F.col("p_size") + k % 17).alias("end_line"), k.alias("ordinal"))
-    refs = t("lineitem").where("l_orderkey < 3000").groupBy("l_orderkey", "l_linenumber").agg(F.concat(F.lit("Brand#"), F.min("l_suppkey") % 25 + 1).alias("file"), F.min("l_quantity").cast("int").alias("line"))
-    points = refs.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), "file", "line")
-    return resolve.enclosing_symbol(points, spans).select("ref_id", "symbol_id")
+    return resolve.enclosing_symbol(_points(t), _spans(t)).select("ref_id", "symbol_id")
+
+
+@query(f"""WITH s AS ({_SPANS}), r AS (SELECT l_orderkey * 10 + l_linenumber AS ref_id, 'Brand#' || (min(l_suppkey) % 25 + 1) AS file, min(l_quantity)::INT AS line FROM lineitem GROUP BY 1, l_orderkey, l_linenumber)
+SELECT r.ref_id, EXISTS (SELECT 1 FROM s WHERE s.file = r.file AND s.kind = 'PROMO' AND r.line BETWEEN s.start_line AND s.end_line) AS inside FROM r""")
+def inside_any_class(t):
+    points, classes = _points(t), _spans(t).where("kind = 'PROMO'")
+    split = lambda inside: ranges.inside_any(points, classes, ["file"], "ref_id", "line", "start_line", "end_line", inside).select("ref_id", F.lit(inside).alias("inside"))
+    return split(True).unionByName(split(False))
 
 
 @query("SELECT o_orderkey AS commit_hash, CASE o_orderstatus WHEN 'F' THEN 'deleted' WHEN 'O' THEN 'added' ELSE 'modified' END AS change_type FROM orders")

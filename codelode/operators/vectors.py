@@ -39,7 +39,8 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "e
     """
     spark = vectors.sparkSession
     asked = queries.select(F.col("query_id").cast("long"), F.col(vector)).where(F.col(vector).isNotNull())
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col(vector).isNotNull())
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(F.col(vector).isNotNull())
+    kind = dict(rows.dtypes)["id"]
 
     def search(part: list) -> DataFrame:
         ids = np.array([r["query_id"] for r in part], np.int64)
@@ -53,15 +54,15 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "e
                 if not len(fit):
                     continue
                 x = fit.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1]).astype(np.float64)
-                norm, own = np.linalg.norm(x, axis=1), fit.column("id").to_numpy()
+                norm, own = np.linalg.norm(x, axis=1), pc.rank(fit.column("id"), tiebreaker="first").to_numpy()
                 score = np.where(norm > 0, np.round(q @ x.T / np.maximum(norm, 1e-300), 6), -2)
                 best = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
                 at = np.take_along_axis(score, best, 1)
                 ok = at.ravel() > -2
-                yield pa.record_batch([pa.array(np.repeat(ids, best.shape[1])[ok]), pa.array(own[best.ravel()][ok]), pa.array(at.ravel()[ok])], names=["query_id", "id", "score"])
+                yield pa.record_batch([pa.array(np.repeat(ids, best.shape[1])[ok]), fit.column("id").take(pa.array(best.ravel()[ok])), pa.array(at.ravel()[ok])], names=["query_id", "id", "score"])
 
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-        return rows.mapInArrow(f, "query_id long, id long, score double").withColumn("rank", place).where(F.col("rank") <= k)
+        return rows.mapInArrow(f, f"query_id long, id {kind}, score double").withColumn("rank", place).where(F.col("rank") <= k)
 
     out, part = None, []
     for r in asked.toLocalIterator():
@@ -69,7 +70,7 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "e
         if len(part) == block:
             out, part = search(part) if out is None else out.unionByName(search(part)), []
     if part or out is None:
-        last = search(part) if part else spark.createDataFrame([], "query_id long, id long, score double, rank int")
+        last = search(part) if part else spark.createDataFrame([], f"query_id long, id {kind}, score double, rank int")
         out = last if out is None else out.unionByName(last)
     return out.withColumnRenamed("id", key)
 

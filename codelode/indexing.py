@@ -27,14 +27,18 @@ def _id(snapshot: str, *parts):
     return F.sha2(F.concat_ws(":", F.lit(snapshot), *parts), 256)
 
 
-def artifacts(files: DataFrame, project: str, snapshot: str, paths: DataFrame, go_module: str = "") -> dict[str, DataFrame]:
+def artifacts(files: DataFrame, project: str, snapshot: str, paths: DataFrame, go_module: str = "", held: list[DataFrame] | None = None) -> dict[str, DataFrame]:
     """The logical tables of files (file_path, content) under a snapshot. paths are all files of the project.
 
+    With held, what parsing gives is kept for all tables and added to that list, whose owner releases it.
+
     Files without a parser are cut to raw chunks. Ids are hashes of the snapshot and what a row is, so a second run writes the same.
     """
     own = F.lit(project).alias("project_id"), F.lit(snapshot).alias("index_snapshot_id")
     with_parser = parsed_column(F.col("file_path"))
-    parsed = engine.parse(files.where(with_parser)).persist()
+    parsed = engine.parse(files.where(with_parser))
+    if held is not None:
+        held.append(parsed.persist())
     raw = files.where(~with_parser)
     file_id = _id(snapshot, F.col("file"))
     meta = parsed.select("file_path", null_if_empty(F.col("language")).alias("language"), null_if_empty(F.col("file_hash")).alias("file_hash"), "size_bytes", "line_count", F.to_json("facts").alias("file_facts"), F.to_json("issues").alias("issues"), F.to_json("extractor_statuses").alias("extractor_statuses"))
@@ -66,26 +70,29 @@ def index(store: Store, project: str, branch: str, commit: str, files: DataFrame
     forward under new ids. Imports of carried files keep their targets.
     """
     spark, new = store.spark, snapshot_id(project, branch, version, commit)
-    base = store.where("index_snapshots", project_id=project, branch=branch, is_active=True, embedding_version_id=version).limit(1).collect()
+    active = store.get("index_snapshots", project_id=project, branch=branch, is_active=True) or {}
+    mode = snapshots.incremental_base(active.get("id"), active.get("embedding_version_id") == version, active.get("id") != new)
     files = files.select("file_path", "content")
     now = files.select(F.col("file_path").alias("path"), F.sha2(T.normalize_newlines(F.col("content")), 256).alias("hash"))
-    todo, carried = files, {}
-    if base and base[0]["id"] != new:
-        old = base[0]["id"]
+    todo, carried, held = files, {}, []
+    if mode == "incremental":
+        old = active["id"]
         before = store.where("files", project_id=project, index_snapshot_id=old)
         change = snapshots.classify(before.select(F.col("file_path").alias("path"), F.coalesce("file_hash", F.sha2(F.lit(""), 256)).alias("hash")), now)
         todo = files.join(change.where("change IN ('A', 'M')").select(F.col("path").alias("file_path")), "file_path", "left_semi")
         same = before.join(change.where("change = 'U'").select(F.col("path").alias("file_path")), "file_path", "left_semi").select(F.col("id").alias("__file"), "file_path")
-        fresh = artifacts(todo, project, new, files, go_module)
+        fresh = artifacts(todo, project, new, files, go_module, held)
         for name in fresh:
             rows = store.where(name, project_id=project, index_snapshot_id=old)
             path = "source_file_path" if name == "dependencies" else "file_path" if "file_path" in rows.columns else None
             keep = rows.join(same.select(F.col("file_path").alias(path)) if path else same.select(F.col("__file").alias("file_id"), F.col("file_path").alias("__path")), path or "file_id", "inner" if not path else "left_semi")
             carried[name] = keep.withColumn("index_snapshot_id", F.lit(new)).withColumns(_renamed(keep, name, old, new))
     else:
-        fresh = artifacts(todo, project, new, files, go_module)
+        fresh = artifacts(todo, project, new, files, go_module, held)
     for name, rows in fresh.items():
-        store.insert(name, store._shaped(name, rows).unionByName(store._shaped(name, carried[name])) if name in carried else rows)
+        store.replace_snapshots(name, store._shaped(name, rows).unionByName(store._shaped(name, carried[name])) if name in carried else rows)
+    for df in held:
+        df.unpersist()
     rows = spark.createDataFrame([(new, project, branch, version, commit, False, "building")], "id string, project_id string, branch string, embedding_version_id string, git_commit string, is_active boolean, status string")
     store.insert("index_snapshots", rows, ["id"])
     table = store.table("index_snapshots").withColumnRenamed("id", "snapshot_id")

@@ -11,6 +11,11 @@ def insert_missing(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
     return rows.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti")
 
 
+def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first of rows with a key, in order; a partial aggregate, so no group is sorted."""
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
+
+
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The table with rows put in by key, the one greatest in order where several share one (ON CONFLICT DO UPDATE)."""
     new = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")

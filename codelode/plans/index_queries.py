@@ -83,10 +83,22 @@ def import_resolve(t):
     return resolve.resolve_imports(rows, _files(t)).select("l_orderkey", "l_linenumber", "target_file_path")
 
 
+def _imports(t):
+    """The first import of each type and name, in the order of lines."""
+    kind = F.when(F.col("l_returnflag") == "A", "INTERNAL").when(F.col("l_returnflag") == "N", "STDLIB").otherwise("EXTERNAL")
+    rows = t("lineitem").select(kind.alias("import_type"), F.concat(F.lit("pkg"), F.col("l_partkey") % 40).alias("name"), "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    return tables.first_wins(rows, ["import_type", "name"], ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"])
+
+
 @query("SELECT import_type, name FROM (SELECT DISTINCT CASE WHEN l_returnflag = 'A' THEN 'INTERNAL' WHEN l_returnflag = 'N' THEN 'STDLIB' ELSE 'EXTERNAL' END AS import_type, 'pkg' || (l_partkey % 40) AS name FROM lineitem)")
 def import_dedup(t):
-    kind = F.when(F.col("l_returnflag") == "A", "INTERNAL").when(F.col("l_returnflag") == "N", "STDLIB").otherwise("EXTERNAL")
-    return t("lineitem").select(kind.alias("import_type"), F.concat(F.lit("pkg"), F.col("l_partkey") % 40).alias("name")).dropDuplicates(["import_type", "name"])
+    return _imports(t).select("import_type", "name")
+
+
+@query("""SELECT import_type, name, l_orderkey, l_linenumber, l_suppkey FROM (SELECT CASE WHEN l_returnflag = 'A' THEN 'INTERNAL' WHEN l_returnflag = 'N' THEN 'STDLIB' ELSE 'EXTERNAL' END AS import_type, 'pkg' || (l_partkey % 40) AS name, l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem)
+QUALIFY row_number() OVER (PARTITION BY import_type, name ORDER BY l_orderkey, l_linenumber, l_suppkey, l_partkey) = 1""")
+def first_wins_dedup(t):
+    return _imports(t).select("import_type", "name", "l_orderkey", "l_linenumber", "l_suppkey")
 
 
 _SPANS = "SELECT p_partkey AS symbol_id, p_brand AS file, p_size AS start_line, p_size + (p_partkey % 17) AS end_line, p_partkey AS ordinal, p_type AS kind FROM part"

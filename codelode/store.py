@@ -1,8 +1,9 @@
 """The logical tables on Parquet: reads with declared schemas, and writes that readers never see half done.
 
 Rows of a snapshot lie under their snapshot's directories; a change rewrites the directories of the snapshots concerned. Rows are
-added to other tables as files of their own; a change replaces such a table: a new version is written aside, then a pointer file
-names it. One writer at a time is assumed.
+added as files of their own; a change to a table without snapshots replaces it: a new version is written aside, then a pointer file
+names it. A snapshot is dropped from all tables at once: it is marked first, so that a clean-up that broke off is taken up again. One
+writer at a time is assumed.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from codelode.functions.predicates import page
-from codelode.operators import snapshots, tables
+from codelode.operators import scratch, snapshots, tables
 from codelode.schema import BY_SNAPSHOT, schema
 
 _SNAPSHOT = ("project_id", "index_snapshot_id")
+#: The status of a snapshot that is being dropped.
+DELETING = "deleting"
 
 
 def _absent(e: AnalysisException) -> bool:
@@ -66,15 +69,50 @@ class Store:
     def _write_snapshots(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_SNAPSHOT).parquet(f"{self.root}/{name}")
 
+    def _here(self, own: list[tuple]) -> Column:
+        here = F.lit(False)
+        for project, snapshot in own:
+            here = here | (F.col("project_id").eqNullSafe(project) & F.col("index_snapshot_id").eqNullSafe(snapshot))
+        return here
+
     def insert(self, name: str, rows: DataFrame, keys: list[str] | None = None) -> None:
-        """Add rows; with keys only those whose key is not there yet."""
+        """Add rows; with keys only those whose key is not there yet, one a key. Rows that are there stay."""
         rows = self._shaped(name, rows)
+        if keys:
+            have = self.table(name)
+            if name in BY_SNAPSHOT and set(_SNAPSHOT) <= set(keys):
+                have = have.where(self._here([tuple(r) for r in rows.select(*_SNAPSHOT).distinct().collect()]))  # few: a batch is of one or a few snapshots
+            rows = tables.insert_missing(have, rows, keys)
         if name in BY_SNAPSHOT:
-            self._write_snapshots(name, rows)
+            rows.write.mode("append").partitionBy(*_SNAPSHOT).parquet(f"{self.root}/{name}")
         elif (at := self._at(name)) is None:
-            self.replace(name, tables.insert_missing(self.table(name), rows, keys) if keys else rows)
+            self.replace(name, rows)
         else:
-            (tables.insert_missing(self.table(name), rows, keys) if keys else rows).write.mode("append").parquet(at)
+            rows.write.mode("append").parquet(at)
+
+    def replace_snapshots(self, name: str, rows: DataFrame) -> None:
+        """Make rows all that the snapshots which they name have in a table; other snapshots stay."""
+        self._write_snapshots(name, self._shaped(name, rows))
+
+    def drop_snapshot(self, project: str, snapshot: str) -> None:
+        """Drop a snapshot: its rows in every table of artifacts, its jobs' link to it, then itself.
+
+        It is marked as deleting first and its own row goes last, so that after a crash clean_up() finds and finishes it; every step can be
+        done again.
+        """
+        own = (F.col("project_id") == project) & (F.col("id") == snapshot)
+        self.update("index_snapshots", own, status=F.lit(DELETING), is_active=F.lit(False))
+        for name in BY_SNAPSHOT:
+            self._remove(*self._paths(name, project, snapshot))
+        self.update("indexing_jobs", (F.col("project_id") == project) & (F.col("index_snapshot_id") == snapshot), index_snapshot_id=F.lit(None).cast("string"))
+        self.delete("index_snapshots", own)
+
+    def clean_up(self) -> list[tuple[str, str]]:
+        """Finish the dropping of snapshots that are marked; returns which."""
+        marked = [tuple(r) for r in self.where("index_snapshots", status=DELETING).select("project_id", "id").collect()]
+        for project, snapshot in marked:
+            self.drop_snapshot(project, snapshot)
+        return marked
 
     def _change(self, name: str, touched: DataFrame, change) -> None:
         """Apply change to a table; of one of snapshots, to the snapshots of touched only, whose number is small."""
@@ -84,11 +122,8 @@ class Store:
         own = [tuple(r) for r in touched.select(*_SNAPSHOT).distinct().collect()]
         if not own:
             return
-        here = F.lit(False)
-        for project, snapshot in own:
-            here = here | (F.col("project_id").eqNullSafe(project) & F.col("index_snapshot_id").eqNullSafe(snapshot))
         aside = f"{self.root}/_aside/{uuid.uuid4().hex}"
-        self._shaped(name, change(self.table(name).where(here))).write.parquet(aside)
+        self._shaped(name, change(self.table(name).where(self._here(own)))).write.parquet(aside)
         rows = self.spark.read.schema(schema(name)).parquet(aside)
         left = {tuple(r) for r in rows.select(*_SNAPSHOT).distinct().collect()}
         self._write_snapshots(name, rows)
@@ -98,6 +133,8 @@ class Store:
         self._remove(aside)
 
     def _paths(self, name: str, project: str, snapshot: str) -> list[str]:
+        if not scratch.exists(self.spark, f"{self.root}/{name}"):
+            return []
         at = self.table(name).where(F.col("project_id").eqNullSafe(project) & F.col("index_snapshot_id").eqNullSafe(snapshot))
         return [r["d"] for r in at.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("d")).distinct().collect()]
 

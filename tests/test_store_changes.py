@@ -59,3 +59,42 @@ def test_quoted_paths(spark):
     cases = {"plain.txt": "plain.txt", '"caf\\303\\251.txt"': "café.txt", '"a\\\\t"': "a\\t", '"a\\tb"': "a\tb", '"q\\"q"': 'q"q', '""': "", '"': '"', '"\\346\\227\\245 x"': "日 x"}
     got = spark.createDataFrame([(k,) for k in cases], "p string").select("p", unquote_path(F.col("p")).alias("u")).collect()
     assert {r["p"]: r["u"] for r in got} == cases
+
+
+def test_inserts_add_to_snapshots(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    keys = ["project_id", "index_snapshot_id", "id"]
+    paths = lambda: sorted((r["id"], r["file_path"]) for r in store.table("files").select("id", "file_path").collect())
+    store.insert("files", files(spark, [("1", "p", "a", "x")]))
+    store.insert("files", files(spark, [("2", "p", "a", "y"), ("2", "p", "b", "z")]))
+    assert paths() == [("1", "x"), ("2", "y"), ("2", "z")]
+    store.insert("files", files(spark, [("1", "p", "a", "other"), ("3", "p", "a", "w"), ("3", "p", "a", "w")]), keys)
+    store.insert("files", files(spark, [("3", "p", "a", "again")]), ["id"])
+    assert paths() == [("1", "x"), ("2", "y"), ("2", "z"), ("3", "w")]
+    store.replace_snapshots("files", files(spark, [("9", "p", "a", "only")]))
+    assert paths() == [("2", "z"), ("9", "only")]
+
+
+def test_dropping_a_snapshot_is_taken_up_again(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.insert("index_snapshots", spark.createDataFrame([("a", "p", True, "active"), ("b", "p", False, "ready")], "id string, project_id string, is_active boolean, status string"))
+    store.insert("indexing_jobs", spark.createDataFrame([("j", "p", "a", "done")], "id string, project_id string, index_snapshot_id string, status string"))
+    for name in ("files", "symbols", "vectors"):
+        store.insert(name, spark.createDataFrame([("1", "p", "a"), ("2", "p", "b")], "id string, project_id string, index_snapshot_id string"))
+    real, calls = store._remove, []
+
+    def breaks(*paths):
+        calls.extend(paths)
+        if len(calls) > 1:
+            raise OSError("the driver went away")
+        real(*paths)
+
+    monkeypatch.setattr(store, "_remove", breaks)
+    with pytest.raises(OSError):
+        store.drop_snapshot("p", "a")
+    monkeypatch.setattr(store, "_remove", real)
+    assert store.get("index_snapshots", id="a")["status"] == "deleting" and not store.get("index_snapshots", id="a")["is_active"]
+    assert store.clean_up() == [("p", "a")] and store.clean_up() == []
+    for name in ("files", "symbols", "vectors"):
+        assert [r["id"] for r in store.table(name).collect()] == ["2"]
+    assert store.get("index_snapshots", id="a") is None and store.get("indexing_jobs", id="j")["index_snapshot_id"] is None and store.count("index_snapshots") == 1

@@ -13,6 +13,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -33,14 +34,15 @@ RAW = frozenset("script style noscript template iframe object svg math title hea
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table tbody thead tfoot body article section div main aside nav form".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I | re.S)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|\Z)(?!\s*=\s*["']?until-found)|aria-hidden\s*=\s*["']?true|style\s*=\s*(?:"[^"]*|'[^']*)\b(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
 _QUOTED = re.compile(r""""[^"]*"|'[^']*'""", re.S)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _OTHER = frozenset("has with no without".split())  # words of a name that say what is beside or inside, or is not
-_NOTES = re.compile(r"<annotation(?:-xml)?\b.*?</annotation(?:-xml)?\s*>|<!--.*?-->|<[^>]*>", re.I | re.S)
-_HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
+_STATES = frozenset("enabled disabled".split())  # last words of names that say how something is, not what
+_NOTES = re.compile(r"<annotation(?:-xml)?\b.*?(?:</annotation(?:-xml)?\s*>|\Z)|<!--(?:-?>|.*?(?:--!?>|\Z))|<[^>]*>", re.I | re.S)
+_HEAD_END = re.compile(r"</head(?=[\s/>])[^>]*>|<body\b", re.I)
 #: Raw elements that hold other elements: without an end tag they end with their parent. Foreign ones also end at tags that break out.
 NESTS, FOREIGN = frozenset("object svg math audio video canvas".split()), frozenset("svg math".split())
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
@@ -49,10 +51,13 @@ POINTS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".s
 
 
 def _names(words: str) -> list[str]:
-    """The words of class names and the like, in lower case, but for those that a name has after a word of _OTHER."""
+    """The words of class names and the like, in lower case, but for those that a name has after a word of _OTHER, and names of states."""
     out = []
     for name in words.split():
-        for w in _WORD.findall(name):
+        found = _WORD.findall(name)
+        if found and found[-1].lower() in _STATES:
+            continue
+        for w in found:
             if w.lower() in _OTHER:
                 break
             out.append(w.lower())
@@ -124,7 +129,7 @@ def _tag(m: re.Match) -> tuple[bool, str, str]:
 
 
 def _raw_end(page: str, name: str, at: int) -> int:
-    m = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+    m = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
     return len(page) if m is None else m.end()
 
 
@@ -144,22 +149,32 @@ def _head_end(page: str, at: int) -> int:
 
 def _nest_end(page: str, name: str, at: int, outer: frozenset) -> int:
     """Where an element of NESTS ends: after its end tag, or before that of an element of outer, or before a tag that breaks out."""
-    inner, size = [name], len(page)
+    inner, held, size = [], Counter(), len(page)  # open elements with the innermost one of POINTS or NESTS around what is in each
+
+    def push(tag: str) -> None:
+        inner.append((tag, tag if tag in POINTS or tag in NESTS else inner[-1][1] if inner else ""))
+        held[tag] += 1
+
+    def pop() -> str:
+        tag = inner.pop()[0]
+        held[tag] -= 1
+        return tag
+
+    push(name)
     while at < size and (m := _TOKEN.search(page, at)):
         closing, tag, attrs = _tag(m)
-        foreign = next((x for x in reversed(inner) if x in POINTS or x in NESTS), "") in FOREIGN
         if closing:
-            if tag in inner:
-                while inner.pop() != tag:
+            if held[tag]:
+                while pop() != tag:
                     pass
                 if not inner:
                     return m.end()
             elif tag in outer:
                 return m.start()
-        elif foreign and tag in BREAKS:
-            while inner and inner[-1] not in FOREIGN:
-                inner.pop()
-            inner.pop()
+        elif tag in BREAKS and inner[-1][1] in FOREIGN:
+            while inner and inner[-1][0] not in FOREIGN:
+                pop()
+            pop()
             if not inner:
                 return m.start()
             continue
@@ -167,22 +182,25 @@ def _nest_end(page: str, name: str, at: int, outer: frozenset) -> int:
             if tag in RAW and tag not in NESTS and tag not in POINTS and tag != "head":
                 at = _raw_end(page, tag, m.end())
                 continue
-            inner.append(tag)
+            push(tag)
         at = m.end()
     return size
 
 
 class _Open:
-    """The stack of open elements, with the places of each tag in it."""
+    """The stack of open elements, with the places of each tag in it, and all that were opened. Those in quiet have no words."""
 
-    def __init__(self):
+    def __init__(self, quiet: frozenset[int] = frozenset()):
         self.nodes: list[Node] = []
+        self.made: list[Node] = []
+        self.quiet = quiet
         self.at: dict[str, list[int]] = {}
         self.features: dict[str, int] = {}
 
     def push(self, tag: str, words: str) -> None:
         self.at.setdefault(tag, []).append(len(self.nodes))
-        self.nodes.append(Node(tag, words, self.nodes[-1] if self.nodes else None, self.features))
+        self.nodes.append(Node(tag, "" if len(self.made) in self.quiet else words, self.nodes[-1] if self.nodes else None, self.features))
+        self.made.append(self.nodes[-1])
 
     def close(self, to: int) -> None:
         while len(self.nodes) > to:
@@ -197,9 +215,40 @@ class _Open:
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page with text, in order; white space inside is one space, character references are decoded."""
+    """The leaf blocks of a page with text, in order; white space inside is one space, character references are decoded.
+
+    The names of elements around an article that has most of the page's text say nothing: they are of the page, not of a part of it.
+    """
+    out, made = _blocks(page)
+    around = _around_article(out, made)
+    return _blocks(page, around)[0] if around else out
+
+
+def _around_article(out: list[Block], made: list[Node]) -> frozenset[int]:
+    """The places in made of elements with names around the largest article (or main, without any), if it has over half of the text."""
+    place = {id(node): i for i, node in enumerate(made)}
+    size = [0] * len(made)
+    for b in out:
+        if b.node is not None:
+            size[place[id(b.node)]] += len(b.text)
+    for i in range(len(made) - 1, -1, -1):
+        if made[i].parent is not None:
+            size[place[id(made[i].parent)]] += size[i]
+    best = max((i for i, node in enumerate(made) if node.tag in ("article", "main")), key=lambda i: (made[i].tag == "article", size[i]), default=None)
+    if best is None or 2 * size[best] <= sum(len(b.text) for b in out):
+        return frozenset()
+    around, node = [], made[best].parent
+    while node is not None:
+        if node.words:
+            around.append(place[id(node)])
+        node = node.parent
+    return frozenset(around)
+
+
+def _blocks(page: str, quiet: frozenset[int] = frozenset()) -> tuple[list[Block], list[Node]]:
+    """The blocks of a page, and all its block elements in order; of those whose places are in quiet, without their names."""
     out: list[Block] = []
-    opened = _Open()
+    opened, headed = _Open(quiet), False
     parts: list[str] = []
     link, at, size = False, 0, len(page)
     linked = 0
@@ -232,9 +281,11 @@ def blocks(page: str) -> list[Block]:
             if m[0].startswith("<![CDATA["):
                 parts.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
+        if name == "head" and not closing and headed:  # a second one is no element
+            continue
         if name in RAW:
             if not closing and not attrs.endswith("/"):
-                begin = at
+                begin, headed = at, headed or name == "head"
                 at = _head_end(page, at) if name == "head" else _nest_end(page, name, at, frozenset(t for t, own in opened.at.items() if own)) if name in NESTS else _raw_end(page, name, at)
                 if name == "math" and page[begin:at].endswith(">") and page.rfind("</", begin, at) >= 0 and page[page.rfind("</", begin, at) + 2 : at].lower().startswith("math"):
                     parts.append(_NOTES.sub("", page[begin:at]))  # a formula is part of its block
@@ -262,7 +313,7 @@ def blocks(page: str) -> list[Block]:
                     words = f"{words} hidden" if words else "hidden"
             opened.push(name, words)
     flush()
-    return out
+    return out, opened.made
 
 
 def text_features(b: Block) -> list[str]:

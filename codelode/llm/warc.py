@@ -26,7 +26,7 @@ from codelode.llm._common import shared_dir, slabs
 ROLL_BYTES = 16 << 20
 _MAGIC = b"\x1f\x8b\x08"
 _FEED = 1 << 15
-_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_VERSION, _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n"), re.compile(rb"\nWARC/1\.[01]\r\n")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _READ = "record_id string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, archive string, offset long, gap_bytes long, gap_reason string"
@@ -43,7 +43,7 @@ def _uri(page_id: int | None) -> str:
 def _page(uri: str | None) -> int | None:
     """The page_id in a record id of this writer; null for other ids."""
     tail = (uri or "").strip("<>").removeprefix("urn:codelode:page:")
-    return int(tail) if re.fullmatch("-?[0-9]{1,19}", tail) else None
+    return page if re.fullmatch("-?[0-9]{1,19}", tail) and -1 << 63 <= (page := int(tail)) < 1 << 63 else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False) -> bytes:
@@ -70,7 +70,8 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     """The checked record at a position of uncompressed data, and where it ends."""
     if not _VERSION.match(data, at):
         raise Damaged("no version line")
-    split = data.find(b"\r\n\r\n", at)
+    following = _VERSION_LINE.search(data, at)  # headers end before it: lines that only look like versions are left at the next
+    split = data.find(b"\r\n\r\n", at, following.start() + 1 if following else len(data))
     if split < 0:
         raise Damaged("no end of headers")
     head = {}
@@ -80,8 +81,11 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
             raise Damaged("bad header line")
         head[name.strip().lower().decode("latin1")] = value.strip().decode("utf-8", "replace")
     size = head.get("content-length", "")
-    if not size.isdecimal():
+    if not re.fullmatch("[0-9]+", size):
         raise Damaged("no Content-Length")
+    size = size.lstrip("0") or "0"
+    if len(size) > 18:
+        raise Damaged("Content-Length does not fit")
     begin, end = split + 4, split + 4 + int(size)
     block = data[begin:end]
     if len(block) < int(size) or data[end : end + 4] != b"\r\n\r\n":

@@ -146,3 +146,8 @@ def page(limit: int | None, offset: int | None, default: int, most: int) -> tupl
     """Limit and offset within bounds: a missing or bad limit is the default, a large one the most allowed."""
     limit = default if limit is None or limit < 1 else min(limit, most)
     return limit, max(offset or 0, 0)
+
+
+def has_bytes(column: Column) -> Column:
+    """Whether a binary column (a credential, say) is there and not empty, without reading what it holds into a result."""
+    return F.coalesce(F.octet_length(column) > 0, F.lit(False))

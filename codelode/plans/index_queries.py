@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from codelode.operators import ranges, resolve, snapshots, tables
+from codelode.functions import json as J
+from codelode.operators import commit_ingest, ranges, resolve, snapshots, tables
+from codelode.operators.constraints import Check, Reference, Unique, violations
 from codelode.plans.registry import query
 
 
@@ -178,3 +181,55 @@ def event_sessions(t):
     from codelode.streaming import events as E
 
     return E.sessions(t("events"))
+
+
+_COMMITS = """WITH c AS (SELECT o_orderkey AS commit_hash, o_orderdate AS day, lag(o_orderkey) OVER w AS p1, lag(o_orderkey, 2) OVER w AS p2 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+stored AS (SELECT * FROM c WHERE day < '1999-01-01' AND day >= '1996-01-01'), batch AS (SELECT * FROM c WHERE day >= '1998-01-01'), new AS (SELECT * FROM batch WHERE commit_hash NOT IN (SELECT commit_hash FROM stored))"""
+
+
+def _commits(t):
+    """Orders as commits, whose parents are the two orders before of the customer; what is stored, and a batch that overlaps it."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    parents = F.array_compact(F.array(F.lag("o_orderkey").over(w), F.lag("o_orderkey", 2).over(w)))
+    rows = t("orders").select(F.col("o_orderkey").alias("commit_hash"), F.col("o_orderdate").alias("day"), parents.alias("parent_hashes"))
+    return rows.where("day < '1999-01-01' AND day >= '1996-01-01'"), rows.where("day >= '1998-01-01'")
+
+
+@query(f"{_COMMITS} SELECT commit_hash, (p1 IS NOT NULL)::INT + (p2 IS NOT NULL)::INT AS parents FROM new")
+def commit_ingest_new(t):
+    stored, batch = _commits(t)
+    return commit_ingest.new_commits(batch, stored).select("commit_hash", F.size("parent_hashes").alias("parents"))
+
+
+@query(f"""{_COMMITS}, e AS (SELECT commit_hash, p1 AS parent, 0 AS ordinal FROM new WHERE p1 IS NOT NULL UNION ALL SELECT commit_hash, p2, 1 FROM new WHERE p2 IS NOT NULL)
+SELECT commit_hash, parent, ordinal FROM e WHERE parent IN (SELECT commit_hash FROM stored UNION ALL SELECT commit_hash FROM new)""")
+def commit_ingest_edges(t):
+    stored, batch = _commits(t)
+    return commit_ingest.resolved_edges(commit_ingest.new_commits(batch, stored), stored)
+
+
+@query("""SELECT 'order of a known customer with money' AS "constraint", json_object('v0', o_custkey)::VARCHAR AS value, count(*) AS rows FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_custkey
+UNION ALL SELECT 'one signup a user', json_object('v0', user_id)::VARCHAR, count(*) FROM events WHERE event_type = 'signup' GROUP BY user_id HAVING count(*) > 1
+UNION ALL SELECT 'tax below six in a hundred', NULL, count(*) FROM lineitem WHERE NOT l_tax < 0.06 HAVING count(*) > 0
+UNION ALL SELECT 'line of an order', json_object('v0', l_orderkey)::VARCHAR, count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey
+UNION ALL SELECT 'label of a document', json_object('v0', doc_id)::VARCHAR, count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) GROUP BY doc_id""")
+def constraint_violations(t):
+    declared = [
+        Reference("order of a known customer with money", "orders", "o_custkey", "customer", "c_custkey", "c_acctbal > 0"), Unique("one signup a user", "events", ("user_id",), "event_type = 'signup'"), Check("tax below six in a hundred", "lineitem", "l_tax < 0.06"),
+        Reference("line of an order", "lineitem", "l_orderkey", "orders", "o_orderkey"), Reference("label of a document", "labels", "doc_id", "documents", "doc_id"), Unique("order keys", "orders", ("o_orderkey",)), Check("sizes", "part", "p_size > 0"),
+    ]
+    return violations({n: t(n) for n in ("orders", "customer", "events", "lineitem", "labels", "documents", "part")}, declared)
+
+
+@query("""SELECT event_id, json_merge_patch(props, CASE event_type WHEN 'error' THEN '{"k": null}' WHEN 'view' THEN NULL ELSE json_object('v', json_object('type', event_type, 'user', user_id)) END)::VARCHAR AS props FROM events WHERE event_type <> 'view'
+UNION ALL SELECT event_id, json(props)::VARCHAR FROM events WHERE event_type = 'view'""")
+def json_merge(t):
+    patch = F.when(F.col("event_type") == "error", '{"k": null}').when(F.col("event_type") != "view", F.to_json(F.struct(F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user")).alias("v"))))
+    return t("events").select("event_id", J.merged(F.col("props"), patch).alias("props"))
+
+
+@query("SELECT doc_id, octet_length(encode(coalesce(text, ''))) > 0 AS has_bytes FROM documents")
+def has_bytes(t):
+    from codelode.functions.predicates import has_bytes as given
+
+    return t("documents").select("doc_id", given(F.encode("text", "UTF-8")).alias("has_bytes"))

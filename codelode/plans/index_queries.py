@@ -49,10 +49,11 @@ def snapshot_activate(t):
     return snapshots.activate(rows, newest, F.lit("2002-01-01").cast("timestamp_ntz")).select("snapshot_id", "project_id", "is_active")
 
 
-@query("SELECT o_orderkey AS id, o_custkey AS project_id FROM orders WHERE o_orderkey < 300 UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 300 AND 399")
+@query("SELECT o_orderkey AS id, o_custkey AS project_id FROM orders")
 def idempotent_insert(t):
-    rows = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id"))
-    have, batch = rows.where("id < 300"), rows.where("id BETWEEN 200 AND 399")
+    """What is there are the finished orders; the batch is all orders, twice."""
+    rows = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id"), "o_orderstatus")
+    have, batch = rows.where("o_orderstatus = 'F'").drop("o_orderstatus"), rows.drop("o_orderstatus")
     return have.unionByName(tables.insert_missing(have, batch.unionByName(batch), ["id"]))
 
 

@@ -82,7 +82,7 @@ def raw_chunks_small(t):
 
 @query("SELECT doc_id, sha256(text) AS digest, strlen(text) AS bytes FROM documents")
 def raw_chunks_rejoined(t):
-    parts = engine.raw_chunks(t("documents"), "doc_id", "text").where(F.octet_length("content") <= 7500)
+    parts = engine.raw_chunks(t("documents"), "doc_id", "text")
     joined = parts.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), "").alias("text"))  # the pieces of one file
     return joined.select(F.col("key").alias("doc_id"), F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("bytes"))
 

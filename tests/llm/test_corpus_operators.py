@@ -409,8 +409,8 @@ def test_query_matches_oracle(spark, data, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_pipeline(spark, tmp_path):

@@ -7,7 +7,8 @@ two blocks hold or one block marked, and answers each block with one bit a value
 
 Windows so found are confirmed on their words: each block sends with each such value a BLAKE2 digest of the window's words (joined
 by a space) to buckets in the same way, and a window is repeated only if both are. So a collision of Rabin-Karp hashes costs time,
-never a word. The block merges the repeated windows into maximal intervals and removes them. Text is shuffled once, hashes once.
+never a word. The block merges the repeated windows into maximal intervals and removes them. Text is shuffled once, hashes once. Rows equal
+in id and text are one row with their number, counted before the shuffle, so many copies are no hot block.
 """
 
 from __future__ import annotations
@@ -19,11 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm._common import parts, slabs, text_bytes
+from codelode.llm._common import parts, slabs, text_bytes, written
 from codelode.llm._tokens import Words, windows, words
 
 WINDOW = 35
 BLOCK_BYTES, BUCKET_BYTES, LEAST_BLOCKS = 6 << 20, 12 << 20, 24
+AT_ONCE = 1 << 12
+
+
+def _marks(slab: pa.RecordBatch, w: Words, at: np.ndarray) -> np.ndarray:
+    """Which windows are of a text that stands for several equal rows: they are repeated for certain."""
+    return (slab.column("copies").to_numpy() > 1)[w.doc[at]]
 
 
 def _block_hashes(group: pa.Table, size: int, bits: int = 64) -> tuple[list, np.ndarray]:
@@ -120,11 +127,15 @@ def _answers(said: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dedup(blocks: DataFrame, size: int, buckets: int, digest: bool, hash_bits: int) -> DataFrame:
-    """blocks (doc_id, text, block) to doc_id, n_words, n_removed and kept words, or their digest."""
+    """blocks (doc_id, text, copies, block) to doc_id, n_words, n_removed, kept words or their digest, and copies."""
 
     def hashed(key, group):
-        values, n = np.unique(_block_hashes(group, size, hash_bits)[1], return_counts=True)
-        return _rows(1, key[0].as_py(), values, None, n > 1, buckets)
+        held, h = _block_hashes(group, size, hash_bits)
+        values, n = np.unique(h, return_counts=True)
+        many = n > 1
+        mark = np.concatenate([_marks(*x) for x in held] or [np.zeros(0, bool)])
+        many[np.searchsorted(values, h[mark])] = True
+        return _rows(1, key[0].as_py(), values, None, many, buckets)
 
     def found(texts, said):
         """The block's slabs, and of each its windows that the first count found, with the index of their values among those found."""
@@ -151,8 +162,10 @@ def _dedup(blocks: DataFrame, size: int, buckets: int, digest: bool, hash_bits:
 
     def proved(key, left, right):
         values, held = found(left, right)
-        v, d, n, _ = told_apart(held)
-        return _rows(2, key[0].as_py(), values[v], d, n > 1, buckets)
+        v, d, n, back = told_apart(held)
+        many = n > 1
+        many[back[np.concatenate([_marks(*x[:3]) for x in held] or [np.zeros(0, bool)])]] = True
+        return _rows(2, key[0].as_py(), values[v], d, many, buckets)
 
     def removed(key, left, right):
         values, held = found(left, right)
@@ -167,7 +180,7 @@ def _dedup(blocks: DataFrame, size: int, buckets: int, digest: bool, hash_bits:
             for hit, (*_, v) in zip(hits, held):
                 hit[several[v]] = own[used : used + several[v].sum()]
                 used += several[v].sum()
-        ids, n_words, n_removed, kept = [], [], [], []
+        ids, n_words, n_removed, kept, copies = [], [], [], [], []
         for (slab, w, at, _), repeated in zip(held, hits):
             hit = at[repeated]
             cover = np.zeros(len(w.start) + 1, np.int64)
@@ -186,25 +199,47 @@ def _dedup(blocks: DataFrame, size: int, buckets: int, digest: bool, hash_bits:
                 n_removed.append(k)
             ids += slab.column("doc_id").to_pylist()
             n_words += w.count.tolist()
-        return pa.table([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            copies += slab.column("copies").to_pylist()
+        return pa.table([*(pa.array(x, pa.int64()) for x in (ids, n_words, n_removed)), pa.array(kept, pa.string()), pa.array(copies, pa.int64())], names=["doc_id", "n_words", "n_removed", "kept", "copies"])
 
     by_block = blocks.groupBy("block")
     said = by_block.applyInArrow(hashed, _SENT).groupBy("level", "bucket").applyInArrow(counted, _SAID)
     proof = by_block.cogroup(said.groupBy("block")).applyInArrow(proved, _SENT)
     agreed = proof.groupBy("level", "bucket").applyInArrow(counted, _SAID)
-    return by_block.cogroup(said.unionByName(agreed).groupBy("block")).applyInArrow(removed, "doc_id long, n_words long, n_removed long, kept string")
+    return by_block.cogroup(said.unionByName(agreed).groupBy("block")).applyInArrow(removed, "doc_id long, n_words long, n_removed long, kept string, copies long")
+
+
+def once(base: DataFrame) -> DataFrame:
+    """doc_id, text and copies: one row for all rows that are equal in both, which Spark counts before they are shuffled.
+
+    Only rows that share a 64-bit hash with another are grouped, by id and text themselves. The table of those hashes is written, so
+    that Spark knows its size when it chooses how to join.
+    """
+    rows = base.withColumn("same", F.xxhash64("doc_id", "text"))
+    twice = written(rows.groupBy("same").count().where("count > 1").select("same", F.lit(True).alias("again")))
+    split = rows.join(twice, "same", "left")
+    alone = split.where("again is null").select("doc_id", "text", F.lit(1).cast("long").alias("copies"))
+    return alone.unionByName(split.where("again").groupBy("doc_id", "text").agg(F.count("*").alias("copies")))
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """Each row as often as its copies say, in steps of AT_ONCE so that no long array is built."""
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / AT_ONCE))).alias("step")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(AT_ONCE).cast("long"), F.col("copies") - F.col("step") * AT_ONCE))).alias("each")
+    return rows.select("*", step).select("*", each).drop("copies", "step", "each")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digest: bool = False, hash_bits: int = 64) -> DataFrame:
     """Remove every word that a repeated window of `window` words covers, all its occurrences included.
 
     Returns doc_id, n_words, n_removed and kept_text (kept words joined by one space), or with digest=True kept_sha256 in place
-    of kept_text. With fewer hash_bits more windows have to be told apart by their words; the result is the same. Defined cases: null text has no words; texts shorter than a window lose nothing; windows of one text that
-    repeat each other count; rows that repeat a doc_id (null ones too) are separate documents; an empty table gives an empty result; extra
-    columns are ignored.
+    of kept_text. With fewer hash_bits more windows have to be told apart by their words; the result is the same. Defined cases: null
+    text has no words; texts shorter than a window lose nothing; windows of one text that repeat each other count; rows that repeat
+    a doc_id (null ones too) are separate documents; rows equal in id and text are worked on once and returned each; an empty table
+    gives an empty result; extra columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = text_bytes(base, "text")
     blocks = parts(size, BLOCK_BYTES, LEAST_BLOCKS)
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    return _dedup(dealt, window, parts(size, BUCKET_BYTES, LEAST_BLOCKS), digest, hash_bits).withColumnRenamed("kept", "kept_sha256" if digest else "kept_text")
+    dealt = once(base).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    return repeated(_dedup(dealt, window, parts(size, BUCKET_BYTES, LEAST_BLOCKS), digest, hash_bits)).withColumnRenamed("kept", "kept_sha256" if digest else "kept_text")

@@ -37,6 +37,18 @@ def test_hashes_tell_structured_words_apart():
         assert len(set(hs.tolist())) == len({tuple(plain[i : i + size]) for i in at.tolist()})
 
 
+def test_window_dedup_of_a_million_equal_rows(spark):
+    copy = " ".join(f"w{i}" for i in range(100))
+    other = "x " + " ".join(f"w{i}" for i in range(40)) + " y"
+    short = "a b c"
+    rows = [(7, copy, 1_000_000), (1, other, 1), (2, short, 5000), (3, short, 1), (None, None, 3), (4, " ".join(f"z{i}" for i in range(50)), 1)]
+    docs = substring.repeated(spark.createDataFrame(rows, "doc_id long, text string, copies long"))
+    start = time.time()
+    got = {(x["doc_id"], x["n_words"], x["n_removed"], x["kept_text"]): x["count"] for x in substring.remove_repeats(docs).groupBy("doc_id", "n_words", "n_removed", "kept_text").count().collect()}
+    assert time.time() - start < 60
+    assert got == {(7, 100, 100, ""): 1_000_000, (1, 42, 40, "x y"): 1, (2, 3, 0, short): 5000, (3, 3, 0, short): 1, (None, 0, 0, ""): 3, (4, 50, 0, rows[5][1]): 1}
+
+
 def test_window_dedup_of_structured_words_and_null_ids(spark):
     a, b = thue_morse(10)
     r = random.Random(1)

@@ -13,6 +13,9 @@
    share ANSWERS of the item's answer words (given ones, or its rarest words; all of them in items of under SHORT words) must be
    in it, and the longest common subsequence must cover a share LCS of the item, which insertions, deletions and exchanged words
    leave (paraphrases).
+
+Texts are searched in pieces with an overlap of the widest window, so that memory does not grow with a text's length times the
+number of items; the result is that of whole texts.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ ITEM_BYTES = 16 << 20  # of a benchmark's texts that are searched for in one pas
 MARGIN = 0.25  # of an item's length, for words put in
 _ROWS = 256  # buckets a row of summed matrices
 _SLAB = 1 << 19
+PIECE = 4096  # blocks of a slab that are searched at a time
 _TURNS = 16
 
 
@@ -133,6 +137,38 @@ def cells(v: np.ndarray, each: int = CELL, rounds: int = 6) -> tuple[np.ndarray,
     return centers, [np.flatnonzero(own == c) for c in range(k)]
 
 
+@dataclass
+class Piece:
+    """Blocks of a slab that are searched together: passages start in [low, high), the blocks around belong to windows of theirs."""
+
+    hash: np.ndarray
+    first: np.ndarray  # word of each block
+    doc: np.ndarray  # text of each block, as numbered in the slab
+    doc_block: np.ndarray  # first block of each text, counted from the piece's first
+    block_of_word: np.ndarray
+    low: int
+    high: int
+    sums: np.ndarray  # latent vectors of one block, later of as many as the passages in turn have
+
+
+def pieces(w: Hashed, latent: np.ndarray, before: int, after: int) -> Iterator[Piece]:
+    """A slab in pieces of PIECE blocks (or twice what is beside, if more), each with so many blocks before and after it."""
+    first, doc, doc_block = blocks_of(w)
+    n, length = len(first), max(PIECE, 2 * (before + after))
+    edge = np.append(first, len(w.hash))
+    for low in range(0, n, length):
+        high = min(low + length, n)
+        a, b = max(low - before, 0), min(high + after, n)
+        h, own = w.hash[edge[a] : edge[b]], first[a:b] - edge[a]
+        block_of_word = np.repeat(np.arange(b - a), np.diff(edge[a : b + 1]))
+        slot = np.full((b - a, BLOCK), BUCKETS)  # a row of zeros fills up short blocks
+        slot[block_of_word, np.arange(len(h)) - own[block_of_word]] = bucket_of(h)
+        sums = latent[slot[:, 0]]
+        for i in range(1, BLOCK):
+            sums += latent[slot[:, i]]
+        yield Piece(h, own, doc[a:b], doc_block - a, block_of_word, low - a, high - a, sums)
+
+
 @dataclass
 class Items:
     """The items of one passage size (in blocks), ready to be searched for."""
@@ -200,12 +236,13 @@ def prepare(items: pa.Table, latent: np.ndarray, idf: np.ndarray) -> list[Items]
     return out
 
 
-def search(items: Items, ready: tuple, h: np.ndarray, sums: np.ndarray, blocks: tuple, block_of_word: np.ndarray, share: float) -> Iterator[tuple[int, int, float, float]]:
-    """(text of the slab, item_id, lcs, cosine) of every passage in which an item is found."""
-    first, doc, doc_block = blocks
+def search(items: Items, ready: tuple, piece: Piece, share: float, done: set[tuple[int, int]]) -> Iterator[tuple[int, int, float, float]]:
+    """(text of the slab, item_id, lcs, cosine) of every passage that starts in the piece and in which an item is found."""
+    h, sums, first, doc, block_of_word = piece.hash, piece.sums, piece.first, piece.doc, piece.block_of_word
     n = len(first)
-    start = np.flatnonzero((np.arange(n) - doc_block[doc]) % step_of(items.size) == 0)
-    low, high = doc_block[doc[start]], doc_block[doc[start] + 1]
+    start = np.arange(piece.low, piece.high)
+    start = start[(start - piece.doc_block[doc[start]]) % step_of(items.size) == 0]
+    low, high = np.maximum(piece.doc_block[doc[start]], 0), np.minimum(piece.doc_block[doc[start] + 1], n)
     end = np.minimum(start + items.size, high)
     x = sums[start]
     x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-30)
@@ -222,7 +259,6 @@ def search(items: Items, ready: tuple, h: np.ndarray, sums: np.ndarray, blocks:
     edge = np.searchsorted(which, np.arange(len(items.name) + 1))
     widest = (items.size + 2 * int(items.side.max())) * BLOCK  # words of a window: differences of counts hold modulo more than that
     small = np.uint8 if widest < 1 << 8 else np.uint16 if widest < 1 << 16 else np.uint32
-    done = set()
     for members, parts in items.close(x):
         n_hits = np.diff(edge)[members]
         own = np.arange(n_hits.sum()) - np.repeat(np.cumsum(n_hits) - n_hits, n_hits) + np.repeat(edge[:-1][members], n_hits)
@@ -354,28 +390,23 @@ def _finder(shared, share: float):
         latent, every = shared.value
         latent = np.concatenate([latent, np.zeros((1, latent.shape[1]), np.float32)])
         ready = [items.answers() for items in every]
+        before = max((int(items.side.max()) for items in every), default=0)
+        after = max((items.size + int(items.side.max()) for items in every), default=0)
         for slab in slabs(batches, "hashes", _SLAB):
             w = unpack(slab.column("hashes"))
-            h = w.hash
-            if not len(h):
+            if not len(w.hash):
                 continue
-            blocks = first, _, _ = blocks_of(w)
-            n = len(first)
-            block_of_word = np.repeat(np.arange(n), np.diff(np.append(first, len(h))))
-            slot = np.full((n, BLOCK), BUCKETS)  # a row of zeros fills up short blocks
-            slot[block_of_word, np.arange(len(h)) - first[block_of_word]] = bucket_of(h)
-            sums = latent[slot[:, 0]]
-            for i in range(1, BLOCK):
-                sums += latent[slot[:, i]]
             best: dict[tuple[int, int], tuple[float, float]] = {}
-            size = 1
-            for items, own in zip(every, ready):
-                while size < items.size:  # the sums of size blocks from each, up to the end of the text
-                    more = sums[size:] * (blocks[1][size:] == blocks[1][:-size])[:, None]
-                    sums[: len(more)] += more
-                    size *= 2
-                for doc, name, part, cosine in search(items, own, h, sums, blocks, block_of_word, share):
-                    best[doc, name] = max(best.get((doc, name), (part, cosine)), (part, cosine))
+            done: list[set] = [set() for _ in every]
+            for piece in pieces(w, latent, before, after):
+                size, sums, doc = 1, piece.sums, piece.doc
+                for items, own, found in zip(every, ready, done):
+                    while size < items.size:  # the sums of size blocks from each, up to the end of the text
+                        more = sums[size:] * (doc[size:] == doc[:-size])[:, None]
+                        sums[: len(more)] += more
+                        size *= 2
+                    for row, name, part, cosine in search(items, own, piece, share, found):
+                        best[row, name] = max(best.get((row, name), (part, cosine)), (part, cosine))
             ids = slab.column("doc_id")
             yield pa.record_batch([ids.take(pa.array([d for d, _ in best], pa.int64())), pa.array([i for _, i in best], pa.int64()), pa.array([c for _, c in best.values()], pa.float64()), pa.array([s for s, _ in best.values()], pa.float64())], names=["doc_id", "item_id", "cosine", "lcs"])
 

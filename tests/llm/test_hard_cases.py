@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -105,6 +106,50 @@ def test_chance_of_a_lost_link():
         assert lost <= near_dup.LOST <= 2e-6 and 2 * chunks > within
 
 
+def finder(items: list[str], texts: list[str]):
+    """decontaminate's search of a slab, without Spark: batch of hashes to {(doc_id, item_id): (cosine, lcs)}, and the batch of texts."""
+    latent = np.random.default_rng(2).standard_normal((decontaminate.BUCKETS, 64)).astype(np.float32)
+    asked = pa.table({"item_id": list(range(len(items))), "text": items, "answer": pa.array([None] * len(items), pa.string())})
+    shared = type("Shared", (), {"value": (latent, decontaminate.prepare(asked, latent, np.ones(decontaminate.BUCKETS, np.float32)))})
+    raw = [words(pa.array([t])).hashes().tobytes() for t in texts]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "hashes"])
+
+    def found() -> dict:
+        out = [x for b in decontaminate._finder(shared, decontaminate.LCS)(iter([batch])) for x in b.to_pylist()]
+        return {(x["doc_id"], x["item_id"]): (round(x["cosine"], 5), x["lcs"]) for x in out}
+
+    return found
+
+
+def test_pieces_of_texts_give_what_whole_texts_give(monkeypatch):
+    r = random.Random(9)
+    items = [sentence(r, n, 2000) for n in (4, 12, 20, 45, 70, 150, 400)]
+    texts = []
+    for d in range(60):
+        own = sentence(r, r.choice((0, 1, 9, 200, 3000)), 2000).split()
+        w = [x if r.random() > 0.2 else "other" for x in items[d % len(items)].split()] if d % 4 else []
+        at = r.randrange(len(own) + 1)
+        texts.append(" ".join([*own[:at], *w, *own[at:]]))
+    find, got = finder(items, texts), []
+    for size in (1 << 30, 4096, 7, 1):
+        monkeypatch.setattr(decontaminate, "PIECE", size)
+        got.append(find())
+    assert len(got[0]) > 30 and all(x == got[0] for x in got)
+
+
+def test_memory_of_a_long_text_and_a_thousand_items():
+    r = random.Random(10)
+    items = [sentence(r, 40, 30000) for _ in range(1000)]
+    long = sentence(r, 10000, 30000).split() * 40
+    long[300_000:300_040] = items[3].split()
+    find = finder(items, [" ".join(long)])
+    tracemalloc.start()
+    got = find()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(got) == {(0, 3)} and peak < 250 << 20, peak
+
+
 def test_verbatim_items_of_any_length(spark):
     r = random.Random(4)
     items = [" ".join(f"i{k}x{r.randrange(4000)}" for _ in range(n)) for k, n in enumerate((3, 5, 8, 15, 40, 120, 140, 160, 200, 400, 2000))]

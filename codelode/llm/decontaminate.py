@@ -36,7 +36,7 @@ from codelode.operators.layout import spread
 BUCKETS, RANK, BLOCK, SIZES = 1 << 15, 64, 8, (2, 4, 8)
 FIT_BYTES, FIT_TASKS = 64 << 20, 12
 COSINE, LCS, ANSWERS, N_ANSWERS, SHORT = 0.35, 0.6, 0.25, 8, 8
-CELL, PROBES, AT_ONCE = 512, 4, 4096
+CELL, PROBES, AT_ONCE = 512, 4, 1024
 ITEM_BYTES = 16 << 20  # of a benchmark's texts that are searched for in one pass over the documents
 MARGIN = 0.25  # of an item's length, for words put in
 _ROWS = 256  # buckets a row of summed matrices
@@ -185,13 +185,12 @@ class Items:
     members: list[np.ndarray]
 
     def close(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
-        """Items of one cell, by side, and [(rows of x, which of them are close enough to which of the items)]; x has rows of length 1."""
+        """Items of one cell, and [(rows of x, which of them are close enough to which of the items)]; x has rows of length 1."""
         probes = max(PROBES, 2 * math.isqrt(len(self.members)))
         every = probes >= len(self.members)
         near = None if every else np.concatenate([np.argpartition(-(x[i : i + AT_ONCE] @ self.centers.T), probes - 1, axis=1)[:, :probes] for i in range(0, len(x), AT_ONCE)])
         for c, members in enumerate(self.members):
             own = np.arange(len(x)) if every else np.flatnonzero((near == c).any(1))
-            members = members[np.argsort(self.side[members], kind="stable")]
             for i in range(0, len(members) if len(own) else 0, 2 * CELL):
                 j = members[i : i + 2 * CELL]
                 v, least = self.vector[j].T, self.least[j]
@@ -256,24 +255,16 @@ def search(items: Items, ready: tuple, piece: Piece, share: float, done: set[tup
     which = item[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(x0, many)]
     order = np.argsort(which, kind="stable")
     which, block = which[order], np.repeat(block_of_word[at], many)[order]
-    edge = np.searchsorted(which, np.arange(len(items.name) + 1))
-    widest = (items.size + 2 * int(items.side.max())) * BLOCK  # words of a window: differences of counts hold modulo more than that
-    small = np.uint8 if widest < 1 << 8 else np.uint16 if widest < 1 << 16 else np.uint32
+    place = which * n + block  # in order: the hits of an item, by block
     for members, parts in items.close(x):
-        n_hits = np.diff(edge)[members]
-        own = np.arange(n_hits.sum()) - np.repeat(np.cumsum(n_hits) - n_hits, n_hits) + np.repeat(edge[:-1][members], n_hits)
-        m = len(members)
-        count = np.zeros((n + 1, m), small)  # of answer words in the blocks before
-        hits = np.bincount(np.repeat(np.arange(m), n_hits) * n + block[own], minlength=n * m).astype(small)
-        count[1:] = np.cumsum(hits.reshape(m, n), axis=1, dtype=small).T
-        cut = np.append(np.flatnonzero(np.diff(items.side[members], prepend=-1)), m)
         for rows, mask in parts:
-            for f, t in zip(cut[:-1].tolist(), cut[1:].tolist()):  # items of one side
-                side = items.side[members[f]]
-                a, b = np.maximum(start[rows] - side, low[rows]), np.minimum(end[rows] + side, high[rows])
-                own_count = count[:, f:t]
-                p, q = np.divmod(np.flatnonzero(mask[:, f:t] & (own_count[b] - own_count[a] >= items.need[members[f:t]].astype(small))), t - f)
-                for p, j, a, b in zip(rows[p].tolist(), members[f + q].tolist(), a[p].tolist(), b[p].tolist()):
+            p, q = np.nonzero(mask)
+            if len(p):
+                p, q = rows[p], members[q]
+                a, b = np.maximum(start[p] - items.side[q], low[p]), np.minimum(end[p] + items.side[q], high[p])
+                fine = np.searchsorted(place, q * n + b) - np.searchsorted(place, q * n + a) >= items.need[q]
+                p, q, a, b = p[fine], q[fine], a[fine], b[fine]
+                for p, j, a, b in zip(p.tolist(), q.tolist(), a.tolist(), b.tolist()):
                     pair = (int(doc[start[p]]), j)
                     if pair not in done:
                         near, seq = h[first[a] : first[b] if b < n else len(h)].tolist(), items.words[j]

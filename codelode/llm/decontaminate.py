@@ -33,9 +33,10 @@ from codelode.llm._common import parts, slabs, text_bytes, written
 from codelode.llm._tokens import Words, buffer, distinct, words
 from codelode.operators.layout import spread
 
-BUCKETS, RANK, BLOCK, SIZES = 1 << 15, 64, 8, (2, 4, 8)
+BUCKETS, RANK, BLOCK, SIZES = 1 << 15, 128, 8, (2, 4, 8)
 FIT_BYTES, FIT_TASKS = 64 << 20, 12
-COSINE, LCS, ANSWERS, N_ANSWERS, SHORT = 0.35, 0.6, 0.25, 8, 8
+COSINE, LCS, ANSWERS, N_ANSWERS, SHORT = 0.25, 0.6, 0.25, 8, 8
+NOISE = 1e-3  # of the largest singular value: axes below it are rounding errors of corpora with fewer passages than axes
 CELL, PROBES, AT_ONCE = 512, 4, 1024
 ITEM_BYTES = 16 << 20  # of a benchmark's texts that are searched for in one pass over the documents
 MARGIN = 0.25  # of an item's length, for words put in
@@ -365,8 +366,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = N
     base = written(word_hashes(base))  # words are found once, and three passes read their hashes
     df, n_docs = document_frequencies(base)
     idf = (np.log((n_docs + 1) / (df + 1)) + 0.1).astype(np.float32)
-    u, sv = axes(base.coalesce(parts(size, FIT_BYTES, FIT_TASKS)), idf)  # each task sends a matrix of 8 MB
-    latent = (u * idf[:, None] / np.maximum(sv, 1e-6 * sv.max())).astype(np.float32)
+    u, sv = axes(base.coalesce(parts(size, FIT_BYTES, FIT_TASKS)), idf)  # each task sends a matrix of 16 MB
+    scale = np.where(sv > NOISE * sv.max(), 1 / np.maximum(sv, 1e-30), 0)
+    latent = (u * idf[:, None] * scale).astype(np.float32)
     n_parts, out = parts(asked_size, ITEM_BYTES), None
     for part in range(n_parts):
         items = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == part).orderBy("item_id", "text").toArrow()

@@ -42,6 +42,7 @@ ITEM_BYTES = 16 << 20  # of a benchmark's texts that are searched for in one pas
 MARGIN = 0.25  # of an item's length, for words put in
 _ROWS = 256  # buckets a row of summed matrices
 _SLAB = 1 << 19
+_STRIP = 512
 PIECE = 4096  # blocks of a slab that are searched at a time
 _TURNS = 16
 
@@ -107,6 +108,18 @@ def bucket_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def summed(rows: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """rows[slot[0]] + rows[slot[1]] + ..., in strips that stay in a cache."""
+    out = np.empty((slot.shape[1], rows.shape[1]), rows.dtype)
+    more = np.empty((_STRIP, rows.shape[1]), rows.dtype)
+    for at in range(0, len(out), _STRIP):
+        own = out[at : at + _STRIP]
+        np.take(rows, slot[0, at : at + _STRIP], axis=0, out=own, mode="clip")
+        for x in slot[1:, at : at + _STRIP]:
+            own += np.take(rows, x, axis=0, out=more[: len(own)], mode="clip")
+    return out
+
+
 def sizes_for(longest: int) -> list[int]:
     """Passage sizes in blocks: SIZES, doubled until they cover an item of that many words."""
     sizes = list(SIZES)
@@ -162,12 +175,9 @@ def pieces(w: Hashed, latent: np.ndarray, before: int, after: int) -> Iterator[P
         a, b = max(low - before, 0), min(high + after, n)
         h, own = w.hash[edge[a] : edge[b]], first[a:b] - edge[a]
         block_of_word = np.repeat(np.arange(b - a), np.diff(edge[a : b + 1]))
-        slot = np.full((b - a, BLOCK), BUCKETS)  # a row of zeros fills up short blocks
-        slot[block_of_word, np.arange(len(h)) - own[block_of_word]] = bucket_of(h)
-        sums = latent[slot[:, 0]]
-        for i in range(1, BLOCK):
-            sums += latent[slot[:, i]]
-        yield Piece(h, own, doc[a:b], doc_block - a, block_of_word, low - a, high - a, sums)
+        slot = np.full((BLOCK, b - a), BUCKETS)  # a row of zeros fills up short blocks
+        slot[np.arange(len(h)) - own[block_of_word], block_of_word] = bucket_of(h)
+        yield Piece(h, own, doc[a:b], doc_block - a, block_of_word, low - a, high - a, summed(latent, slot))
 
 
 @dataclass
@@ -316,9 +326,7 @@ def axes(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> t
             passage = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(b))))
             slot = np.full((BLOCK * SIZES[-1], len(first)), BUCKETS)  # a row of zeros fills up short passages
             slot[np.arange(len(b)) - first[passage], passage] = b
-            y = g[slot[0]]  # of each passage: x G
-            for x in slot[1:]:
-                y += g[x]
+            y = summed(g, slot)  # of each passage: x G
             at = passage[np.argsort(b.astype(np.uint16), kind="stable")]  # the passages of each bucket
             n = np.bincount(b, minlength=BUCKETS)
             start = np.cumsum(n) - n
@@ -327,7 +335,7 @@ def axes(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> t
             total = y[at[start]]
             for k in range(1, _TURNS):  # the k-th passage of all buckets that have so many
                 m = int(np.searchsorted(-n, -k))
-                total[:m] += y[at[start[:m] + k]]
+                total[:m] += np.take(y, at[start[:m] + k], axis=0)
             for i in range(int(np.searchsorted(-n, -_TURNS))):
                 total[i] += y[at[start[i] + _TURNS : start[i] + n[i]]].sum(0)
             z[own] += total * idf[own, None]

@@ -1,8 +1,8 @@
-"""Range joins of points with spans by bins: an equi-join, so no pair outside a bin is ever looked at.
+"""Range joins of points with spans by bins: an equi-join in which no pair of a point and a span is ever made.
 
-A span lies on the level whose bins are at least as wide as the span and at most twice, so it crosses two bins at most; a point is
-looked up once on each level that has spans. Long spans thus cost no more rows than short ones, and a bin holds only spans of about
-its own size. Joins are plain equi-joins, which AQE splits where one bin is hot.
+A span is cut into the bins that fill it, each as wide as can be: at most two on a level, whose bins are 2^level wide. What is asked of
+the spans over a bin (the shortest, or whether there is one) is kept a bin, and a place is looked up once a level. Rows thus grow with
+spans, places and levels, however many spans lie over a place. Points of one place are looked up once and share its result.
 """
 
 from __future__ import annotations
@@ -41,30 +41,50 @@ def levels_of(spans: DataFrame, start: str, end: str) -> list[int]:
     return sorted(r["level"] for r in spans.where(s <= e).select(_level(s, e).alias("level")).distinct().collect())
 
 
-def _sides(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str) -> tuple[DataFrame, DataFrame, Column]:
-    """Both sides in bins, and the condition that joins them; the right side's keys are renamed."""
-    right = spans.select(*[F.col(c).alias(f"__{c}") for c in by], F.col(start).alias("__start"), F.col(end).alias("__end"), *[F.col(c).alias(f"__s_{c}") for c in spans.columns if c not in by and c not in (start, end)])
-    right = binned_spans(right, "__start", "__end").withColumnsRenamed({c: f"{c}_s" for c in _HELD})
-    left = binned_points(points, at, levels_of(spans, start, end))
-    on = (F.col("__level") == F.col("__level_s")) & (F.col("__bin") == F.col("__bin_s")) & (F.col("__start") <= F.col(at)) & (F.col(at) <= F.col("__end"))
-    for c in by:
-        on = on & (F.col(c) == F.col(f"__{c}"))
-    return left, right, on
+def filling_bins(spans: DataFrame, start: str, end: str) -> DataFrame:
+    """spans with __level and __bin, a row for each of the bins that fill them without overlap; ones that are empty or lack a bound are left out."""
+    s, e = F.col(start).cast("long"), F.col(end).cast("long")
+    half = lambda x: F.call_function("shiftright", x, F.lit(1)) + x.bitwiseAND(1)  # noqa: E731  rounded up, and no overflow
+
+    def at(level: Column) -> Column:
+        """The bins at both ends that no bin of the next level takes in: an odd first and an even last one."""
+        up = F.greatest(level - 1, F.lit(0))
+        first = F.when(level == 0, s).otherwise(_bin(half(s) - 1, up) + 1)
+        last = F.when(level == 0, e).otherwise(_bin(half(e), up) - 1)
+        ends = F.array(F.when(first.bitwiseAND(1) == 1, first), F.when(last.bitwiseAND(1) == 0, last))
+        return F.transform(F.when(first <= last, F.array_compact(ends)).otherwise(F.array().cast("array<bigint>")), lambda b: F.struct(level.alias("level"), b.alias("bin")))
+
+    rows = spans.where(s <= e)
+    rows = rows.withColumn("__at", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), _level(s, e)), at))))
+    return rows.withColumns({"__level": F.col("__at.level"), "__bin": F.col("__at.bin")}).drop("__at")
+
+
+def _looked_up(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, best: Column, found: Column, name: str) -> DataFrame:
+    """by, at and name of the places of points that lie in spans: best is an aggregate of the spans over a bin, found one of the bins over a place."""
+    bins = filling_bins(spans, start, end).groupBy(*by, *_HELD).agg(best.alias("__best"))
+    places = points.select(*by, at).distinct().dropna()
+    levels = levels_of(spans, start, end)
+    return binned_points(places, at, list(range(max(levels, default=-1) + 1))).join(bins, [*by, *_HELD]).groupBy(*by, at).agg(found.alias(name))
 
 
 def tightest(points: DataFrame, spans: DataFrame, by: list[str], key: str, at: str, start: str, end: str, value: str, order: str) -> DataFrame:
     """points with value of the span (start and end included) around each that is shortest, then first in order; null if none.
 
-    The shortest is kept by a partial aggregate. Rows of points that share a key share a result; points without place, or with a null in
-    by, lie in no span.
+    Points without place, or with a null in by, lie in no span. key names a point; each row has the result of its own place.
     """
-    left, right, on = _sides(points.select(key, *by, at), spans.select(*by, start, end, value, order), by, at, start, end)
-    hits = left.join(right, on).groupBy(key).agg(F.min_by(f"__s_{value}", F.struct(F.col("__end") - F.col("__start"), f"__s_{order}")).alias(value))
-    return points.join(hits, key, "left")
+    length = F.col(end).cast("long") - F.col(start).cast("long")
+    best = F.min(F.struct(length.alias("length"), F.col(order).alias("order"), F.col(value).alias("value")))
+    found = _looked_up(points, spans, by, at, start, end, best, F.min("__best")["value"], value)
+    return points.join(found, [*by, at], "left").select(*points.columns, value)
+
+
+def marked(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, name: str) -> DataFrame:
+    """points with whether each lies in any span, under name; false without place or with a null in by."""
+    found = _looked_up(points, spans, by, at, start, end, F.lit(True), F.lit(True), name)
+    return points.join(found, [*by, at], "left").select(*points.columns, F.coalesce(name, F.lit(False)).alias(name))
 
 
 def inside_any(points: DataFrame, spans: DataFrame, by: list[str], key: str, at: str, start: str, end: str, inside: bool = True) -> DataFrame:
-    """The points that lie in any span, or with inside=False in none; a semi-join in bins, so a point's spans are not enumerated."""
-    left, right, on = _sides(points.select(key, *by, at), spans.select(*by, start, end), by, at, start, end)
-    found = left.join(right, on, "left_semi").select(key).distinct()
-    return points.join(found, key, "left_semi" if inside else "left_anti")
+    """The points that lie in any span, or with inside=False in none."""
+    found = marked(points, spans, by, at, start, end, "__inside")
+    return found.where(F.col("__inside") == inside).drop("__inside")

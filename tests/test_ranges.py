@@ -44,3 +44,26 @@ def test_joins_are_by_bin(sides):
     assert "__bin" in plan and "Cross" not in plan
     levels = ranges.levels_of(s, "first", "last")
     assert len(levels) <= 64 and ranges.binned_spans(s.where("first <= last"), "first", "last").groupBy("id").count().where("count > 2").count() == 0
+
+
+def test_rows_do_not_grow_with_spans_over_a_place(spark):
+    """20,000 spans and as many points of one file, all over each other: 4 * 10^8 pairs, of which none is made."""
+    from tests.plan_rows import most_rows
+
+    n = 20_000
+    spans = spark.range(n).selectExpr("'f' AS file", "-id AS first", "id AS last", "id")
+    points = spark.range(n).selectExpr("id AS ref", "'f' AS file", "id % 5000 AS line")
+    df = ranges.tightest(points, spans.withColumn("nth", spans["id"]), ["file"], "ref", "line", "first", "last", "id", "nth")
+    assert df.where("id = line").count() == n
+    assert most_rows(df) < 60 * n
+    assert ranges.marked(points, spans.where("id < 100"), ["file"], "line", "first", "last", "inside").where("inside").count() == 100 * 4
+
+
+def test_bins_fill_spans(spark):
+    edge = 2**63 - 1
+    spans = [(a, b) for a in range(-9, 10) for b in range(-9, 26)] + [(edge - 5, edge), (-edge - 1, -edge + 5)]
+    rows = ranges.filling_bins(spark.createDataFrame(spans, "a long, b long"), "a", "b").select("a", "b", "__level", "__bin").collect()
+    held = {}
+    for a, b, level, at in rows:
+        held.setdefault((a, b), []).extend(range(at << level, (at + 1) << level))
+    assert {k: sorted(v) for k, v in held.items()} == {(a, b): list(range(a, b + 1)) for a, b in spans if a <= b}

@@ -128,8 +128,7 @@ def symbol_enclosing_range_join(t):
 SELECT r.ref_id, EXISTS (SELECT 1 FROM s WHERE s.file = r.file AND s.kind = 'PROMO' AND r.line BETWEEN s.start_line AND s.end_line) AS inside FROM r""")
 def inside_any_class(t):
     points, classes = _points(t), _spans(t).where("kind = 'PROMO'")
-    split = lambda inside: ranges.inside_any(points, classes, ["file"], "ref_id", "line", "start_line", "end_line", inside).select("ref_id", F.lit(inside).alias("inside"))
-    return split(True).unionByName(split(False))
+    return ranges.marked(points, classes, ["file"], "line", "start_line", "end_line", "inside").select("ref_id", "inside")
 
 
 @query("SELECT o_orderkey AS commit_hash, CASE o_orderstatus WHEN 'F' THEN 'deleted' WHEN 'O' THEN 'added' ELSE 'modified' END AS change_type FROM orders")

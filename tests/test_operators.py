@@ -135,3 +135,44 @@ def test_vectors(spark):
     made = vectors.embed(spark.createDataFrame([("a b a",), ("a a b",), ("",), (None,)], "t string"), "t", 8).collect()
     assert made[0]["embedding"] == made[1]["embedding"] and made[2]["embedding"] == made[3]["embedding"] == [0.0] * 8
     assert abs(sum(x * x for x in made[0]["embedding"]) - 1) < 1e-6
+
+
+def test_p95_on_a_half_rounds_as_quantile_cont(spark):
+    """51.41 and 51.51 around the 95th percentile of 43 values give 51.5 or a little less, as the sum is rounded."""
+    import duckdb
+
+    from codelode.operators import health
+
+    values = [50.0 + i / 100 for i in range(39)] + [51.41, 51.51, 51.6, 51.7]
+    df = spark.createDataFrame([(g, v) for g in (1, 2) for v in values] + [(2, None), (3, None)], "g int, v double")
+    rows = ", ".join(f"({v}::DOUBLE)" for v in values)
+    want = duckdb.sql(f"SELECT round_even(quantile_cont(v, 0.95), 0)::BIGINT FROM (VALUES {rows}) t(v)").fetchall()[0][0]
+    got = sorted(map(tuple, health.p95(df, "v", ["g"]).collect()))
+    assert got == [(1, 43, want), (2, 44, want), (3, 1, 0)]
+    assert health.p95(df.where("false"), "v").collect() == [(0, 0)]
+    halves = spark.createDataFrame([(1, v) for v in (0.5, 1.5, 2.5)], "g int, v double")
+    assert [r["p95_latency_ms"] for r in health.p95(halves.where("v < 1"), "v", ["g"]).collect()] == [0]
+
+
+def test_top_k_batch_gives_k_rows_a_task(spark, monkeypatch):
+    """Merged over small slices, with ties across them, it is the exact answer, and a task's rows do not grow with its vectors."""
+    import numpy as np
+
+    from codelode.operators import vectors
+    from tests.plan_rows import most_rows
+
+    x = np.random.default_rng(4).integers(-1, 2, (5000, 4)).astype(float)  # 81 different ones: ties everywhere
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(2)
+    queries = rows.where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding")
+    got = vectors.top_k_batch(rows, queries, 7)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    want = {}
+    for q in range(0, 5000, 100):
+        score = np.where(np.linalg.norm(x, axis=1) > 0, np.round(unit @ unit[q], 6), -2)
+        want[q] = [(int(i), float(score[i])) for i in np.lexsort((np.arange(5000), -score))[:7]]
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert found == {q: [(i, round(s, 6) + 0.0) for i, s in v] for q, v in want.items()}
+    sent = vectors.top_k_batch(rows, queries, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in sent and most_rows(got) <= 5000

@@ -30,12 +30,33 @@ def top_k(vectors: DataFrame, query: list[float], k: int, vector: str = "embeddi
     return rows.withColumn("score", F.round(cosine(F.col(vector), q), 6)).orderBy(F.desc_nulls_last("score"), key).limit(k)
 
 
+#: Vectors and queries compared at a time in a task: some 30 MB, whatever the Arrow batches hold.
+ROWS, ASKED = 1024, 512
+
+
+def _merged(have: tuple | None, score: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, pa.Array]:
+    """The best k scores a query (a row) and their ids, of those had so far and new ones; ties go to the lower id."""
+    if score.shape[1] > k:  # with all that are as near as the last
+        least = np.partition(score, -k, axis=1)[:, -k, None]
+        wanted = score >= (least if have is None else np.maximum(least, have[0].min(1, keepdims=True) if have[0].shape[1] == k else -2))
+        used = np.flatnonzero(wanted.any(0))
+        score, ids = score[:, used], ids.take(pa.array(used))
+    place = np.broadcast_to(np.arange(len(ids)), score.shape)
+    if have is not None:
+        score, place = np.concatenate([have[0], score], 1), np.concatenate([np.arange(have[0].size).reshape(have[0].shape), place + have[0].size], 1)
+        ids = pa.concat_arrays([have[1], ids])
+    own = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
+    best = np.lexsort((own[place], -score), axis=1)[:, :k]
+    return np.take_along_axis(score, best, 1), ids.take(pa.array(np.take_along_axis(place, best, 1).ravel()))
+
+
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", block: int = 2000) -> DataFrame:
     """query_id, key, score and rank: the k vectors most similar to each of a stated set of queries (query_id, vector).
 
     Exact: every vector is compared with every query by matrix products. Queries go to the driver in blocks of at most `block`,
-    whose size bounds what is broadcast; each Arrow batch of vectors gives at most k rows a query, which are then merged. Ties go
-    to the lower key. Vectors of another length than the queries, or of length zero, are no candidates.
+    whose size bounds what is broadcast; a task compares ROWS vectors with ASKED queries at a time and keeps k a query, so it gives k
+    rows a query however many vectors it reads; these are then merged. Ties go to the lower key. Vectors of another length than the
+    queries, or of length zero, are no candidates.
     """
     spark = vectors.sparkSession
     asked = queries.select(F.col("query_id").cast("long"), F.col(vector)).where(F.col(vector).isNotNull())
@@ -49,17 +70,24 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "e
 
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            for batch in batches:
-                fit = batch.filter(pc.equal(pc.list_value_length(batch.column("v")), q.shape[1]))
-                if not len(fit):
-                    continue
-                x = fit.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1]).astype(np.float64)
-                norm, own = np.linalg.norm(x, axis=1), pc.rank(fit.column("id"), tiebreaker="first").to_numpy()
-                score = np.where(norm > 0, np.round(q @ x.T / np.maximum(norm, 1e-300), 6), -2)
-                best = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-                at = np.take_along_axis(score, best, 1)
-                ok = at.ravel() > -2
-                yield pa.record_batch([pa.array(np.repeat(ids, best.shape[1])[ok]), fit.column("id").take(pa.array(best.ravel()[ok])), pa.array(at.ravel()[ok])], names=["query_id", "id", "score"])
+            cuts = range(0, len(ids), ASKED)
+            best: list[tuple | None] = [None] * len(cuts)
+            for whole in batches:
+                for at in range(0, len(whole), ROWS):
+                    batch = whole.slice(at, ROWS)
+                    fit = batch.filter(pc.equal(pc.list_value_length(batch.column("v")), q.shape[1]))
+                    if not len(fit):
+                        continue
+                    x = fit.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1]).astype(np.float64)
+                    norm = np.linalg.norm(x, axis=1)
+                    for i, cut in enumerate(cuts):
+                        score = np.where(norm > 0, np.round(q[cut : cut + ASKED] @ x.T / np.maximum(norm, 1e-300), 6), -2)
+                        best[i] = _merged(best[i], score, fit.column("id"), k)
+            for cut, have in zip(cuts, best):
+                if have is not None:
+                    score, found = have
+                    ok = score.ravel() > -2
+                    yield pa.record_batch([pa.array(np.repeat(ids[cut : cut + ASKED], score.shape[1])[ok]), found.filter(pa.array(ok)), pa.array(score.ravel()[ok])], names=["query_id", "id", "score"])
 
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
         return rows.mapInArrow(f, f"query_id long, id {kind}, score double").withColumn("rank", place).where(F.col("rank") <= k)

@@ -75,7 +75,7 @@ def vector_index_recall(t):
     index, total = _indexed(t), t("embeddings").count()
     near = vectors.top_k_batch(t("embeddings"), _asked(t), 10)
     found = near.join(index.search(_asked(t), 10).select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left").agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") >= 0.95 * F.count("*")).alias("recalled"))
-    most = index.candidates(_asked(t), 80).groupBy("query_id").count().agg((F.max("count") < total / 5).alias("few_compared"))
+    most = index.candidates(_asked(t), index.refine(10)).groupBy("query_id").count().agg((F.max("count") < total / 5).alias("few_compared"))
     return found.join(most)  # a row each
 
 

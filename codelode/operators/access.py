@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions.text import key_role, role_rank
+from codelode.operators.fanout import every_pair
 
 
 def key_access(keys: DataFrame, members: DataFrame, as_of: Column) -> DataFrame:
@@ -18,9 +19,10 @@ def key_access(keys: DataFrame, members: DataFrame, as_of: Column) -> DataFrame:
     live = keys.where(F.col("is_active") & (F.col("expires_at").isNull() | (F.col("expires_at") > as_of)) & (role_rank(F.col("role"), "key") > 0))
     own = live.where("key_type = 'project'").select("api_key_id", "project_id", F.col("role").alias("effective_role"))
     by_member = live.where("key_type = 'personal'").select("api_key_id", "created_by", F.col("role").alias("key_role"))
-    rank = F.least(role_rank(F.col("key_role"), "key"), role_rank(key_role(F.col("role")), "key"))
-    personal = by_member.join(members, F.col("created_by") == F.col("user_id")).where(rank > 0)
-    return own.unionByName(personal.select("api_key_id", "project_id", F.when(rank == 2, "write").otherwise("read").alias("effective_role")))
+    given = members.select(F.col("user_id").alias("created_by"), "project_id", role_rank(key_role(F.col("role")), "key").alias("given")).where("given > 0")
+    held = by_member.select("created_by", "api_key_id", role_rank(F.col("key_role"), "key").alias("held"))
+    personal = every_pair(held, given, ["created_by"])  # an owner's keys and memberships may both be many
+    return own.unionByName(personal.select("api_key_id", "project_id", F.when(F.least("held", "given") == 2, "write").otherwise("read").alias("effective_role")))
 
 
 def effective_role(is_admin: Column, member_role: Column) -> Column:

@@ -34,7 +34,7 @@ def top_k(vectors: DataFrame, query: list[float], k: int, vector: str = "embeddi
 ROWS, ASKED = 1024, 512
 
 
-def _merged(have: tuple | None, score: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, pa.Array]:
+def merged(have: tuple | None, score: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, pa.Array]:
     """The best k scores a query (a row) and their ids, of those had so far and new ones; ties go to the lower id."""
     if score.shape[1] > k:  # with all that are as near as the last
         least = np.partition(score, -k, axis=1)[:, -k, None]
@@ -82,7 +82,7 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "e
                     norm = np.linalg.norm(x, axis=1)
                     for i, cut in enumerate(cuts):
                         score = np.where(norm > 0, np.round(q[cut : cut + ASKED] @ x.T / np.maximum(norm, 1e-300), 6), -2)
-                        best[i] = _merged(best[i], score, fit.column("id"), k)
+                        best[i] = merged(best[i], score, fit.column("id"), k)
             for cut, have in zip(cuts, best):
                 if have is not None:
                     score, found = have

@@ -98,7 +98,7 @@ def _pages(t):
 
 @query("SELECT 'site/p' || page_id || '.html' AS file, sha256(regexp_replace(html, '\\r\\n?', chr(10), 'g')) AS chunk_hash, 'module_context' AS chunk_type, 1 AS start_line FROM pages WHERE html <> ''")
 def page_chunks(t):
-    return engine.explode(engine.parse(_pages(t)), "chunks").select("file", "chunk_hash", "chunk_type", "start_line")
+    return engine.extract(_pages(t), "chunks").select("file", "chunk_hash", "chunk_type", "start_line")
 
 
 @query("SELECT 'site/p' || page_id || '.html' AS file_path, 'html' AS language, sha256(html) AS file_hash, strlen(html) AS size_bytes FROM pages")
@@ -108,7 +108,7 @@ def file_meta(t):
 
 #: A source file made of a document's words, so that parsing has something to find.
 def _code(t):
-    w = F.split(F.regexp_replace(F.lower("text"), "[^a-z ]+", " "), " +")
+    w = F.split(F.regexp_replace(F.lower("text"), "[^a-z ]+", " "), " +", 8)  # words 0 to 6, and the rest as one
     word = lambda i: F.concat(F.lit("n"), F.coalesce(F.get(w, F.lit(i)), F.lit("x")))
     body = F.concat(
         F.lit("import os\nfrom . import util\nfrom ..models import "), word(1), F.lit("\nimport requests\n\n\ndef "), word(2), F.lit("(a):\n    # "), word(3), F.lit("\n    return requests.get('/api/"), word(4), F.lit("')\n\n\nclass C"), word(5),
@@ -123,27 +123,27 @@ _CODE = "SELECT doc_id, 'pkg/sub/m' || doc_id || '.py' AS file, " + ", ".join(f"
 
 @query(f"""SELECT file, import_name, import_type, target_file_path FROM ({_CODE}), (VALUES ('os', 'STDLIB', ''), ('.util', 'INTERNAL', 'pkg/sub/util'), ('..models', 'INTERNAL', 'pkg/models'), ('requests', 'EXTERNAL', '')) v(import_name, import_type, target_file_path)""")
 def import_extract(t):
-    return engine.explode(engine.parse(_code(t)), "imports").select("file", "import_name", "import_type", "target_file_path")
+    return engine.extract(_code(t), "imports").select("file", "import_name", "import_type", "target_file_path")
 
 
 @query(f"SELECT file, w2 AS name, 'function' AS kind, 7 AS start_line, 9 AS end_line FROM ({_CODE}) UNION ALL SELECT file, 'C' || w5, 'class', 12, 14 FROM ({_CODE}) UNION ALL SELECT file, '_' || w6, 'method', 13, 14 FROM ({_CODE})")
 def symbol_extract(t):
-    return engine.explode(engine.parse(_code(t)), "symbols").select("file", "name", "kind", "start_line", "end_line")
+    return engine.extract(_code(t), "symbols").select("file", "name", "kind", "start_line", "end_line")
 
 
 @query(f"SELECT file, w2 AS exported_name, 'NAMED' AS export_kind, 7 AS line FROM ({_CODE}) UNION ALL SELECT file, 'C' || w5, 'NAMED', 12 FROM ({_CODE})")
 def export_extract(t):
-    return engine.explode(engine.parse(_code(t)), "exports").select("file", "exported_name", "export_kind", "line")
+    return engine.extract(_code(t), "exports").select("file", "exported_name", "export_kind", "line")
 
 
 @query(f"SELECT file, 'GET' AS method, '/api/' || w4 AS url_literal, true AS is_relative, 'HIGH' AS confidence FROM ({_CODE})")
 def network_calls(t):
-    return engine.explode(engine.parse(_code(t)), "network_calls").select("file", "method", "url_literal", "is_relative", "confidence")
+    return engine.extract(_code(t), "network_calls").select("file", "method", "url_literal", "is_relative", "confidence")
 
 
 @query(f"SELECT file, w2 AS target_name, 'LOCAL' AS resolution_scope, 'HIGH' AS confidence FROM ({_CODE})")
 def scope_confidence(t):
-    refs = engine.explode(engine.parse(_code(t)), "references").where("reference_kind = 'CALL' AND qualified_target_hint = ''")
+    refs = engine.extract(_code(t), "references").where("reference_kind = 'CALL' AND qualified_target_hint = ''")
     return refs.select("file", "target_name", "resolution_scope", "confidence")
 
 
@@ -154,7 +154,7 @@ def file_facts(t):
 
 @query(f"SELECT file, 'function' AS chunk_type, 7 AS start_line, 9 AS end_line, 'api_surface' AS semantic_role FROM ({_CODE}) UNION ALL SELECT file, 'class', 12, 14, 'api_surface' FROM ({_CODE}) UNION ALL SELECT file, 'module_context', 1, 6, 'implementation' FROM ({_CODE})")
 def symbol_chunks(t):
-    return engine.explode(engine.parse(_code(t)), "chunks").select("file", "chunk_type", "start_line", "end_line", "semantic_role")
+    return engine.extract(_code(t), "chunks").select("file", "chunk_type", "start_line", "end_line", "semantic_role")
 
 
 @query("""WITH l AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) = count(DISTINCT turn))),

@@ -114,3 +114,19 @@ def test_parse_is_the_same_under_any_partitioning(spark):
     tables = ("symbols", "imports", "references", "chunks")
     got = [{t: sorted(map(str, explode(parse(files.repartition(k)), t).collect())) for t in tables} for k in (1, 4)]
     assert got[0] == got[1] and all(got[0].values())
+
+
+def test_extract_gives_what_parse_gives_and_runs_no_more(spark, monkeypatch):
+    from codelode.parse import engine
+
+    code = "import os\nimport requests\n\n\ndef f(a):\n    return requests.get('/x')\n\n\nclass C:\n    def m(self):\n        return f(self)\n"
+    files = spark.createDataFrame([("a.py", code), ("b.ts", "import React from 'react'\nexport function g() { return fetch('/y') }\n"), ("c.tsx", "export const A = () => <B x={1} />\n"), ("d.md", "# t\n\ntext\n"), ("e.zzz", "?"), ("f.py", None)], "file_path string, content string")
+    parsed = engine.parse(files).persist()
+    for table in engine.MADE_FROM:
+        assert sorted(map(str, engine.extract(files, table).collect())) == sorted(map(str, engine.explode(parsed, table).collect()))
+    parsed.unpersist()
+    for name in ("chunks", "imports"):
+        monkeypatch.setattr(getattr(engine, name), "extract", lambda *a: 1 / 0)
+    monkeypatch.setattr(engine, "diagnostics", lambda *a: 1 / 0)
+    r = engine.parse_file("a.py", code, None, frozenset(("network_calls", "symbols")))
+    assert len(r["network_calls"]) == 1 and len(r["symbols"]) == 3 and not r["issues"]

@@ -33,3 +33,13 @@ def test_plans_read_only_what_they_need(spark, data):
     assert "p_retailprice" not in plan
     plan = registry.QUERIES["file_history_by_path"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Or(EqualTo(l_partkey,77),EqualTo(l_partkey,177))" in plan and "l_extendedprice" not in plan
+
+
+def test_event_route_sends_every_event(spark, tmp_path):
+    """Events of all kinds and numbers reach the members of their project or the user they name; those without a kind reach nobody."""
+    types = ["view", "click", "purchase", "signup", "error", "refund", None]
+    spark.createDataFrame([(i, i % 50, types[i % 7]) for i in range(140)], "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(i, i % 25) for i in range(75)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    got = registry.QUERIES["event_route"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(connect(str(tmp_path)).execute(registry.ORACLES["event_route"]).df())
+    assert set(got["event_id"]) == {i for i in range(140) if types[i % 7]} and len(got) == 100 * 3 + 20

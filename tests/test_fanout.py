@@ -27,3 +27,18 @@ def test_a_tasks_share_of_key_access_is_a_part(spark):
     shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(shares) == 6000 * 4000 and max(shares) < 0.7 * sum(shares)
     assert {tuple(r) for r in got.groupBy("effective_role").count().collect()} == {("write", 6000 * 2000), ("read", 6000 * 2000)}
+
+
+def test_pairs_come_in_runs_from_a_bounded_number_of_tasks(spark, monkeypatch):
+    """No explode, which would hold all pairs of a tile as rows; columns asked for only; nulls stay; tasks do not grow with the pairs for ever."""
+    monkeypatch.setattr(fanout, "PAIRS", 1000)
+    monkeypatch.setattr(fanout, "TASKS", 6, raising=False)
+    left = spark.createDataFrame([("a", i if i else None) for i in range(300)] + [("b", 1)], "k string, i int")
+    right = spark.createDataFrame([("a", i, f"u{i}") for i in range(400)] + [("b", 5, None)], "k string, j long, u string")
+    whole = fanout.every_pair(left, right, ["k"])
+    assert whole.rdd.getNumPartitions() == 6 and "Generate" not in whole._jdf.queryExecution().executedPlan().toString()
+    want = {("a", i or None, j, f"u{j}") for i in range(300) for j in range(400)} | {("b", 1, 5, None)}
+    assert whole.count() == len(want) and set(map(tuple, whole.collect())) == want
+    monkeypatch.setattr(fanout, "RUN", 70)
+    some = fanout.every_pair(left, right, ["k"], ["u", "i"])
+    assert some.columns == ["u", "i"] and Counter(map(tuple, some.collect())) == Counter((u, i) for _, i, _, u in want)
